@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -32,9 +33,9 @@ def ship(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if str(PACKAGE.parent) in paths or getattr(sc, "_lorespark_shipped", False):
         return spark
-    with tempfile.TemporaryDirectory() as out:
-        stage = Path(out, "stage")
-        shutil.copytree(PACKAGE, stage / PACKAGE.name, ignore=shutil.ignore_patterns("__pycache__"))
-        sc.addPyFile(shutil.make_archive(str(Path(out, "lorespark_package")), "zip", stage))
-        sc._lorespark_shipped = True
+    out = tempfile.mkdtemp(prefix="lorespark-")  # served to executors for as long as the driver lives
+    atexit.register(shutil.rmtree, out, ignore_errors=True)
+    shutil.copytree(PACKAGE, Path(out, "stage", PACKAGE.name), ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(Path(out, "lorespark_package")), "zip", Path(out, "stage")))
+    sc._lorespark_shipped = True
     return spark
