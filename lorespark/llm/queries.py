@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorespark.llm import exact_dedup
 from lorespark.llm.common import table
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorespark.llm.fingerprint import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorespark.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_packing": op10_packing}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_fingerprint": op4_fingerprint, "op10_packing": op10_packing}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE_SQL}
