@@ -24,12 +24,18 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorespark.llm.quality_kn import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorespark.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op4_fingerprint": op4_fingerprint, "op10_packing": op10_packing}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op4_fingerprint": op4_fingerprint, "op9_quality": op9_quality, "op10_packing": op10_packing}
 
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE_SQL}
