@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.word_encoder import WordEncoder, in_groups
+from lorespark.llm.word_encoder import encoder as worker_encoder
+from lorespark.llm.word_encoder import in_groups
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 4096
@@ -126,7 +127,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, sequ
     """One row per piece of every document; see the module's text."""
 
     def packed(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         packer = Packer(sequence, TaskContext.get().partitionId() << 32)
         end = np.array([end_id], "<u4").tobytes()
         held, items, tokens = [], [], 0
