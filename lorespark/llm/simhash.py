@@ -5,16 +5,24 @@ A text's words (ASCII lower-cased, split at ASCII white space) give shingles of
 of the shingles' XXH64 values (seed 42). Equal fingerprints are collapsed
 first, so copies never meet in the join.
 
-The join finds all pairs of distinct fingerprints that differ in at most
-``BUDGET`` bits. Two such fingerprints agree on at least one of ``BUDGET + 1``
-bit ranges, so each is dealt out once per range under the range's value. Inside
-a group the sorted fingerprints form a binary trie; pairs of its nodes are
-walked down together from (root, root), the bits in which the two paths differ
-are added up, and a pair of nodes is dropped as soon as the sum exceeds the
-budget or all that both hold is already connected. Only a spanning forest of
-the links leaves a task, at most one row per fingerprint and group, so a group
-of many near copies does not give all its pairs. Components of the forest are
-found in DataFrames (``graph.components``).
+The join finds all pairs of distinct fingerprints that differ in at most a
+budget of bits. With ``budget + m`` bit ranges two such fingerprints agree on
+at least ``m`` of them, so each is dealt out once per choice of ``m`` ranges
+under their values; ``m`` is the smallest that makes groups of ``GROUP`` rows or
+fewer on average, which changes the work but not the pairs. Inside a group the
+sorted fingerprints form a binary trie; pairs of its nodes are walked down
+together from (root, root), the bits in which the two paths differ are added
+up, and a pair of nodes is dropped as soon as the sum exceeds the budget or all
+that both hold is already connected. Budgets rise in steps, so closer pairs
+link first, and only a spanning forest of the links leaves a task, fewer rows
+than the group has, so many near copies do not give all their pairs. Components
+of the forest are found in DataFrames (``graph.components``).
+
+``keep_one`` is for corpora, where near-duplicates are texts whose sets of
+five-word shingles have a Jaccard similarity of 0.8 or more. These differ in
+more bits (on the test corpus in 1 to 11, half of them in 5 or more), so it
+takes a budget of 6 on two fingerprints with different seeds, and then holds
+the shingle sets of each candidate link against each other exactly.
 
 Defined results: null or blank text has fingerprint 0, which links like any
 other; fewer words than ``WIDTH`` form one shingle, the whole sequence; rows
@@ -24,6 +32,8 @@ unless all of its members are null; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,24 +44,30 @@ from lorespark.llm.common import join_ids, materialize
 from lorespark.llm.graph import components
 
 WIDTH, SEED, BUDGET, BITS = 3, 42, 2, 64
-#: Near-duplicate stages on word shingles take five words.
-STAGE_WIDTH = 5
+#: keep_one: words per shingle and similarity of near-duplicates; seeds and budget of the search for candidates.
+SHINGLE, SIMILARITY = 5, 0.8
+SEEDS, WIDE_BUDGET = (42, 7), 6
+#: Average rows per group that the choice of ranges aims at, and the steps in which budgets rise.
+GROUP, STEP = 64, 2
 #: Rows of groups joined at once, and node pairs walked at once.
 BATCH_ROWS, FRONTIER = 200_000, 200_000
 
 
-def fingerprint(data: bytes, width: int = WIDTH) -> int:
+def shingle_hashes(data: bytes, width: int, seed: int = SEED) -> list[int]:
+    """XXH64 of every shingle of ``width`` words, repeats included, as unsigned numbers."""
     words = data.lower().split()
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return []
+    joined, hash_of = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        hash_of = xxhash.xxh64_intdigest
-        hashes = [hash_of(joined[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
+        return [hash_of(joined, seed)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return [hash_of(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
+
+
+def fingerprint(data: bytes, width: int = WIDTH, seed: int = SEED) -> int:
+    hashes = shingle_hashes(data, width, seed)
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 65536):
         part = np.array(hashes[i : i + 65536], "<u8").view(np.uint8).reshape(-1, 8)
@@ -59,15 +75,21 @@ def fingerprint(data: bytes, width: int = WIDTH) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+
+
+def fingerprints(docs: DataFrame, width: int = WIDTH, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """doc_id and, for each seed, fp, fp1, ... (the fingerprint's bits as a signed long) of every row."""
+    names = ["fp" + (str(i) if i else "") for i in range(len(seeds))]
 
     def printed(batches):
         for batch in batches:
-            fp = [fingerprint(x or b"", width) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            texts = [x or b"" for x in batch.column(1).to_pylist()]
+            prints = [np.array([fingerprint(x, width, seed) for x in texts], np.uint64).view(np.int64) for seed in seeds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, prints)], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(printed, "doc_id long, fp long")
+    return _texts(docs).mapInArrow(printed, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _split(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -86,6 +108,7 @@ class _Forest:
 
     def __init__(self, n: int):
         self.parent, self.stale, self.changes = list(range(n)), True, None
+        self.links: list[tuple[int, int]] = []
 
     def find(self, x: int) -> int:
         parent = self.parent
@@ -96,9 +119,10 @@ class _Forest:
 
     def link(self, left: np.ndarray, right: np.ndarray) -> None:
         for x, y in zip(left.tolist(), right.tolist()):
-            x, y = self.find(x), self.find(y)
-            if x != y:
-                self.parent[max(x, y)] = min(x, y)
+            a, b = self.find(x), self.find(y)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                self.links.append((x, y))
                 self.stale = True
 
     def roots(self) -> np.ndarray:
@@ -115,12 +139,18 @@ class _Forest:
         return (self.root[a0] == self.root[b0]) & (self.changes[a0] == self.changes[a1 - 1]) & (self.changes[b0] == self.changes[b1 - 1])
 
 
-def trie_forest(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int = BUDGET) -> np.ndarray:
-    """The root position of each position, where links within the groups are followed.
+def trie_forest(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int = BUDGET) -> _Forest:
+    """A spanning forest, over positions, of the links within the groups.
 
     ``fp``: unsigned, sorted and distinct within each group [start, end).
     """
     forest = _Forest(len(fp))
+    for step in range(budget % STEP or STEP, budget + 1, STEP) if budget else (0,):
+        _walk(forest, fp, starts, ends, step)
+    return forest
+
+
+def _walk(forest: _Forest, fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int) -> None:
     zero = np.zeros(len(starts), np.int8)
     stack = [(BITS - 1, starts, ends, starts, ends, zero)]
     while stack:
@@ -150,7 +180,6 @@ def trie_forest(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: in
         for i in range(0, len(a0), FRONTIER):
             cut = slice(i, i + FRONTIER)
             stack.append((bit - 1, a0[cut], a1[cut], b0[cut], b1[cut], diff[cut]))
-    return forest.roots()
 
 
 def _joiner(budget: int):
@@ -165,10 +194,9 @@ def _joiner(budget: int):
         if not len(fp):
             return None
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        root = trie_forest(fp, starts, np.append(starts[1:], len(fp)), budget)
-        hung = np.flatnonzero(root != np.arange(len(fp)))
-        signed = fp.view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(signed[hung]), pa.array(signed[root[hung]])], ["u", "v"])
+        found = np.array(trie_forest(fp, starts, np.append(starts[1:], len(fp)), budget).links, np.int64).reshape(-1, 2)
+        signed = fp.view(np.int64)[found]
+        return pa.RecordBatch.from_arrays([pa.array(signed.max(axis=1)), pa.array(signed.min(axis=1))], ["u", "v"]) if len(found) else None
 
     def join(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -190,14 +218,22 @@ def _joiner(budget: int):
     return join
 
 
+def _choices(budget: int, rows: int) -> list[int]:
+    """Masks of the bits that are held equal: all choices of m out of budget + m ranges."""
+    m = 1
+    while rows / 2 ** (BITS * m / (budget + m)) > GROUP and m < 4:
+        m += 1
+    edges = [round(BITS * i / (budget + m)) for i in range(budget + m + 1)]
+    ranges = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
+    return [sum(choice) for choice in combinations(ranges, m)]
+
+
 def trie_self_join(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """A spanning forest (u, v) of the links between the distinct values of ``fp``."""
-    edges = [round(BITS * i / (budget + 1)) for i in range(budget + 2)]
-    masks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(signed)])
-    dealt = distinct.select(F.explode(blocks).alias("k"), "fp").select("k.block", "k.value", "fp")
-    return dealt.repartition("block", "value").sortWithinPartitions("block", "value").mapInArrow(_joiner(budget), "u long, v long").distinct()
+    """A spanning forest (u, v) of the links between the distinct values of ``fp``, materialised beforehand."""
+    masks = [mask - (1 << 64) if mask >> 63 else mask for mask in _choices(budget, distinct.count())]
+    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("value")) for i, mask in enumerate(masks)])
+    dealt = distinct.select(F.explode(keys).alias("k"), "fp").select("k.choice", "k.value", "fp")
+    return dealt.repartition("choice", "value").sortWithinPartitions("choice", "value").mapInArrow(_joiner(budget), "u long, v long").distinct()
 
 
 def simhash_components(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
@@ -211,8 +247,46 @@ def simhash_components(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = STAGE_WIDTH, budget: int = BUDGET) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest, with all their columns."""
-    found = simhash_components(docs, width, budget)
-    dropped = materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+def shingle_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """doc_id and the set of its shingles' hashes."""
+
+    def hashed(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                sets = [np.unique(np.array(shingle_hashes(x or b"", width), np.uint64)).view(np.int64) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    return _texts(docs).mapInArrow(hashed, "doc_id long, shingles array<long>")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, seeds: tuple[int, ...] = SEEDS, budget: int = WIDE_BUDGET) -> DataFrame:
+    """(doc_id, keep_id) of the rows that are not their group's smallest doc_id; rows without doc_id are in no group.
+
+    Groups are the components of candidate links whose shingle sets reach the
+    similarity: |both| / |either|, 1 for two empty sets.
+    """
+    prints = materialize(fingerprints(docs.filter("doc_id is not null"), WIDTH, seeds))
+    links = None
+    for name in prints.columns[1:]:
+        first = materialize(prints.groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("first_id")))
+        forest = trie_self_join(first.select("fp"), budget)
+        one, two = (first.select(F.col("fp").alias(k), F.col("first_id").alias(f"of_{k}")) for k in ("u", "v"))
+        near = forest.join(one, "u").join(two, "v").select(F.col("of_u").alias("a"), F.col("of_v").alias("b"))
+        same = prints.join(first, prints[name] == first.fp).filter("doc_id > first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
+        links = near.unionByName(same) if links is None else links.unionByName(near).unionByName(same)
+    links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+    ids = materialize(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = materialize(shingle_sets(join_ids(docs, ids, "left_semi"), shingle))
+    left, right = (sets.select(F.col("doc_id").alias(f"{k}_id"), F.col("shingles").alias(f"in_{k}")) for k in ("a", "b"))
+    held = links.join(left, links.a == F.col("a_id")).join(right, links.b == F.col("b_id"))
+    both = F.size(F.array_intersect("in_a", "in_b"))
+    either = F.size("in_a") + F.size("in_b") - both
+    alike = held.filter((both >= F.lit(similarity) * either)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return components(materialize(alike.distinct())).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that are their group's smallest doc_id, or in no group, with all their columns."""
+    dropped = materialize(near_duplicates(docs, **how).select("doc_id"))
     return join_ids(docs, dropped, "left_anti")
