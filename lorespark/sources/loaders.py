@@ -146,10 +146,21 @@ UPLOADS = [".pdf", ".txt", ".docx", ".doc", ".xlsx", ".xls", ".md", ".html"]
 
 
 def scan(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """The files of one folder, not of those below it: file, ext, length, content."""
+    """The files of one folder, not of those below it: file, ext, length, content. Spark's reader passes over empty files; they are added by name."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(f"{folder.rstrip('/')}/*")
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file"), "length", "content").withColumn("ext", suffix("file"))
+    found = files.select(file_name("path").alias("file"), "length", "content")
+    glob = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    listed = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(glob) or []
+    empty = [(s.getPath().getName(), 0, bytearray()) for s in listed if s.isFile() and s.getLen() == 0]
+    if empty:
+        found = found.unionByName(spark.createDataFrame(empty, "file string, length long, content binary"))
+    return found.withColumn("ext", suffix("file"))
+
+
+def file_name(path: Column | str) -> Column:
+    """The last part of a file's address, as it was named."""
+    last = F.element_at(F.split(path, "/"), -1)
+    return F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
 
 
 def supported(ext: Column | str, loaders: dict | None = None) -> Column:

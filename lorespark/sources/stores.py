@@ -84,7 +84,7 @@ def read_chunk_files(spark: SparkSession, folder: str, only: DataFrame | None =
     """All chunk JSON files of a folder, with file name and place; ``only`` (stem) restricts them."""
     if not Files(spark, folder).exists():
         return spark.createDataFrame([], "stem string, pos int, " + schemas.CHUNK)
-    files = spark.read.option("pathGlobFilter", CHUNK_FILES).option("wholetext", True).text(folder).select("value", "_metadata.file_name")
+    files = spark.read.option("pathGlobFilter", CHUNK_FILES).text(folder, wholetext=True).select("value", "_metadata.file_name")
     named = files.select(F.regexp_replace(F.url_decode("file_name"), r"_chunks\.json$", "").alias("stem"), "value")
     if only is not None:
         named = named.join(F.broadcast(only.select("stem").distinct()) if only.limit(100_001).count() <= 100_000 else only.select("stem").distinct(), "stem", "left_semi")

@@ -2,17 +2,18 @@
 
 The file source finds new paths; the manifest's hashes decide inside each batch
 what really changed, so a batch that is run again processes nothing twice.
+Empty files, which the source passes over, are left to a batch run.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lorespark.functions.text import suffix
 from lorespark.operators.chunking import Method
 from lorespark.plans.ingest import process
+from lorespark.sources.loaders import file_name
 from lorespark.sources.stores import Project
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
@@ -23,7 +24,6 @@ def watch(project: Project, checkpoint: str, method: Method = Method.SENTENCE, *
     files = project.spark.readStream.format("binaryFile").schema(BINARY).load(project.raw)
 
     def batch(rows: DataFrame, _: int) -> None:
-        name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
-        process(project, method, files=rows.select(name.alias("file"), "length", "content").withColumn("ext", suffix("file")), **how)
+        process(project, method, files=rows.select(file_name("path").alias("file"), "length", "content").withColumn("ext", suffix("file")), **how)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
