@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of a kNN join that are scored against a batch of vectors at once.
-QUERY_BLOCK = 2048
+#: Queries of a kNN join that are gathered and sent to all tasks at once; more are taken in blocks, a scan each.
+QUERY_BLOCK = 20_000
 
 
 def distance(a: Column, b: Column, metric: str = "l2") -> Column:
@@ -45,13 +46,22 @@ def distance_stats(hits: DataFrame) -> DataFrame:
     return hits.agg(F.min("distance").alias("min_distance"), F.max("distance").alias("max_distance"), F.avg("distance").alias("avg_distance"))
 
 
-def knn_join(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def knn_join(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, key, distance, rank) of the ``k`` nearest of every query by squared distance, ties by key.
 
-    A stated set of queries (query_id, query), gathered once and held in blocks:
-    each task scores its batches against a block and passes on ``k`` rows per
-    query, so what is shuffled does not grow with the vectors.
+    The stated queries (query_id, query) are held against all vectors block by
+    block. A task scores its batches against a block and passes on ``k`` rows
+    per query, so what is shuffled does not grow with the vectors.
     """
+    blocks = max(1, -(-queries.count() // block))
+    parts = [_nearest(vectors, queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k, key, vector) for b in range(blocks)]
+    local = reduce(DataFrame.unionByName, parts)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
+    return local.withColumn("rank", place).filter(F.col("rank") <= k)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    """The ``k`` nearest of each query within each task."""
     gathered = queries.select("query_id", "query").toPandas()
     ids = gathered["query_id"].tolist()
     matrix = np.array([list(q) for q in gathered["query"]], np.float64).reshape(len(ids), -1)
@@ -61,21 +71,20 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id"
         names, points = shared.value
         best: list[list[tuple[float, int]]] = [[] for _ in names]
         for batch in batches:
+            if not (batch.num_rows and names):
+                continue
             keys = batch.column(0).to_numpy()
-            rows = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(keys), -1)
-            for lo in range(0, len(names) if len(keys) else 0, QUERY_BLOCK):
-                block = points[lo : lo + QUERY_BLOCK]
-                for i, q in enumerate(block):
-                    d = ((rows - q) ** 2).sum(axis=1)
-                    top = np.lexsort((keys, d))[:k]
-                    best[lo + i] = sorted(best[lo + i] + list(zip(d[top].tolist(), keys[top].tolist())))[:k]
+            rows = np.array(batch.column(1).to_pylist(), np.float64)
+            for i, point in enumerate(points):
+                d = ((rows - point) ** 2).sum(axis=1)
+                top = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
+                top = np.flatnonzero(d <= d[top].max())  # all ties of the last one
+                best[i] = sorted(best[i] + list(zip(d[top].tolist(), keys[top].tolist())))[:k]
         flat = [(names[i], key_, d) for i, found in enumerate(best) for d, key_ in found]
         columns = list(zip(*flat)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", key, "distance"])
 
-    local = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector).mapInArrow(nearest, f"query_id long, {key} long, distance double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
-    return local.withColumn("rank", place).filter(F.col("rank") <= k)
+    return vectors.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector).mapInArrow(nearest, f"query_id long, {key} long, distance double")
 
 
 def upsert(vectors: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:

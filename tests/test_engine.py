@@ -200,6 +200,8 @@ def test_knn_join_is_exact(spark, sf_dir):
     for q in (i for i in table if i % 100 == 0):
         order = sorted(table, key=lambda v: (((table[v] - table[q]) ** 2).sum(), v))[:4]
         assert [got[q, k] for k in (1, 2, 3, 4)] == order
+    blocks = {(r.query_id, r["rank"]): r.vec_id for r in vectors.knn_join(stored, queries, 4, block=2).collect()}
+    assert blocks == got
 
 
 def test_versioned_table(spark, tmp_path):
