@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.common import materialize
 
-MIN_WORDS = 16
+MIN_WORDS = 24
 MIN_CHUNK = 16
 #: One cut in 4 words, and one in 512 bytes where white space is further away than this.
 WORD_BITS, BARE_BITS, BARE_AFTER = 2, 9, 64
