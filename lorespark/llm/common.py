@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,20 @@ def join_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> Da
     return df.join(ids, df[key].eqNullSafe(ids["__key"]), how)
 
 
+def lean(task):
+    """A ``mapInArrow`` function whose worker gives memory back: batches come from the system's allocator, freed pages go to the system when the task ends."""
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from task(batches)
+        finally:
+            with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own counsel
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def single_thread() -> None:
     """Tokenizer libraries must not start a thread for every core in each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

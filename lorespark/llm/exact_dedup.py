@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm import golomb
-from lorespark.llm.common import join_ids, materialize, shuffle_partitions
+from lorespark.llm.common import join_ids, lean, materialize, shuffle_partitions
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -96,7 +96,7 @@ def mark_suspects(docs: DataFrame) -> DataFrame:
         .withColumn("part", F.spark_partition_id())
     )
     bits = max(1, shuffle_partitions(docs.sparkSession) - 1).bit_length()
-    sent = prints.select("part", "h").mapInArrow(_sender(bits), "owner int, part int, coded binary")
+    sent = prints.select("part", "h").mapInArrow(lean(_sender(bits)), "owner int, part int, coded binary")
     answers = sent.groupBy("owner").applyInPandas(_answer, "part int, owner int, bitmap binary")
     marked = prints.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_marker(bits), "doc_id long, h long, sha binary, suspect boolean")
     return materialize(marked)

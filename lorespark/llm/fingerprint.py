@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import join_ids, materialize
+from lorespark.llm.common import join_ids, lean, materialize
 
 
 def canonical(text: str | None) -> str:
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             canon = [canonical(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(c) for c in canon]), pa.array(canon, pa.string())], ["doc_id", "fingerprint", "canonical"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(printed, "doc_id long, fingerprint string, canonical string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(printed), "doc_id long, fingerprint string, canonical string")
 
 
 def equal_classes(docs: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).repartitionByRange(order[0]).sortWithinPartitions(*order)
-    compared = materialize(ranged.mapInArrow(_within, _SQL))
+    compared = materialize(ranged.mapInArrow(lean(_within), _SQL))
     result = [f.name for f in _OUT][:7]
     ends = compared.filter("end is not null").select("doc_id", "text", "end", "part").repartition(1).sortWithinPartitions("part", "end").select("doc_id", "text", "end")
-    return compared.filter("end is null").select(*result).unionByName(ends.mapInArrow(_between, _SQL).select(*result))
+    return compared.filter("end is null").select(*result).unionByName(ends.mapInArrow(lean(_between), _SQL).select(*result))

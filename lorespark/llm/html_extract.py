@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.llm.common import lean
+
 LAMBDA, SIGMA, RADIUS = 0.5, 1.0, 2
 #: Inside marked content, paths with less of their text outside links are link lists.
 LEAST_PLAIN = 0.1
@@ -180,4 +182,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = [extract(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(extracted, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(lean(extracted), "page_id long, url string, text string, n_chars long")

@@ -29,8 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.llm.common import lean
+
 from lorespark.llm.word_encoder import encoder as worker_encoder
-from lorespark.llm.word_encoder import in_groups
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 4096
@@ -132,12 +133,12 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, sequ
         end = np.array([end_id], "<u4").tobytes()
         held, items, tokens = [], [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for group in in_groups(range(len(ids)), 64):
-                for i, tok in zip(group, encoder.encode([texts[i] or "" for i in group])):
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                for doc_id, tok in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
                     tok += end
                     items.append((len(held), 0, len(tok) // 4))
-                    held.append((ids[i], tok))
+                    held.append((doc_id, tok))
                     tokens += len(tok) // 4
                 if tokens >= block_tokens:
                     placed, left = packer.block(items, last=False)
@@ -149,4 +150,4 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, sequ
         if items:
             yield _rows(packer.block(items, last=True)[0], held)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(packed, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(packed), SCHEMA)

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import join_ids, materialize
+from lorespark.llm.common import join_ids, lean, materialize
 from lorespark.llm.graph import components
 
 WIDTH, SEED, BUDGET, BITS = 3, 42, 2, 64
@@ -50,7 +50,7 @@ SEEDS, WIDE_BUDGET = (42, 7), 6
 #: Average rows per group that the choice of ranges aims at, and the steps in which budgets rise.
 GROUP, STEP = 64, 2
 #: Rows of groups joined at once, and node pairs walked at once.
-BATCH_ROWS, FRONTIER = 200_000, 200_000
+BATCH_ROWS, FRONTIER = 100_000, 50_000
 
 
 def shingle_hashes(data: bytes, width: int, seed: int = SEED) -> list[int]:
@@ -85,11 +85,13 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, seeds: tuple[int, ...] = (
 
     def printed(batches):
         for batch in batches:
-            texts = [x or b"" for x in batch.column(1).to_pylist()]
-            prints = [np.array([fingerprint(x, width, seed) for x in texts], np.uint64).view(np.int64) for seed in seeds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, prints)], ["doc_id", *names])
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                texts = [x or b"" for x in part.column(1).to_pylist()]
+                prints = [np.array([fingerprint(x, width, seed) for x in texts], np.uint64).view(np.int64) for seed in seeds]
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, prints)], ["doc_id", *names])
 
-    return _texts(docs).mapInArrow(printed, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return _texts(docs).mapInArrow(lean(printed), "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _split(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -233,7 +235,7 @@ def trie_self_join(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     masks = [mask - (1 << 64) if mask >> 63 else mask for mask in _choices(budget, distinct.count())]
     keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("value")) for i, mask in enumerate(masks)])
     dealt = distinct.select(F.explode(keys).alias("k"), "fp").select("k.choice", "k.value", "fp")
-    return dealt.repartition("choice", "value").sortWithinPartitions("choice", "value").mapInArrow(_joiner(budget), "u long, v long").distinct()
+    return dealt.repartition("choice", "value").sortWithinPartitions("choice", "value").mapInArrow(lean(_joiner(budget)), "u long, v long").distinct()
 
 
 def simhash_components(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
@@ -257,7 +259,7 @@ def shingle_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 sets = [np.unique(np.array(shingle_hashes(x or b"", width), np.uint64)).view(np.int64) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    return _texts(docs).mapInArrow(hashed, "doc_id long, shingles array<long>")
+    return _texts(docs).mapInArrow(lean(hashed), "doc_id long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, seeds: tuple[int, ...] = SEEDS, budget: int = WIDE_BUDGET) -> DataFrame:

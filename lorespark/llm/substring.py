@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import materialize
+from lorespark.llm.common import lean, materialize
 
 MIN_WORDS = 24
 MIN_CHUNK = 16
@@ -106,7 +106,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     )
 
     ided = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return ided.mapInArrow(cut, "doc_id long, start int, stop int, words int, hi long, lo long, again boolean")
+    return ided.mapInArrow(lean(cut), "doc_id long, start int, stop int, words int, hi long, lo long, again boolean")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -158,5 +158,5 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             columns = [pa.array(texts, batch.schema.field(at).type) if j == at else batch.column(j) for j in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
-    out = joined.select(*names, "__spans").mapInArrow(cut, docs.schema)
+    out = joined.select(*names, "__spans").mapInArrow(lean(cut), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import shared_dir
+from lorespark.llm.common import lean, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 KEYS = ["source", "lang", "tokenizer_version"]
@@ -45,7 +45,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "source", "lang", "n_tokens"])
 
     string = lambda c: F.col(c).cast("string").alias(c)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), string("source"), string("lang"), string("text")).mapInArrow(counted, "doc_id long, source string, lang string, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), string("source"), string("lang"), string("text")).mapInArrow(lean(counted), "doc_id long, source string, lang string, n_tokens long")
 
 
 def inserts(counts: DataFrame, version: str) -> DataFrame:

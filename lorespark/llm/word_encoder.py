@@ -23,7 +23,7 @@ import numpy as np
 
 from lorespark.llm.common import single_thread, tokenizer_file
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 250_000
 CACHE_CHARS = 64  # longer chunks are encoded each time
 
 LATIN = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x100))]
@@ -106,8 +106,3 @@ def encoder(tokenizer: str) -> WordEncoder:
     if tokenizer not in _encoders:
         _encoders[tokenizer] = WordEncoder(tokenizer)
     return _encoders[tokenizer]
-
-
-def in_groups(items: list, size: int):
-    for i in range(0, len(items), size):
-        yield items[i : i + size]
