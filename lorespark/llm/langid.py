@@ -2,7 +2,7 @@
 
 Learning. A bounded sample of labelled documents, ``SAMPLE_PER_LANG`` per
 language in the order of a hash of their id and text, is counted in tasks: for
-each language the character n-grams (1 to ``NGRAM``) of its words, each word
+each language the character n-grams (lengths ``NGRAMS``) of its words, each word
 taken between two edge marks, and how its letters spread over scripts. Per
 language the ``FEATURES`` most frequent n-grams and their add-one smoothed log
 probabilities are the model; up to ``MAX_LANGS`` languages are learned, those
@@ -28,18 +28,20 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import join_ids, materialize
+from lorespark.llm.common import join_ids, lean, materialize
 
 SAMPLE_PER_LANG, MAX_LANGS, FEATURES = 400, 256, 20_000
-NGRAM, SCRIPT_SHARE, SWITCH = 4, 0.001, 6.0
+NGRAMS, SCRIPT_SHARE, SWITCH = (2, 3), 0.001, 6.0
 MAX_WORD = 48  # longer words are scored by their pieces of this length
-CACHE_WORDS = 300_000
+CACHE_WORDS, SCORED_AT_ONCE = 300_000, 20_000
 UNKNOWN = "und"
 
 #: Scripts by ranges of code points; all other letters are one script more.
@@ -71,6 +73,9 @@ def script_of(char: str) -> int:
     return len(SCRIPTS)
 
 
+_script = lru_cache(maxsize=65536)(script_of)
+
+
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, lower-cased."""
     return _LETTERS.findall((text or "").lower())
@@ -78,7 +83,7 @@ def words_of(text: str | None) -> list[str]:
 
 def grams(word: str) -> list[str]:
     marked = f" {word[:MAX_WORD]} "
-    out = [marked[i : i + n] for n in range(1, NGRAM + 1) for i in range(len(marked) - n + 1)]
+    out = [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
     return out if len(word) <= MAX_WORD else out + grams(word[MAX_WORD:])
 
 
@@ -100,32 +105,52 @@ class Model:
                 self.allowed[s, k] = letters and scripts[lang][s] / letters >= SCRIPT_SHARE
         self.allowed[~self.allowed.any(axis=1)] = True  # a script nobody was seen to use narrows nothing
 
-    def word(self, word: str) -> np.ndarray:
-        unseen = len(self.logp) - 1
-        rows = [self.row.get(g, unseen) for g in grams(word)]
-        score = self.logp[rows].mean(axis=0) * np.float32(len(word) ** 0.5)
-        return np.where(self.allowed[script_of(word[0])], score, np.float32(-1e4))
+    def scores(self, words: list[str]) -> np.ndarray:
+        """One row per word, one column per language."""
+        get, unseen = self.row.get, len(self.logp) - 1
+        found = [[get(g, unseen) for g in grams(w)] for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        rows = self.logp[np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))]
+        total = np.add.reduceat(rows, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        length = np.fromiter(map(len, words), np.float32, len(words))
+        script = np.fromiter((_script(w[0]) for w in words), np.int64, len(words))
+        return np.where(self.allowed[script], total * (np.sqrt(length) / sizes.astype(np.float32))[:, None], np.float32(-1e4))
 
 
-class WordScores(dict):
-    """Words' rows in a growing score matrix; emptied between batches when it is large."""
+class WordScores:
+    """Scores of the words met so far; forgotten when there are many. New words are scored together."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.rows = model, []
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.table = np.zeros((1024, len(self.model.langs)), np.float32)
+
+    def emit(self, words: list[str]) -> np.ndarray:
+        """The score rows of ``words``."""
+        if len(self.index) > CACHE_WORDS:
+            self.forget()
+        new = sorted(set(words).difference(self.index))
+        for lo in range(0, len(new), SCORED_AT_ONCE):
+            part = new[lo : lo + SCORED_AT_ONCE]
+            n = len(self.index)
+            while n + len(part) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[n : n + len(part)] = self.model.scores(part)
+            self.index.update(zip(part, range(n, n + len(part))))
+        return self.table[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
+
 
-    def __missing__(self, word: str) -> int:
-        self.rows.append(self.model.word(word))
-        self[word] = len(self.rows) - 1
-        return self[word]
+_latest: list[WordScores] = []
 
-    def matrix(self) -> np.ndarray:
-        return np.array(self.rows, np.float32).reshape(len(self.rows), len(self.model.langs))
 
-    def trim(self) -> None:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-            self.rows = []
+def word_scores(model: Model) -> WordScores:
+    """This worker's scores for ``model``, kept while it is the same object."""
+    if not _latest or _latest[0].model is not model:
+        _latest[:] = [WordScores(model)]
+    return _latest[0]
 
 
 def viterbi(emit: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -170,10 +195,8 @@ def viterbi(emit: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np
 def label_words(texts: list[str | None], scores: WordScores) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
     """Words per text, their number, and the label of each word, one text after the other."""
     words = [words_of(t) for t in texts]
-    rows = np.fromiter((scores[w] for ws in words for w in ws), np.int64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    emit = scores.matrix()[rows] if len(rows) else np.zeros((0, len(scores.model.langs)), np.float32)
-    return words, lengths, viterbi(emit, lengths)
+    return words, lengths, viterbi(scores.emit(list(chain.from_iterable(words))), lengths)
 
 
 def spans(text: str | None, model: Model) -> list[tuple[int, int, str]]:
@@ -210,7 +233,7 @@ def train(labelled: DataFrame) -> Model:
             part = keys[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part]), pa.array([k[1] for k in part], pa.string()), pa.array([k[2] for k in part], pa.int32()), pa.array([total[k] for k in part], pa.int64())], ["lang", "gram", "script", "n"])
 
-    counts = materialize(sample.mapInArrow(counted, "lang string, gram string, script int, n long").groupBy("lang", "gram", "script").agg(F.sum("n").alias("n")))
+    counts = materialize(sample.mapInArrow(lean(counted), "lang string, gram string, script int, n long").groupBy("lang", "gram", "script").agg(F.sum("n").alias("n")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     ngrams: dict[str, Counter] = {lang: Counter() for lang in most}
     scripts: dict[str, Counter] = {lang: Counter() for lang in most}
@@ -226,15 +249,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(batches):
-        scores = WordScores(shared.value)
+        scores = word_scores(shared.value)
         langs = shared.value.langs
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 texts = part.column(1).to_pylist() if langs else [None] * part.num_rows
                 words, lengths, labels = label_words(texts, scores)
-                scores.trim()
-                sizes = np.fromiter((len(w) for ws in words for w in ws), np.int64)
+                sizes = np.fromiter(map(len, chain.from_iterable(words)), np.int64)
                 doc = np.repeat(np.arange(len(texts)), lengths)
                 share = np.zeros((len(texts), max(1, len(langs))))
                 np.add.at(share, (doc, labels), sizes)
@@ -245,7 +267,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 score = np.divide(share[np.arange(len(texts)), best], total, out=np.zeros(len(texts)), where=total > 0)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names), pa.array(score), pa.array(runs, pa.int64())], ["doc_id", "lang_pred", "score", "n_spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(predicted, "doc_id long, lang_pred string, score double, n_spans long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(predicted), "doc_id long, lang_pred string, score double, n_spans long")
 
 
 def held_out(doc_id: Column) -> Column:
