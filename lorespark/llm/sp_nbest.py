@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import tokenizer_file
+from lorespark.llm.common import lean, tokenizer_file
 
 MODEL, NBEST = "piece_bpe_32k.model", 4
 SPACE = "▁"
 UNKNOWN_PENALTY, LEAST_SCORE = 10.0, -1e8
-CACHE_PARTS = 600_000
+CACHE_PARTS = 300_000
 
 
 class Lattice:
@@ -50,7 +50,8 @@ class Lattice:
         self.pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in range(n) if not special(i) and not sp.is_byte(i)}
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
-        self.longest = max(map(len, self.pieces))
+        # pieces, and their beginnings without a value: past what is not in here, nothing longer matches
+        self.begun = {p[:k]: None for p in self.pieces for k in range(2, len(p))} | self.pieces
         self.missing = min(s for _, s in self.pieces.values() if s > LEAST_SCORE) - UNKNOWN_PENALTY
         self.spelled = [b""] * n
         for p, (i, _) in self.pieces.items():
@@ -63,6 +64,7 @@ class Lattice:
         inner = "[^" + SPACE * split_space + "\n" * split_line + "]*"
         self.parts = re.compile(("\n|" if split_line else "") + (f"{SPACE}+{inner}|{inner[:-1]}+" if split_space else f"{inner[:-1]}+")).findall
         self.two: dict[str, tuple[float, bytes, float]] = {}
+        self.before: dict[str, tuple[float, bytes, float]] = {}  # the generation before: what is still used moves on
         self.many: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     def normalize(self, text: str) -> str:
@@ -70,7 +72,7 @@ class Lattice:
 
     def edges(self, part: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end position: (start, score, ids) of the edges that end there."""
-        n, get = len(part), self.pieces.get
+        n, get, begun = len(part), self.pieces.get, self.begun
         into: list[list] = [[] for _ in range(n + 1)]
         for a in range(n):
             found = get(part[a])
@@ -80,8 +82,11 @@ class Lattice:
                 into[a + 1].append((a, self.missing, ids))
             else:
                 into[a + 1].append((a, found[1], (found[0],)))
-            for b in range(a + 2, min(n, a + self.longest) + 1):
-                found = get(part[a:b])
+            for b in range(a + 2, n + 1):
+                piece = part[a:b]
+                if piece not in begun:
+                    break
+                found = begun[piece]
                 if found is not None:
                     into[b].append((a, found[1], (found[0],)))
         return into
@@ -141,6 +146,10 @@ class Lattice:
         """(best score, its ids, by how much the second is worse), kept per worker."""
         found = self.two.get(part)
         if found is None:
+            found = self.before.get(part)
+            if found is not None:
+                self.two[part] = found
+                return found
             pairs = self.pairs
             at = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in pairs]
             if at:
@@ -149,7 +158,7 @@ class Lattice:
             else:
                 found = self._two(part)
             if len(self.two) >= CACHE_PARTS:
-                self.two.clear()
+                self.before, self.two = self.two, {}
             self.two[part] = found
         return found
 
@@ -165,8 +174,8 @@ class Lattice:
     def segment(self, text: str | None, n: int = NBEST) -> list[tuple[float, bytes]]:
         """The ``n`` best (score, ids as little-endian unsigned 32-bit numbers) of a text, best first."""
         parts = self.parts(self.normalize(text or ""))
-        two = self.two.get
-        best = [two(p) or self.best_two(p) for p in parts]
+        two, best_two = self.two.get, self.best_two
+        best = [two(p) or best_two(p) for p in parts]
         ids = [x[1] for x in best]
         total = sum([x[0] for x in best])
         out = [(0.0, ())]
@@ -228,4 +237,4 @@ def segmentations(docs: DataFrame, model: str = MODEL, n: int = NBEST) -> DataFr
                 )
 
     schema = "doc_id long, n_pieces long, score double, ids_crc32 long, decodes boolean, nbest array<struct<score: double, n_pieces: long, ids_crc32: long>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(segmented, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(segmented), schema)
