@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import re
 import tempfile
 
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 #: Identifiers are broadcast up to this many rows (about 16 bytes each);
 #: larger sets are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
+#: What a batch of rows to a Python worker may hold.
+ARROW_SETTING, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +56,15 @@ def join_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> Da
 
 
 def lean(task):
-    """A ``mapInArrow`` function whose worker gives memory back: batches come from the system's allocator, freed pages go to the system when the task ends."""
+    """A ``mapInArrow`` function that is sparing with memory.
+
+    Batches are held to ``ARROW_BYTES`` by the session's setting, if that is
+    larger; they come from the system's allocator, and freed pages go back to
+    the system when the task ends.
+    """
+    session = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    if int(re.sub(r"\D", "", session.conf.get(ARROW_SETTING)) or 0) > ARROW_BYTES:
+        session.conf.set(ARROW_SETTING, f"{ARROW_BYTES}b")
 
     def run(batches):
         pa.set_memory_pool(pa.system_memory_pool())
