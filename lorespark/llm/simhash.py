@@ -22,7 +22,14 @@ of the forest are found in DataFrames (``graph.components``).
 five-word shingles have a Jaccard similarity of 0.8 or more. These differ in
 more bits (on the test corpus in 1 to 11, half of them in 5 or more), so it
 takes a budget of 6 on two fingerprints with different seeds, and then holds
-the shingle sets of each candidate link against each other exactly.
+shingle sets against each other exactly. Links are pairs of documents that are
+near in a fingerprint and alike in their sets; groups are their components. A
+forest of the near pairs is held first and gives classes of documents that are
+known to belong together. A second walk then gives every near pair of documents
+in different classes, those with one fingerprint too, unless their sketches
+(``SKETCH`` parities of the set's values) prove them unlike; it leaves out what
+lies in one class only, so no link is lost. Documents with the same set and
+fingerprints are one in both walks.
 
 Defined results: null or blank text has fingerprint 0, which links like any
 other; fewer words than ``WIDTH`` form one shingle, the whole sequence; rows
@@ -49,6 +56,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SEEDS, WIDE_BUDGET = (42, 7), 6
 #: Average rows per group that the choice of ranges aims at, and the steps in which budgets rise.
 GROUP, STEP = 64, 2
+#: Parities that a set's sketch holds, and document pairs held against each other's sketches at once.
+SKETCH, PAIRS = 512, 200_000
 #: Rows of groups joined at once, and node pairs walked at once.
 BATCH_ROWS, FRONTIER = 100_000, 50_000
 
@@ -184,10 +193,76 @@ def _walk(forest: _Forest, fp: np.ndarray, starts: np.ndarray, ends: np.ndarray,
             stack.append((bit - 1, a0[cut], a1[cut], b0[cut], b1[cut], diff[cut]))
 
 
-def _joiner(budget: int):
-    def links(keys: np.ndarray, fp: np.ndarray):
+class _Pairs:
+    """In a walk's place of a forest: keeps the pairs of different classes whose sketches allow the similarity.
+
+    Documents come sorted by group, fingerprint and class; leaf i of the trie
+    holds those from ``first[i]`` on. ``choice``: the one each leaf is dealt
+    by; a pair is kept under the first choice that holds it only.
+    """
+
+    def __init__(self, fp, first, choice, masks, classes, sizes, sketches, similarity):
+        self.fp, self.first, self.choice, self.masks = fp, first, choice, masks
+        self.count = np.diff(np.append(first, len(classes)))
+        self.classes, self.sizes, self.sketches = classes, sizes, sketches
+        self.share = (1 - similarity) / (1 + similarity)
+        mixed = np.add.reduceat(np.concatenate([[0], classes[1:] != classes[:-1]]), first) if len(first) else first
+        mixed = mixed - np.concatenate([[0], classes[first[1:]] != classes[first[1:] - 1]]) > 0
+        self.label = np.where(mixed, -1 - np.arange(len(first)), np.unique(classes, return_inverse=True)[1][first])
+        self.changes = np.concatenate([[0], np.cumsum(self.label[1:] != self.label[:-1])])
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        alone = np.flatnonzero(mixed & (choice == 0))
+        self._expand(alone, alone)
+
+    def connected(self, a0, a1, b0, b1) -> np.ndarray:
+        return (self.label[a0] == self.label[b0]) & (self.changes[a0] == self.changes[a1 - 1]) & (self.changes[b0] == self.changes[b1 - 1])
+
+    def link(self, left: np.ndarray, right: np.ndarray) -> None:
+        ok = self.label[left] != self.label[right]
+        left, right = left[ok], right[ok]
+        diff, choice = self.fp[left] ^ self.fp[right], self.choice[left]
+        ok = np.ones(len(left), bool)
+        for i, mask in enumerate(self.masks[: int(choice.max(initial=0))]):
+            ok &= (choice <= i) | ((diff & np.uint64(mask)) != 0)
+        self._expand(left[ok], right[ok])
+
+    def _expand(self, left: np.ndarray, right: np.ndarray) -> None:
+        """All documents of the left leaves with all of the right ones."""
+        x, of = _ranges(self.first[left], self.count[left])
+        right = right[of]
+        ends = np.cumsum(self.count[right])
+        at = 0
+        while at < len(x):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            y, of = _ranges(self.first[right[at:to]], self.count[right[at:to]])
+            self._hold(x[at:to][of], y)
+            at = to
+
+    def _hold(self, x: np.ndarray, y: np.ndarray) -> None:
+        ok = (x != y) & (self.classes[x] != self.classes[y])
+        x, y = x[ok], y[ok]
+        most = (self.sizes[x] + self.sizes[y]) * self.share + 1e-6
+        ok = np.abs(self.sizes[x] - self.sizes[y]) <= most
+        x, y, most = x[ok], y[ok], most[ok]
+        ok = np.bitwise_count(self.sketches[x] ^ self.sketches[y]).sum(axis=1, dtype=np.int64) <= most
+        if ok.any():
+            self.found.append((x[ok], y[ok]))
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and which range each is of."""
+    of = np.repeat(np.arange(len(starts)), counts)
+    return np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[of], of
+
+
+def _links(pairs: np.ndarray):
+    return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], ["u", "v"]) if len(pairs) else None
+
+
+def _forest_links(budget: int):
+    def links(keys: np.ndarray, rows: np.ndarray):
         """Rows come grouped by key; gives the forest's links of all groups."""
-        fp = fp.view(np.uint64)
+        fp = rows[:, 0].copy().view(np.uint64)
         group = np.cumsum(np.concatenate([[0], (keys[1:] != keys[:-1]).any(axis=1)]))
         many = np.bincount(group)[group] > 1
         group, fp = group[many], fp[many]
@@ -197,24 +272,51 @@ def _joiner(budget: int):
             return None
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         found = np.array(trie_forest(fp, starts, np.append(starts[1:], len(fp)), budget).links, np.int64).reshape(-1, 2)
-        signed = fp.view(np.int64)[found]
-        return pa.RecordBatch.from_arrays([pa.array(signed.max(axis=1)), pa.array(signed.min(axis=1))], ["u", "v"]) if len(found) else None
+        return _links(fp.view(np.int64)[found])
+
+    return links
+
+
+def _pair_links(budget: int, similarity: float, masks: list[int]):
+    def links(keys: np.ndarray, rows: np.ndarray):
+        """Rows (fp, id, class, size, sketch) come grouped by key; gives the ids of all pairs that may be alike."""
+        group = np.cumsum(np.concatenate([[0], (keys[1:] != keys[:-1]).any(axis=1)]))
+        many = np.bincount(group)[group] > 1
+        group, choice, rows = group[many], keys[many, 0], rows[many]
+        order = np.lexsort((rows[:, 2], rows[:, 0].copy().view(np.uint64), group))
+        group, choice, rows = group[order], choice[order], rows[order]
+        if not len(rows):
+            return None
+        fp = rows[:, 0].copy().view(np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (fp[1:] != fp[:-1])]))
+        pairs = _Pairs(fp[first], first, choice[first], masks, rows[:, 2], rows[:, 3], np.ascontiguousarray(rows[:, 4:]).view(np.uint64), similarity)
+        starts = np.flatnonzero(np.concatenate([[True], group[first][1:] != group[first][:-1]]))
+        _walk(pairs, pairs.fp, starts, np.append(starts[1:], len(first)), budget)
+        if not pairs.found:
+            return None
+        x, y = (np.concatenate(side) for side in zip(*pairs.found))
+        ids = np.stack([rows[x, 1], rows[y, 1]], axis=1)
+        return _links(np.unique(np.sort(ids[ids[:, 0] != ids[:, 1]], axis=1), axis=0))
 
+    return links
+
+
+def _by_group(links):
     def join(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
+        count = 0
         for batch in batches:
-            keys = np.stack([batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()], axis=1)
-            held.append((keys, batch.column(2).to_numpy()))
-            rows += batch.num_rows
-            if rows >= BATCH_ROWS:
-                keys, fp = (np.concatenate(x) for x in zip(*held))
+            columns = [batch.column(i).to_numpy().astype(np.int64) for i in range(batch.num_columns)]
+            held.append((np.stack(columns[:2], axis=1), np.stack(columns[2:], axis=1)))
+            count += batch.num_rows
+            if count >= BATCH_ROWS:
+                keys, rows = (np.concatenate(x) for x in zip(*held))
                 change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
                 cut = int(change[-1]) + 1 if change.size else 0  # the last group may go on
-                if cut and (found := links(keys[:cut], fp[:cut])) is not None:
+                if cut and (found := links(keys[:cut], rows[:cut])) is not None:
                     yield found
-                held, rows = [(keys[cut:], fp[cut:])], len(fp) - cut
-        if rows and (found := links(*(np.concatenate(x) for x in zip(*held)))) is not None:
+                held, count = [(keys[cut:], rows[cut:])], len(rows) - cut
+        if count and (found := links(*(np.concatenate(x) for x in zip(*held)))) is not None:
             yield found
 
     return join
@@ -230,12 +332,26 @@ def _choices(budget: int, rows: int) -> list[int]:
     return [sum(choice) for choice in combinations(ranges, m)]
 
 
+def _deal(rows: DataFrame, masks: list[int], links) -> DataFrame:
+    """(u, v) of ``links`` over the rows (fp and others), dealt out once per mask."""
+    signed = [mask - (1 << 64) if mask >> 63 else mask for mask in masks]
+    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("value")) for i, mask in enumerate(signed)])
+    dealt = rows.select(F.explode(keys).alias("k"), *rows.columns).select("k.choice", "k.value", *rows.columns)
+    return dealt.repartition("choice", "value").sortWithinPartitions("choice", "value").mapInArrow(lean(_by_group(links)), "u long, v long").distinct()
+
+
 def trie_self_join(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     """A spanning forest (u, v) of the links between the distinct values of ``fp``, materialised beforehand."""
-    masks = [mask - (1 << 64) if mask >> 63 else mask for mask in _choices(budget, distinct.count())]
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("value")) for i, mask in enumerate(masks)])
-    dealt = distinct.select(F.explode(keys).alias("k"), "fp").select("k.choice", "k.value", "fp")
-    return dealt.repartition("choice", "value").sortWithinPartitions("choice", "value").mapInArrow(lean(_joiner(budget)), "u long, v long").distinct()
+    return _deal(distinct, _choices(budget, distinct.count()), _forest_links(budget))
+
+
+def trie_pairs(nodes: DataFrame, budget: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of ids in different classes that are near and may be alike.
+
+    ``nodes``: fp, id, class, size and the sketch's longs, materialised beforehand.
+    """
+    masks = _choices(budget, nodes.count())
+    return _deal(nodes, masks, _pair_links(budget, similarity, masks))
 
 
 def simhash_components(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
@@ -262,29 +378,71 @@ def shingle_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return _texts(docs).mapInArrow(lean(hashed), "doc_id long, shingles array<long>")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, seeds: tuple[int, ...] = SEEDS, budget: int = WIDE_BUDGET) -> DataFrame:
-    """(doc_id, keep_id) of the rows that are not their group's smallest doc_id; rows without doc_id are in no group.
+def sketches(docs: DataFrame, width: int = SHINGLE, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """doc_id, fp, fp1, ..., and of the set of shingles its digest (hi, lo), size and sketch (s0, s1, ...) of every row."""
+    names = ["fp" + (str(i) if i else "") for i in range(len(seeds))]
+    longs = [*names, "hi", "lo", "size", *[f"s{i}" for i in range(SKETCH // 64)]]
 
-    Groups are the components of candidate links whose shingle sets reach the
-    similarity: |both| / |either|, 1 for two empty sets.
-    """
-    prints = materialize(fingerprints(docs.filter("doc_id is not null"), WIDTH, seeds))
-    links = None
-    for name in prints.columns[1:]:
-        first = materialize(prints.groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("first_id")))
-        forest = trie_self_join(first.select("fp"), budget)
-        one, two = (first.select(F.col("fp").alias(k), F.col("first_id").alias(f"of_{k}")) for k in ("u", "v"))
-        near = forest.join(one, "u").join(two, "v").select(F.col("of_u").alias("a"), F.col("of_v").alias("b"))
-        same = prints.join(first, prints[name] == first.fp).filter("doc_id > first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
-        links = near.unionByName(same) if links is None else links.unionByName(near).unionByName(same)
-    links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+    def sketch(text: bytes) -> list[int]:
+        members = np.unique(np.array(shingle_hashes(text, width), np.uint64))
+        digest = np.frombuffer(xxhash.xxh3_128_digest(members.tobytes()), "<i8")
+        parity = np.packbits(np.bincount((members % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1, bitorder="little").view("<i8")
+        return [*digest, len(members), *parity]
+
+    def drawn(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                texts = [x or b"" for x in part.column(1).to_pylist()]
+                prints = [np.array([fingerprint(x, WIDTH, seed) for x in texts], np.uint64).view(np.int64) for seed in seeds]
+                drawing = np.array([sketch(x) for x in texts], np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, prints), *(pa.array(c) for c in drawing.T.copy())], ["doc_id", *longs])
+
+    return _texts(docs).mapInArrow(lean(drawn), "doc_id long, " + ", ".join(f"{n} long" for n in longs))
+
+
+def _alike(docs: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v) of the links (a, b) whose shingle sets reach the similarity: |both| / |either|, 1 for two empty sets."""
     ids = materialize(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sets = materialize(shingle_sets(join_ids(docs, ids, "left_semi"), shingle))
     left, right = (sets.select(F.col("doc_id").alias(f"{k}_id"), F.col("shingles").alias(f"in_{k}")) for k in ("a", "b"))
     held = links.join(left, links.a == F.col("a_id")).join(right, links.b == F.col("b_id"))
     both = F.size(F.array_intersect("in_a", "in_b"))
     either = F.size("in_a") + F.size("in_b") - both
-    alike = held.filter((both >= F.lit(similarity) * either)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return held.filter(both >= F.lit(similarity) * either).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, seeds: tuple[int, ...] = SEEDS, budget: int = WIDE_BUDGET) -> DataFrame:
+    """(doc_id, keep_id) of the rows that are not their group's smallest doc_id; rows without doc_id are in no group.
+
+    Groups are the components of the links: all pairs within the budget in one
+    of the fingerprints whose shingle sets reach the similarity.
+    """
+    prints = materialize(sketches(docs.filter("doc_id is not null"), shingle, seeds))
+    names, drawing = prints.columns[1 : 1 + len(seeds)], prints.columns[3 + len(seeds) :]
+    same = [*names, "hi", "lo"]
+    nodes = materialize(prints.groupBy(*same).agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in drawing]))
+    copies = prints.select("doc_id", *same).join(nodes.select("id", *same), same).filter("doc_id > id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    links, near = None, {}
+    for name in names:
+        first = materialize(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")))
+        forest = materialize(trie_self_join(first.select("fp"), budget))
+        one, two = (first.select(F.col("fp").alias(k), F.col("first_id").alias(f"of_{k}")) for k in ("u", "v"))
+        across = forest.join(one, "u").join(two, "v").select(F.col("of_u").alias("a"), F.col("of_v").alias("b"))
+        within = nodes.join(first, nodes[name] == first.fp).filter("id > first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b"))
+        links = across.unionByName(within) if links is None else links.unionByName(across).unionByName(within)
+        near[name] = forest.select(F.explode(F.array("u", "v")).alias("near")).unionByName(first.filter("n > 1").select(F.col("fp").alias("near"))).distinct()
+    links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+    alike = materialize(_alike(docs, links, shingle, similarity))
+    classes = components(alike)
+    known = materialize(nodes.join(classes, nodes.id == classes.node, "left").withColumn("class", F.coalesce("root", "id")))
+    pairs = None
+    for name in names:
+        held = materialize(known.join(near[name], known[name] == F.col("near"), "left_semi").select(F.col(name).alias("fp"), "id", "class", *drawing))
+        found = trie_pairs(held, budget, similarity)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    untested = materialize(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct().join(links, ["a", "b"], "left_anti"))
+    alike = alike.unionByName(_alike(docs, untested, shingle, similarity)).unionByName(copies)
     return components(materialize(alike.distinct())).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 
 

@@ -170,6 +170,37 @@ def test_near_duplicates(make):
     assert found == [(k * 10 + 1, k * 10) for k in range(6)]
 
 
+def plain_near(data):
+    """keep_id of every document dropped, all pairs held against each other."""
+    from lorespark.llm.simhash import SEEDS, SHINGLE, SIMILARITY, WIDE_BUDGET, fingerprint, shingle_hashes
+
+    data = sorted(data)
+    prints = [[fingerprint(t.encode(), seed=s) for s in SEEDS] for _, t in data]
+    sets = [set(shingle_hashes(t.encode(), SHINGLE)) for _, t in data]
+
+    def linked(i, j):
+        close = any((a ^ b).bit_count() <= WIDE_BUDGET for a, b in zip(prints[i], prints[j]))
+        return close and len(sets[i] & sets[j]) >= SIMILARITY * len(sets[i] | sets[j])
+
+    roots = plain_components(list(range(len(data))), linked)
+    return [(data[i][0], data[r][0]) for i, r in enumerate(roots) if i != r]
+
+
+def test_near_duplicates_many_variants(make):
+    from lorespark.llm.simhash import near_duplicates
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(300)]
+    data = [(1000, " ".join(base))]
+    for k in range(250):
+        one = base.copy()
+        for at in rng.sample(range(300), 5):
+            one[at] = rng.choice(words)
+        data.append((k, " ".join(one)))
+    assert rows(near_duplicates(make(data)), "doc_id", "keep_id") == sorted(plain_near(data), key=repr)
+
+
 def test_components_long_path(spark):
     from lorespark.llm.common import materialize
     from lorespark.llm.graph import components
