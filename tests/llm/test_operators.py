@@ -201,6 +201,22 @@ def test_near_duplicates_many_variants(make):
     assert rows(near_duplicates(make(data)), "doc_id", "keep_id") == sorted(plain_near(data), key=repr)
 
 
+def test_near_duplicates_one_fingerprint(make):
+    from lorespark.llm.simhash import SEEDS, fingerprint, near_duplicates
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    line, data = " ".join(rng.choices(words, k=11)), []
+    for k in range(6):
+        x, y = rng.choices(words, k=60), rng.choices(words, k=60)
+        z = y[:-1] + ["edited"]
+        data += [(10 * k + i, " ".join([line] * 60 + tail)) for i, tail in enumerate((x, y, z))]
+    assert all(len({fingerprint(t.encode(), seed=s) for _, t in data[:3]}) == 1 for s in SEEDS)
+    want = plain_near(data)
+    assert {(10 * k + 2, 10 * k + 1) for k in range(6)} <= set(want)
+    assert rows(near_duplicates(make(data)), "doc_id", "keep_id") == sorted(want, key=repr)
+
+
 def test_components_long_path(spark):
     from lorespark.llm.common import materialize
     from lorespark.llm.graph import components
