@@ -3,12 +3,15 @@
 A gear rolling hash runs over the bytes of each text; a chunk ends after white
 space where the hash's top bits are zero, so cuts depend on the 16 bytes before
 them alone and an insertion moves no cut beyond the chunk or two it touches.
-Text without white space is cut where a rarer pattern comes, between code
-points. A chunk is known by its 128-bit digest; its first occurrence, that of
+Scripts written without white space (Chinese, Japanese, Thai and others) are
+cut between code points, as often as words are; other text without white space
+where a rarer pattern comes. A chunk is known by its 128-bit digest; its first occurrence, that of
 the smallest doc_id and there the earliest, stays, all later ones are repeats.
 Neighbouring repeats join to spans, and spans of at least ``MIN_WORDS`` words
 count: chunks lose a few words at either end of a repeated passage, so a
 passage of 50 words is far above this, a licence line or a common phrase below.
+Where no white space parts words, every ``WORD_BYTES`` bytes count as a word:
+in those scripts, and in all else beyond ``BARE_AFTER`` bytes from white space.
 
 Digests are counted with map-side aggregation and joined back over fresh
 exchanges, whose large partitions adaptive execution may split, so a passage
@@ -34,6 +37,8 @@ MIN_WORDS = 24
 MIN_CHUNK = 16
 #: One cut in 4 words, and one in 512 bytes where white space is further away than this.
 WORD_BITS, BARE_BITS, BARE_AFTER = 2, 9, 64
+#: One cut in 8 code points of scripts without white space; bytes that count as a word there.
+POINT_BITS, WORD_BYTES = 3, 6
 #: Documents whose spans are broadcast when texts are cut; more are joined by shuffling.
 BROADCAST_DOCS = 100_000
 NO_ID = (1 << 63) - 1
@@ -50,8 +55,19 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Bytes of code points whose scripts are written without white space."""
+    then = np.append(data[1:], np.uint8(0))
+    lead = ((data >= 0xE3) & (data <= 0xE9)) | ((data == 0xE2) & (then >= 0xBA))  # kana, Chinese
+    lead |= (data == 0xE0) & (then >= 0xB8)  # Thai, Lao, Tibetan
+    lead |= (data == 0xE1) & ((then <= 0x82) | (then == 0x9E) | (then == 0x9F))  # Burmese, Khmer
+    lead |= (data == 0xEF) & (((then >= 0xA4) & (then <= 0xAB)) | ((then >= 0xBC) & (then <= 0xBE)))
+    lead |= (data == 0xF0) & (then >= 0xA0) & (then <= 0xB3)
+    return lead[np.maximum.accumulate(np.where((data & 0xC0) != 0x80, np.arange(len(data)), 0))]
+
+
 def cuts(text: bytes) -> tuple[list[int], np.ndarray]:
-    """Chunk ends (the last is the text's end) and, for each, the words begun before it."""
+    """Chunk ends (the last is the text's end) and, for each, the words, or what counts as such, before it."""
     data = np.frombuffer(text, np.uint8)
     n = len(data)
     h = gear(data)
@@ -63,10 +79,17 @@ def cuts(text: bytes) -> tuple[list[int], np.ndarray]:
     cut[:-1] = start[1:] & ((h[:-1] >> np.uint16(16 - WORD_BITS)) == 0)
     bare = (h >> np.uint16(16 - BARE_BITS)) == 0
     bare[:-1] &= (data[1:] & 0xC0) != 0x80
-    if bare.any():
+    dense = data.max() >= 0xE0
+    if dense or np.diff(np.flatnonzero(white), prepend=-1, append=n).max() > BARE_AFTER:
         at = np.arange(n)
-        bare &= at - np.maximum.accumulate(np.where(white, at, -1)) > BARE_AFTER
-        cut |= bare
+        run = at - np.maximum.accumulate(np.where(white, at, -1))
+        cut |= bare & (run > BARE_AFTER)
+        more = run > BARE_AFTER
+        if dense:
+            points = unspaced(data)
+            cut[:-1] |= points[:-1] & ((data[1:] & 0xC0) != 0x80) & ((h[:-1] >> np.uint16(16 - POINT_BITS)) == 0)
+            more |= points & (run > WORD_BYTES)
+        words = words + np.cumsum(more) // WORD_BYTES
     ends, last = [], 0
     for end in (np.flatnonzero(cut) + 1).tolist():
         if end - last >= MIN_CHUNK:

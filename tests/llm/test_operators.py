@@ -354,6 +354,24 @@ def test_repeats(make):
     assert all(len(left[i].text.split()) < 110 for i in range(101, 105)) and left[101].n_chars == len(left[101].text)
 
 
+def test_repeats_without_white_space(make):
+    from lorespark.llm.substring import remove_repeats, repeated_spans
+
+    rng = random.Random(6)
+    points = lambda a, b, n: "".join(chr(rng.randint(a, b)) for _ in range(n))
+    for k, alphabet in enumerate([(0x4E00, 0x9FA5), (0x3041, 0x3096), (0x0E01, 0x0E2E)]):
+        passage = points(*alphabet, 150)
+        data = [(1, points(*alphabet, 300) + passage), (2, passage + points(*alphabet, 300)), (3, "\n".join(points(*alphabet, 12) for _ in range(40)))]
+        data += [(4, "x\n" + data[2][1]), (5, points(*alphabet, 500))]
+        spans = {s.doc_id: s for s in repeated_spans(make(data)).collect()}
+        assert set(spans) == {2, 4} and spans[2].first_doc_id == 1 and spans[4].first_doc_id == 3
+        left = {r.doc_id: r.text for r in remove_repeats(make(data)).collect()}
+        assert all(left[i] == t for i, t in data if i in (1, 3, 5)) and len(left[2]) < 400 and len(left.get(4, "")) < 100
+    whole = points(97, 122, 20_000)
+    left = {r.doc_id: r.text for r in remove_repeats(make([(1, whole), (2, "prefix" + whole)])).collect()}
+    assert left[1] == whole and len(left.get(2, "")) < 5000
+
+
 def test_repeats_odd(clashing, make):
     from lorespark.llm.substring import remove_repeats, repeated_spans
 
