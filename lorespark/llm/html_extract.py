@@ -12,7 +12,10 @@ are nearly all links fall below the threshold, and nothing outside is taken.
 
 Elements that never hold an article's text are left out beforehand: scripts,
 styles, forms, navigation, footers, asides, page headers, and elements whose
-class, id or role names them as adverts, notices, menus, sidebars or comments.
+class, id or role names them as adverts, notices, menus, sidebars or comments;
+names of a state (``no-sidebar``, ``comments-open``) and those of html, body,
+main and article drop nothing. A head that is not closed ends at the first tag
+or text that cannot be in it.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined by two newlines. Nothing else is dropped.
@@ -39,7 +42,7 @@ LAMBDA, SIGMA, RADIUS = 0.5, 1.0, 2
 #: Inside marked content, paths with less of their text outside links are link lists.
 LEAST_PLAIN = 0.1
 
-RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|head"
+RAW = "script|style|textarea|title|iframe"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[a-z/][^>]*\Z",
@@ -49,13 +52,18 @@ BLOCK = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes if it is open in the same parent: an unclosed paragraph, item or row.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "tbody": {"tr", "thead", "tbody"}}
-DROPPED = frozenset("nav footer aside form button select option label fieldset menu dialog canvas audio video".split())
+DROPPED = frozenset("nav footer aside form button select option label fieldset menu dialog canvas audio video head noscript template svg object".split())
+#: Start tags that leave an open head open; any other, and any text, ends it.
+IN_HEAD = frozenset("base link meta basefont bgsound noscript template".split())
 MARKED = frozenset(("article", "main"))
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|sidebar|menu|nav|navbar|navigation|breadcrumbs?|masthead|footer|share|sharing|social|related"
     r"|recommend\w*|newsletter|subscribe|signup|login|comments?|commentlist|disqus|replies|respond|popup|modal|pagination|pager|toolbar|contentinfo|complementary|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Elements that no class drops, and class names that tell of a state or of something left out.
+UNNAMED = frozenset("html body main article".split())
+STATE = re.compile(r"^(?:no|not|without|hide|hidden|has|is|with)[_-]|[_-](?:open|opened|closed|enabled|disabled|hidden|visible|active|on|off|none)$", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -74,6 +82,8 @@ def nodes(page: str) -> list[tuple[int, str, str, bool, bool]]:
     found, block, at = [], 0, 0
 
     def text(end: int) -> None:
+        if stack[-1].name == "head" and page[at:end].strip():
+            del stack[-1]
         top = stack[-1]
         if end > at and not top.dropped:
             found.append((block, top.path, html.unescape(page[at:end]), top.marked, top.link))
@@ -93,6 +103,8 @@ def nodes(page: str) -> list[tuple[int, str, str, bool, bool]]:
         if name is None:
             continue
         name = name.lower()
+        if not m["close"] and stack[-1].name == "head" and name not in IN_HEAD:
+            del stack[-1]
         if m["close"]:
             if name in BLOCK or name in MARKED:
                 block += 1
@@ -123,8 +135,8 @@ def nodes(page: str) -> list[tuple[int, str, str, bool, bool]]:
         top = stack[-1]
         attrs = m["attrs"]
         names = [a or b or c for a, b, c in ATTRIBUTE.findall(attrs)] if attrs and "=" in attrs else ()
-        dropped = top.dropped or name in DROPPED or (name == "header" and not top.marked) or any(NAMED.search(n) for n in names)
-        if attrs.endswith("/") and name in BLOCK | {"a", "span"} and name not in ("p", "div", "a", "span"):
+        dropped = top.dropped or name in DROPPED or (name == "header" and not top.marked) or (name not in UNNAMED and any(NAMED.search(c) and not STATE.search(c) for n in names for c in n.split()))
+        if attrs.endswith("/") and name in BLOCK | {"a", "span", "svg"} and name not in ("p", "div", "a", "span"):
             continue
         path = f"{top.path}/{name}" + "".join(f".{n}" for n in names) if blocked else top.path
         stack.append(_Open(name, path, dropped, top.marked or name in MARKED, top.link or name == "a"))

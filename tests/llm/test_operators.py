@@ -243,6 +243,17 @@ def test_extract_marked():
     assert extract("<article><p>cut off <b>in a ta</") == "cut off in a ta"
 
 
+def test_extract_open_head_and_state_classes():
+    from lorespark.llm.html_extract import extract
+
+    want = "One, two.\n\nThree."
+    body = "<article><p>One, two.</p><p>Three.</p></article>"
+    for start in ("<html><head><title>x</title><body>", "<head><meta charset=u><link href=x>", "<body class='page no-sidebar'>", "<html class=has-nav><body id=menu>", "<div class='x comments-open'>", "<body><svg class=i /><object data=x></object>"):
+        assert extract(start + body) == want
+    assert extract("<article class='post comments-open'><p>One, two.</p><p>Three.</p><div class='comments'>no</div></article>") == want
+    assert extract("<main class=search><svg><text>no</text></svg><noscript>no</noscript><p>One, two.</p><p>Three.</p></main>") == want
+
+
 def test_extract_by_ratio():
     from lorespark.llm.html_extract import extract
 
