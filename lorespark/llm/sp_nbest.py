@@ -7,12 +7,20 @@ Viterbi scores give each position the best score from the start; searching
 backward from the end, that score is exactly what the rest of a partial path
 can still reach, so A* expands only partial paths of the N best.
 
+Scores are log probabilities of pieces. A unigram model brings its own; those
+of a byte-pair model are only the ranks of its merges, whose sums mean nothing,
+so its pieces get the Zipf-Mandelbrot probabilities of their ranks: the merge
+list is ordered by frequency, and nothing is trained. The library's own
+encoding (its merges, for such a model) is computed beside the N best.
+
 No piece holds two neighbouring characters that are a pair in no piece, so the
 lattice falls apart at such pairs, and its N best paths are the N best sums of
 the parts' paths. Parts are cut at spaces and line ends (the model is asked
-whether it allows that), and each distinct part is searched once per worker:
-the two best paths of every part say which parts can take part in a text's N
-best at all, and only those are searched for N.
+whether it allows that). A worker numbers the distinct parts it meets and keeps
+what it knows of them in arrays: a text is then a list of numbers, and its best
+score, length and round trip are sums over them. The gap between the two best
+paths of every part says which parts can take part in a text's N best at all,
+and only those are searched for N.
 
 Defined results: null and empty texts have no pieces, score 0.0 and the empty
 segmentation alone; paths of one score come in a fixed order; rows that repeat
@@ -22,9 +30,12 @@ a doc_id are each returned; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
+from array import array
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +45,13 @@ from lorespark.llm.common import lean, tokenizer_file
 
 MODEL, NBEST = "piece_bpe_32k.model", 4
 SPACE = "▁"
-UNKNOWN_PENALTY, LEAST_SCORE = 10.0, -1e8
-CACHE_PARTS = 300_000
+UNKNOWN_PENALTY = 10.0
+#: Zipf-Mandelbrot: the probability of rank r is in proportion to (r + ZIPF_SHIFT) ** -ZIPF_POWER. Pieces of a merged
+#: text are spread more evenly than words, hence the power below 1.
+ZIPF_SHIFT, ZIPF_POWER = 2.7, 0.5
+#: A worker forgets its parts beyond so many, or so many characters in all.
+CACHE_PARTS, CACHE_CHARS = 600_000, 12_000_000
+NEVER = float("-inf")
 
 
 class Lattice:
@@ -44,60 +60,96 @@ class Lattice:
     def __init__(self, model: str = MODEL):
         import sentencepiece as spm
 
-        sp = spm.SentencePieceProcessor(model_file=tokenizer_file(model))
+        self.sp = sp = spm.SentencePieceProcessor(model_file=tokenizer_file(model))
         n = sp.get_piece_size()
-        special = lambda i: sp.is_unknown(i) or sp.is_control(i) or sp.is_unused(i)
-        self.pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in range(n) if not special(i) and not sp.is_byte(i)}
+        special = lambda i: sp.is_unknown(i) or sp.is_control(i) or sp.is_unused(i) or sp.is_byte(i)
+        ids = [i for i in range(n) if not special(i)]
+        scores = self._scores([sp.get_score(i) for i in ids])
+        self.pieces = {sp.id_to_piece(i): (i, s) for i, s in zip(ids, scores)}
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
-        # pieces, and their beginnings without a value: past what is not in here, nothing longer matches
-        self.begun = {p[:k]: None for p in self.pieces for k in range(2, len(p))} | self.pieces
-        self.missing = min(s for _, s in self.pieces.values() if s > LEAST_SCORE) - UNKNOWN_PENALTY
+        self.missing = min(scores) - UNKNOWN_PENALTY
+        self.matches = ahocorasick.Automaton()
+        for p, (i, s) in self.pieces.items():
+            self.matches.add_word(p, (len(p), s, (i,)))
+        self.matches.make_automaton()
+        self.single = frozenset(p for p in self.pieces if len(p) == 1)
         self.spelled = [b""] * n
         for p, (i, _) in self.pieces.items():
             self.spelled[i] = p.replace(SPACE, " ").encode()
         for b, i in self.bytes.items():
             self.spelled[i] = bytes([b])
-        self.pairs = pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         split_space = not any(x[1] == SPACE and x[0] != SPACE for x in pairs)
         split_line = not any("\n" in x for x in pairs)
         inner = "[^" + SPACE * split_space + "\n" * split_line + "]*"
         self.parts = re.compile(("\n|" if split_line else "") + (f"{SPACE}+{inner}|{inner[:-1]}+" if split_space else f"{inner[:-1]}+")).findall
-        self.two: dict[str, tuple[float, bytes, float]] = {}
-        self.before: dict[str, tuple[float, bytes, float]] = {}  # the generation before: what is still used moves on
-        self.many: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
+        #: How many ids a line end in front takes, when the library encodes a part that begins without a space.
+        self.lead = len(sp.encode("\n"))
+
+    @staticmethod
+    def _scores(given: list[float]) -> list[float]:
+        """A unigram model's log probabilities as they are; ranks of merges as Zipf-Mandelbrot log probabilities."""
+        if any(s != int(s) for s in given):
+            return given
+        order = sorted(range(len(given)), key=lambda k: (-given[k], k))
+        total = math.log(sum((r + ZIPF_SHIFT) ** -ZIPF_POWER for r in range(1, len(given) + 1)))
+        out = [0.0] * len(given)
+        for rank, k in enumerate(order, 1):
+            out[k] = -ZIPF_POWER * math.log(rank + ZIPF_SHIFT) - total
+        return out
 
     def normalize(self, text: str) -> str:
         return (SPACE + text.replace(" ", SPACE)) if text else ""
 
-    def edges(self, part: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end position: (start, score, ids) of the edges that end there."""
-        n, get, begun = len(part), self.pieces.get, self.begun
-        into: list[list] = [[] for _ in range(n + 1)]
-        for a in range(n):
-            found = get(part[a])
-            if found is None:
-                spelled = part[a].encode("utf-8", "surrogatepass")
-                ids = tuple(self.bytes.get(b, self.unknown) for b in spelled) if self.bytes else (self.unknown,)
-                into[a + 1].append((a, self.missing, ids))
-            else:
-                into[a + 1].append((a, found[1], (found[0],)))
-            for b in range(a + 2, n + 1):
-                piece = part[a:b]
-                if piece not in begun:
-                    break
-                found = begun[piece]
-                if found is not None:
-                    into[b].append((a, found[1], (found[0],)))
-        return into
-
-    def nbest(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    def edges(self, part: str):
+        """(last position, (length, score, ids)) of every edge; positions ascend."""
+        found = self.matches.iter(part)
+        if self.single.issuperset(part):
+            return found
+        lone = []
+        for k, c in enumerate(part):
+            if c not in self.single:
+                spelled = c.encode("utf-8", "surrogatepass")
+                lone.append((k, (1, self.missing, tuple(self.bytes.get(b, self.unknown) for b in spelled) if self.bytes else (self.unknown,))))
+        return heapq.merge(found, lone, key=lambda x: x[0])
+
+    def best_two(self, part: str) -> tuple[float, bytes, float, bool]:
+        """Best score of a part, its ids, by how much the second best path is worse, and whether the ids spell the part."""
+        n = len(part)
+        first, second = [0.0] + [NEVER] * n, [NEVER] * (n + 1)
+        via: list = [None] * (n + 1)
+        for last, edge in self.edges(part):
+            length, gain, _ = edge
+            b = last + 1
+            a = b - length
+            s, top = first[a] + gain, first[b]
+            if s > top:
+                under = second[a] + gain
+                if under > top:
+                    top = under
+                if top > second[b]:
+                    second[b] = top
+                first[b], via[b] = s, edge
+            elif s > second[b]:
+                second[b] = s
+        pieces, b = [], n
+        while b:
+            pieces.append(via[b][2])
+            b -= via[b][0]
+        ids = [i for piece in reversed(pieces) for i in piece]
+        spells = b"".join([self.spelled[i] for i in ids]) == part.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+        return first[n], array("I", ids).tobytes(), first[n] - second[n], spells
+
+    def nbest(self, part: str, n: int) -> list[tuple[float, bytes]]:
         """The ``n`` best (score, ids) of one part, best first."""
-        into = self.edges(part)
-        forward = [0.0] * len(into)
-        for b in range(1, len(into)):
-            forward[b] = max(forward[a] + s for a, s, _ in into[b])
-        end, count, out = len(part), 0, []
+        end = len(part)
+        into: list[list] = [[] for _ in range(end + 1)]
+        forward = [0.0] + [NEVER] * end
+        for last, edge in self.edges(part):
+            into[last + 1].append(edge)
+            forward[last + 1] = max(forward[last + 1], forward[last + 1 - edge[0]] + edge[1])
+        count, out = 0, []
         heap: list[tuple] = [(-forward[end], end, 0, 0.0, None)]  # (-(best total), position, order, score behind it, path)
         while heap and len(out) < n:
             _, b, _, behind, path = heapq.heappop(heap)
@@ -106,135 +158,151 @@ class Lattice:
                 while path is not None:
                     ids += path[0]
                     path = path[1]
-                out.append((behind, tuple(ids)))
+                out.append((behind, array("I", ids).tobytes()))
                 continue
-            for a, s, ids in into[b]:
+            for length, s, ids_ in into[b]:
                 count += 1
-                heapq.heappush(heap, (-(forward[a] + s + behind), a, count, s + behind, (ids, path)))
+                heapq.heappush(heap, (-(forward[b - length] + s + behind), b - length, count, s + behind, (ids_, path)))
         return out
 
-    def _two(self, part: str) -> tuple[float, bytes, float]:
-        """Best score, its ids, and the loss of the best path that has an edge the first one has not."""
-        into = self.edges(part)
-        n = len(part)
-        forward, back, via = [0.0] * (n + 1), [float("-inf")] * n + [0.0], [None] * (n + 1)
-        for b in range(1, n + 1):
-            top = float("-inf")
-            for e in into[b]:
-                s = forward[e[0]] + e[1]
-                if s > top:
-                    top, via[b] = s, e
-            forward[b] = top
-        second = float("-inf")
-        on_path, b, ids = {n}, n, []
-        while b:
-            ids.append(via[b][2])
-            b = via[b][0]
-            on_path.add(b)
-        for b in range(n, 0, -1):
-            after = back[b]
-            for e in into[b]:
-                a, s = e[0], e[1] + after
-                if s > back[a]:
-                    back[a] = s
-                if (e is not via[b] or b not in on_path) and forward[a] + s > second:
-                    second = forward[a] + s
-        flat = [i for piece in reversed(ids) for i in piece]
-        return forward[n], np.array(flat, "<u4").tobytes(), forward[n] - second
-
-    def best_two(self, part: str) -> tuple[float, bytes, float]:
-        """(best score, its ids, by how much the second is worse), kept per worker."""
-        found = self.two.get(part)
-        if found is None:
-            found = self.before.get(part)
-            if found is not None:
-                self.two[part] = found
-                return found
-            pairs = self.pairs
-            at = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in pairs]
-            if at:
-                pieces = [self.best_two(part[a:b]) for a, b in zip([0, *at], [*at, len(part)])]
-                found = (sum([x[0] for x in pieces]), b"".join([x[1] for x in pieces]), min([x[2] for x in pieces]))
-            else:
-                found = self._two(part)
-            if len(self.two) >= CACHE_PARTS:
-                self.before, self.two = self.two, {}
-            self.two[part] = found
+    def library(self, parts: list[str]) -> list[bytes]:
+        """The library's own encoding of each part."""
+        spaced = [p[0] == SPACE for p in parts]
+        given = [p[1:].replace(SPACE, " ") if s else "\n" + p.replace(SPACE, " ") for p, s in zip(parts, spaced)]
+        found = self.sp.encode(given, num_threads=1)
+        alone = [array("I", ids if s else ids[self.lead :]).tobytes() for ids, s in zip(found, spaced)]
+        if SPACE in self.pieces:  # alone it is the space before an empty text, for which the library gives nothing
+            lone = array("I", [self.pieces[SPACE][0]]).tobytes()
+            alone = [lone if p == SPACE else ids for p, ids in zip(parts, alone)]
+        return alone
+
+    def decode(self, ids: bytes) -> str:
+        """The text of a segmentation: pieces joined, the added space taken off."""
+        data = b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return (data[1:] if data[:1] == b" " else data).decode("utf-8", "surrogatepass")
+
+
+class Parts(dict):
+    """Numbers of the parts a worker has met, and what is known of each, in arrays; made anew when there are many."""
+
+    def __init__(self, lattice: Lattice):
+        super().__init__()
+        self.lattice = lattice
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.chars, self.many = 0, {}
+        self.names: list[str] = []
+        self.ids: list[bytes] = []
+        self.own: list[bytes] = []  # the library's
+        self.fresh: list[tuple[float, float, int, bool]] = []
+        self.score, self.worse, self.size, self.same = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def __missing__(self, part: str) -> int:
+        score, ids, worse, spells = self.lattice.best_two(part)
+        k = self[part] = len(self.names)
+        self.names.append(part)
+        self.ids.append(ids)
+        self.fresh.append((score, worse, len(ids) // 4, spells))
+        self.chars += len(part)
+        return k
+
+    def numbers(self, texts: list[str | None]) -> list[list[int]]:
+        """The parts of each text, and room for them in the arrays."""
+        if len(self.names) > CACHE_PARTS or self.chars > CACHE_CHARS:
+            self.forget()
+        split, normalize, number = self.lattice.parts, self.lattice.normalize, self.__getitem__
+        found = [list(map(number, split(normalize(t or "")))) for t in texts]
+        if self.fresh:
+            score, worse, size, same = zip(*self.fresh)
+            self.score, self.worse = np.append(self.score, score), np.append(self.worse, worse)
+            self.size, self.same = np.append(self.size, size), np.append(self.same, same)
+            self.own += self.lattice.library(self.names[len(self.own) :])
+            self.fresh = []
         return found
 
-    def best_many(self, part: str, n: int) -> list[tuple[float, bytes]]:
-        found = self.many.get((part, n))
+    def nbest(self, k: int, n: int) -> list[tuple[float, bytes]]:
+        found = self.many.get((k, n))
         if found is None:
-            found = [(score, np.array(ids, "<u4").tobytes()) for score, ids in self.nbest(part, n)]
-            if len(self.many) >= CACHE_PARTS:
-                self.many.clear()
-            self.many[part, n] = found
+            found = self.many[k, n] = self.lattice.nbest(self.names[k], n)
         return found
 
-    def segment(self, text: str | None, n: int = NBEST) -> list[tuple[float, bytes]]:
-        """The ``n`` best (score, ids as little-endian unsigned 32-bit numbers) of a text, best first."""
-        parts = self.parts(self.normalize(text or ""))
-        two, best_two = self.two.get, self.best_two
-        best = [two(p) or best_two(p) for p in parts]
-        ids = [x[1] for x in best]
-        total = sum([x[0] for x in best])
-        out = [(0.0, ())]
-        if n > 1 and parts:
-            worse = np.array([x[2] for x in best])
-            open_ = np.argsort(worse, kind="stable")[: n - 1] if len(worse) <= 64 else self._smallest(worse, n - 1)
-            for k in open_.tolist():
-                ways = self.best_many(parts[k], n)
-                sums = [(loss + ways[0][0] - score, (*chosen, (k, alt)) if alt != ids[k] else chosen) for loss, chosen in out for score, alt in ways]
+    def segment(self, numbers: list[int], n: int = NBEST) -> list[tuple[float, bytes]]:
+        """The ``n`` best (score, ids as little-endian unsigned 32-bit numbers) of the text of these parts, best first."""
+        if not numbers:
+            return [(0.0, b"")]
+        at = np.array(numbers)
+        total, best = float(self.score[at].sum()), b"".join(map(self.ids.__getitem__, numbers))
+        out: list[tuple[float, tuple]] = [(0.0, ())]
+        if n > 1:
+            worse = self.worse[at]
+            near = np.flatnonzero(worse <= np.partition(worse, n - 2)[n - 2]) if len(worse) > n - 1 else np.arange(len(worse))
+            for i in near[np.argsort(worse[near], kind="stable")][: n - 1].tolist():
+                ways = self.nbest(numbers[i], n)
+                first = self.ids[numbers[i]]
+                ways = sorted(ways, key=lambda w: (-w[0], w[1] != first))
+                sums = [(loss + ways[0][0] - score, (*chosen, (i, ids)) if ids != first else chosen) for loss, chosen in out for score, ids in ways]
                 out = sorted(sums, key=lambda x: x[0])[:n]
+        ends = np.cumsum(self.size[at]) * 4 if len(out) > 1 else None
         result = []
         for loss, chosen in out:
-            for k, alt in chosen:
-                ids[k] = alt
-            result.append((total - loss, b"".join(ids)))
-            for k, _ in chosen:
-                ids[k] = best[k][1]
+            pieces, last = [], 0
+            for i, ids in sorted(chosen):
+                stop = int(ends[i])
+                pieces += [best[last : stop - len(self.ids[numbers[i]])], ids]
+                last = stop
+            result.append((total - loss, b"".join([*pieces, best[last:]])))
         return result
 
-    @staticmethod
-    def _smallest(values: np.ndarray, n: int) -> np.ndarray:
-        near = np.flatnonzero(values <= np.partition(values, n - 1)[n - 1])
-        return near[np.argsort(values[near], kind="stable")][:n]
 
-    def decode(self, ids: bytes) -> str:
-        """The text of a segmentation: pieces joined, the added space taken off."""
-        data = b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return (data[1:] if data[:1] == b" " else data).decode("utf-8", "surrogatepass")
+_parts: dict[str, Parts] = {}
+
 
+def parts_of(model: str = MODEL) -> Parts:
+    """This worker's parts for ``model``."""
+    if model not in _parts:
+        _parts[model] = Parts(Lattice(model))
+    return _parts[model]
 
-_lattices: dict[str, Lattice] = {}
 
+def segment(text: str | None, n: int = NBEST, model: str = MODEL) -> list[tuple[float, bytes]]:
+    """The ``n`` best (score, ids) of one text."""
+    parts = parts_of(model)
+    return parts.segment(parts.numbers([text])[0], n)
 
-def lattice(model: str = MODEL) -> Lattice:
-    if model not in _lattices:
-        _lattices[model] = Lattice(model)
-    return _lattices[model]
 
+def segmentations(docs: DataFrame, model: str = MODEL, n: int = NBEST, with_ids: bool = False) -> DataFrame:
+    """Of every row: doc_id, n_pieces, score and ids_crc32 of the best path, whether decoding it gives the text, the N
+    best, and number and ids_crc32 of the pieces of the library's own encoding.
 
-def segmentations(docs: DataFrame, model: str = MODEL, n: int = NBEST) -> DataFrame:
-    """doc_id, n_pieces, score, ids_crc32 of the best path, whether decoding it gives the text, and the N best of every row."""
+    ``with_ids`` adds the best path's piece ids as ``ids``.
+    """
 
     best = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64())]))
+    names = ["doc_id", "n_pieces", "score", "ids_crc32", "decodes", "nbest", "library_n_pieces", "library_crc32"] + ["ids"] * with_ids
 
     def segmented(batches):
-        search = lattice(model)
+        parts = parts_of(model)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ways, same = [], []
-                for text in part.column(1).to_pylist():
-                    found = search.segment(text, n)
-                    same.append(search.decode(found[0][1]) == (text or ""))
-                    ways.append([{"score": s, "n_pieces": len(ids) // 4, "ids_crc32": zlib.crc32(ids)} for s, ids in found])
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                numbers = parts.numbers(part.column(1).to_pylist())
+                ways, same, own, ids = [], [], [], []
+                for of_text in numbers:
+                    found = parts.segment(of_text, n)
+                    same.append(bool(parts.same[of_text].all()))
+                    ways.append([{"score": s, "n_pieces": len(x) // 4, "ids_crc32": zlib.crc32(x)} for s, x in found])
+                    own.append(b"".join(map(parts.own.__getitem__, of_text)))
+                    if with_ids:
+                        ids.append(np.frombuffer(found[0][1], "<i4"))
                 first = lambda key: [w[0][key] for w in ways]  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(first("n_pieces"), pa.int64()), pa.array(first("score"), pa.float64()), pa.array(first("ids_crc32"), pa.int64()), pa.array(same), pa.array(ways, best)],
-                    ["doc_id", "n_pieces", "score", "ids_crc32", "decodes", "nbest"],
-                )
+                columns = [
+                    part.column(0), pa.array(first("n_pieces"), pa.int64()), pa.array(first("score"), pa.float64()), pa.array(first("ids_crc32"), pa.int64()), pa.array(same), pa.array(ways, best),
+                    pa.array([len(x) // 4 for x in own], pa.int64()), pa.array(list(map(zlib.crc32, own)), pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
 
-    schema = "doc_id long, n_pieces long, score double, ids_crc32 long, decodes boolean, nbest array<struct<score: double, n_pieces: long, ids_crc32: long>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(segmented), schema)
+    schema = "doc_id long, n_pieces long, score double, ids_crc32 long, decodes boolean, nbest array<struct<score: double, n_pieces: long, ids_crc32: long>>, library_n_pieces long, library_crc32 long"
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return text.mapInArrow(lean(segmented), schema + ", ids array<int>" * with_ids)

@@ -394,9 +394,10 @@ def test_repeats_odd(clashing, make):
 
 
 def test_nbest_brute_force():
-    from lorespark.llm.sp_nbest import Lattice
+    from lorespark.llm import sp_nbest
+    from lorespark.llm.sp_nbest import segment
 
-    search = Lattice()
+    search = sp_nbest.parts_of().lattice
 
     def every(text):
         s, found = search.normalize(text), []
@@ -415,22 +416,39 @@ def test_nbest_brute_force():
         return sorted(found, key=lambda x: -x[0])
 
     for text in ("the cat", "a  b", "on\nin", "€ 𝄞", "abc, de.", "   ", "\n\n", "x"):
-        want, got = every(text), search.segment(text, 5)
-        assert [round(s, 3) for s, _ in got] == [round(s, 3) for s, _ in want[:5]]
+        want, got = every(text), segment(text, 5)
+        known = {ids: s for s, ids in want}
+        assert [round(s, 6) for s, _ in got] == [round(s, 6) for s, _ in want[:5]]
         assert len({i for _, i in got}) == len(got)
-        assert all((s, tuple(np.frombuffer(i, "<u4").tolist())) in set(want) for s, i in got)
+        assert all(abs(known[tuple(np.frombuffer(i, "<u4").tolist())] - s) < 1e-9 for s, i in got)
         assert all(search.decode(i) == text for _, i in got)
-    assert search.segment("", 4) == [(0.0, b"")] == search.segment(None, 4)
+    assert segment("", 4) == [(0.0, b"")] == segment(None, 4)
+    assert segment("aaaa " * 3, 4) == segment("aaaa " * 3, 4)  # ties: a fixed order
+
+
+def test_scores_are_log_probabilities():
+    from lorespark.llm.sp_nbest import Lattice
+
+    scores = [s for _, s in Lattice().pieces.values()]
+    assert abs(sum(np.exp(scores)) - 1) < 1e-6
+    assert Lattice._scores([-1.5, -2.25]) == [-1.5, -2.25]  # a unigram model's own
 
 
-def test_segmentations(spark, sf_dir, clashing):
-    from lorespark.llm.sp_nbest import segmentations
+def test_segmentations(spark, sf_dir, clashing, make):
+    from lorespark.llm.sp_nbest import parts_of, segmentations
 
-    got = segmentations(documents(spark, sf_dir)).collect()
+    docs = documents(spark, sf_dir)
+    got = segmentations(docs, with_ids=True).collect()
     assert all(r.decodes and len(r.nbest) == 4 for r in got)
     assert all([x.score for x in r.nbest] == sorted((x.score for x in r.nbest), reverse=True) for r in got)
+    assert all(len(r.ids) == r.n_pieces and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+    library, texts = parts_of().lattice.sp, {r.doc_id: r.text for r in docs.collect()}
+    for r in got:
+        ids = library.encode(texts[r.doc_id] or "")
+        assert (r.library_n_pieces, r.library_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     out = segmentations(clashing)
     assert out.count() == len(ODD) and out.filter("decodes").count() == len(ODD)
+    assert segmentations(make([])).count() == 0
 
 
 # --- 7: language ---------------------------------------------------------------
