@@ -9,7 +9,7 @@ import re
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Identifiers are broadcast up to this many rows (about 16 bytes each);
@@ -24,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Where none is set, a local master gets a temporary one."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
+        if not conf and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(conf or tempfile.mkdtemp(prefix="lorespark-"))
     return conf or jsc.getCheckpointDir().get()
 
@@ -42,6 +44,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """``keys``, to be broadcast if counting them shows that they are few."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
 def join_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
     """Semi or anti join of wide rows with a set of keys, null-safe.
 
@@ -49,12 +56,37 @@ def join_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> Da
     are broadcast so that the wide rows stay where they are, beyond that both
     sides are shuffled.
     """
-    ids = ids.select(F.col(key).alias("__key")).distinct()
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    ids = _small(ids.select(F.col(key).alias("__key")).distinct())
     return df.join(ids, df[key].eqNullSafe(ids["__key"]), how)
 
 
+#: A row's identity where doc_ids may be null or repeat: the id and 128 bits of the text.
+ROW = ["__row_id", "__row_a", "__row_b"]
+
+
+def row_key(text: str = "text") -> list[Column]:
+    """The columns ``ROW`` of a row; rows that share them have one id and one text (null is not empty)."""
+    t = F.col(text).cast("string")
+    return [F.col("doc_id").cast("long").alias(ROW[0]), F.xxhash64(t).alias(ROW[1]), F.xxhash64(F.lit(1), t).alias(ROW[2])]
+
+
+def join_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of ``docs`` with a materialised set of row keys; see ``join_ids``."""
+    keys = _small(rows.select(*[F.col(c).alias(f"{c}_of") for c in ROW]).distinct())
+    keyed = docs.select("*", *row_key())
+    on = [keyed[c].eqNullSafe(keys[f"{c}_of"]) for c in ROW]
+    return keyed.join(keys, on, how).select(*[docs.columns[i] for i in range(len(docs.columns))])
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` without the rows of the keys ``dropped``; of the keys ``repeated`` one row each stays. Both materialised."""
+    left = join_rows(docs, dropped, "left_anti")
+    if repeated.isEmpty():
+        return left
+    keyed = join_rows(left, repeated, "left_semi").select("*", *row_key())
+    return join_rows(left, repeated, "left_anti").unionByName(keyed.dropDuplicates(ROW).drop(*ROW))
+
+
 def lean(task):
     """A ``mapInArrow`` function that is sparing with memory.
 

@@ -14,8 +14,10 @@
 Defined results: null text counts as empty, so all empty and null texts are
 equal; the smallest non-null doc_id of a group is kept; rows that repeat a
 doc_id are all returned and all carry their group's outcome; a null doc_id is
-never the one kept unless its group has no other, and then only if the row is
-alone; other columns are ignored.
+kept only if its group has no other; other columns are ignored. ``keep_first``
+leaves exactly one row of each group: of rows that share the kept doc_id, or
+have none, the one whose raw text's hash is smallest. Rows are told apart by
+doc_id and text (``common.ROW``), so null and repeated ids lose no text.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm import golomb
-from lorespark.llm.common import join_ids, lean, materialize, shuffle_partitions
+from lorespark.llm.common import ROW, drop_rows, join_rows, lean, materialize, row_key, shuffle_partitions
 
+#: Rows whose hashes fall in an owner's range, at most, on average.
+OWNED = 2_000_000
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -80,51 +84,62 @@ def _marker(bits: int):
                 seen = seen | np.unpackbits(np.frombuffer(bitmaps[owner], np.uint8), count=len(values)).astype(bool)
             suspect.append(values[seen])
         marked = np.concatenate(suspect) if suspect else np.empty(0, np.uint64)
-        out = rows[["doc_id", "h", "sha"]].copy()
+        out = rows[[*ROW, "h", "sha"]].copy()
         out["suspect"] = np.isin(rows.h.to_numpy().astype(np.int64).view(np.uint64), marked)
         return out
 
     return mark
 
 
+_ROW = ", ".join(f"{c} long" for c in ROW)
+
+
 def mark_suspects(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, sha, suspect) of every row, materialised; suspects share their hash with another row."""
-    norm = normalized(F.col("text"))
+    """(row key, h, sha, suspect) of every row, materialised; suspects share their hash with another row."""
     prints = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"))
-        .select("doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"))
+        docs.select(*row_key(), normalized(F.col("text")).alias("norm"))
+        .select(*ROW, F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"))
         .withColumn("part", F.spark_partition_id())
     )
-    bits = max(1, shuffle_partitions(docs.sparkSession) - 1).bit_length()
+    # at most OWNED rows on average for an owner, so that a task's memory does not grow with the table
+    bits = max(1, shuffle_partitions(docs.sparkSession) - 1, prints.count() // OWNED).bit_length()
     sent = prints.select("part", "h").mapInArrow(lean(_sender(bits)), "owner int, part int, coded binary")
     answers = sent.groupBy("owner").applyInPandas(_answer, "part int, owner int, bitmap binary")
-    marked = prints.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_marker(bits), "doc_id long, h long, sha binary, suspect boolean")
+    marked = prints.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_marker(bits), f"{_ROW}, h long, sha binary, suspect boolean")
     return materialize(marked)
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row; see the module's text."""
+def _decided(docs: DataFrame) -> DataFrame:
+    """(row key, sha, keep_id, group_size, best) of every row; ``best`` is the row key that stays, null for a row alone."""
     marked = mark_suspects(docs)
-    suspects = marked.filter("suspect").select("doc_id", "h", "sha")
+    suspects = marked.filter("suspect").select(*ROW, "h", "sha")
     norm = normalized(F.col("text"))
-    texts = join_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), suspects, "left_semi")
+    texts = join_rows(docs, suspects, "left_semi")
     groups = (
-        texts.select("doc_id", norm.alias("norm"))
+        texts.select(*row_key(), norm.alias("norm"))
         .groupBy("norm")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select(F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
-    )
-    alone = marked.filter("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
-    grouped = suspects.join(groups, ["h", "sha"]).select("doc_id", "keep_id", "group_size", "sha")
-    return alone.unionByName(grouped).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+        .agg(F.min(ROW[0]).alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.min(F.struct(F.col(ROW[0]).isNull().alias("none"), *ROW)).alias("best"))
+        .select(F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size", "best")
     )
+    alone = marked.filter("not suspect").select(*ROW, "sha", F.col(ROW[0]).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(None).cast(groups.schema["best"].dataType).alias("best"))
+    return alone.unionByName(suspects.join(groups, ["h", "sha"]).select(*ROW, "sha", "keep_id", "group_size", "best"))
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row; see the module's text."""
+    doc_id = F.col(ROW[0])
+    return _decided(docs).select(doc_id.alias("doc_id"), "keep_id", "group_size", doc_id.eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows that repeat a doc_id and text stay once."""
-    dropped = materialize(exact_dedup(docs).filter("not kept").select("doc_id"))
-    return join_ids(docs, dropped, "left_anti")
+    """The rows of ``docs`` that stay, one of each group, with all their columns."""
+    grouped = _decided(docs).filter("best is not null")
+    stays = F.lit(True)
+    for c in ROW:
+        stays = stays & F.col(c).eqNullSafe(F.col(f"best.{c}"))
+    judged = materialize(grouped.select(*ROW, stays.alias("stays")))
+    repeated = materialize(judged.filter("stays").groupBy(*ROW).count().filter("count > 1").select(*ROW))
+    return drop_rows(docs, judged.filter("not stays"), repeated)
 
 
 ORACLE_SQL = r"""

@@ -19,22 +19,27 @@ than the group has, so many near copies do not give all their pairs. Components
 of the forest are found in DataFrames (``graph.components``).
 
 ``keep_one`` is for corpora, where near-duplicates are texts whose sets of
-five-word shingles have a Jaccard similarity of 0.8 or more. These differ in
-more bits (on the test corpus in 1 to 11, half of them in 5 or more), so it
-takes a budget of 6 on two fingerprints with different seeds, and then holds
-shingle sets against each other exactly. Links are pairs of documents that are
-near in a fingerprint and alike in their sets; groups are their components. A
-forest of the near pairs is held first and gives classes of documents that are
-known to belong together. A second walk then gives every near pair of documents
-in different classes, those with one fingerprint too, unless their sketches
-(``SKETCH`` parities of the set's values) prove them unlike; it leaves out what
-lies in one class only, so no link is lost. Documents with the same set and
-fingerprints are one in both walks.
+five-word shingles have a Jaccard similarity of 0.8 or more. Its candidates are
+near in one of four fingerprints made of the set (not the sequence) of words and
+two-word shingles: a changed word moves fewer of those than of longer ones, and
+a repeated line counts once. With a budget of 5 bits on four fingerprints 0.97
+of the alike pairs of the test corpus (sf0.1, mean over hash functions) are
+candidates; 0.77 were with 6 bits on two of three-word shingles. Links are candidates
+whose five-word sets, held against each other exactly, reach the similarity;
+groups are their components. A forest of the near pairs is held first and gives
+classes of documents that are known to belong together. A second walk then
+gives every near pair of documents in different classes, those with one
+fingerprint too, unless their sketches (``SKETCH`` parities of the set's values)
+prove them unlike; it leaves out what lies in one class only, so no link is
+lost. Documents with the same set and fingerprints are one in both walks.
 
 Defined results: null or blank text has fingerprint 0, which links like any
 other; fewer words than ``WIDTH`` form one shingle, the whole sequence; rows
 that repeat a doc_id are each returned; a null doc_id never names a component
-unless all of its members are null; other columns are ignored.
+unless all of its members are null; other columns are ignored. ``keep_one``
+tells rows apart by doc_id and text (``common.ROW``): of a group the row with
+the smallest doc_id stays (nulls last, then by the text's hash), and of rows
+equal in both, one.
 """
 
 from __future__ import annotations
@@ -47,13 +52,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import join_ids, lean, materialize
+from lorespark.llm.common import ROW, drop_rows, join_rows, lean, materialize, row_key
 from lorespark.llm.graph import components
 
 WIDTH, SEED, BUDGET, BITS = 3, 42, 2, 64
-#: keep_one: words per shingle and similarity of near-duplicates; seeds and budget of the search for candidates.
+#: keep_one: words per shingle and similarity of near-duplicates; words per shingle, budget and names of the search for candidates.
 SHINGLE, SIMILARITY = 5, 0.8
-SEEDS, WIDE_BUDGET = (42, 7), 6
+CANDIDATE, WIDE_BUDGET, PRINTS = (1, 2), 5, ("fp", "fp1", "fp2", "fp3")
 #: Average rows per group that the choice of ranges aims at, and the steps in which budgets rise.
 GROUP, STEP = 64, 2
 #: Parities that a set's sketch holds, and document pairs held against each other's sketches at once.
@@ -62,45 +67,57 @@ SKETCH, PAIRS = 512, 200_000
 BATCH_ROWS, FRONTIER = 100_000, 50_000
 
 
-def shingle_hashes(data: bytes, width: int, seed: int = SEED) -> list[int]:
-    """XXH64 of every shingle of ``width`` words, repeats included, as unsigned numbers."""
+def shingles(data: bytes, width: int) -> list[bytes]:
+    """Every run of ``width`` words, repeats included."""
     words = data.lower().split()
-    if not words:
-        return []
-    joined, hash_of = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return [hash_of(joined, seed)]
+        return [b" ".join(words)] if words else []
+    joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    return [hash_of(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
+    return [joined[a:b] for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
 
 
-def fingerprint(data: bytes, width: int = WIDTH, seed: int = SEED) -> int:
-    hashes = shingle_hashes(data, width, seed)
-    ones = np.zeros(BITS, np.int64)
+def shingle_hashes(data: bytes, width: int, seed: int = SEED) -> list[int]:
+    """XXH64 of every shingle of ``width`` words, repeats included, as unsigned numbers."""
+    return [xxhash.xxh64_intdigest(x, seed) for x in shingles(data, width)]
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of the rows of bytes."""
+    ones = np.zeros(8 * hashes.shape[1], np.int64)
     for i in range(0, len(hashes), 65536):
-        part = np.array(hashes[i : i + 65536], "<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+        ones += np.unpackbits(hashes[i : i + 65536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprint(data: bytes, width: int = WIDTH, seed: int = SEED) -> int:
+    hashes = np.array(shingle_hashes(data, width, seed), "<u8")
+    return int(_majority(hashes.view(np.uint8).reshape(-1, 8))[0])
+
+
+def candidate_prints(data: bytes, widths: tuple[int, ...] = CANDIDATE) -> np.ndarray:
+    """Fingerprints of the set of all shingles of these widths, from the halves of their XXH3 128-bit values."""
+    members = set().union(*[shingles(data, w) for w in widths])
+    halves = [b"".join([xxhash.xxh3_128_digest(x, seed) for x in members]) for seed in range(len(PRINTS) // 2)]
+    return np.concatenate([_majority(np.frombuffer(h, np.uint8).reshape(-1, 16)).view(np.int64) for h in halves])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """doc_id and, for each seed, fp, fp1, ... (the fingerprint's bits as a signed long) of every row."""
-    names = ["fp" + (str(i) if i else "") for i in range(len(seeds))]
+def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
 
     def printed(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                texts = [x or b"" for x in part.column(1).to_pylist()]
-                prints = [np.array([fingerprint(x, width, seed) for x in texts], np.uint64).view(np.int64) for seed in seeds]
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, prints)], ["doc_id", *names])
+                prints = np.array([fingerprint(x or b"", width) for x in part.column(1).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
-    return _texts(docs).mapInArrow(lean(printed), "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return _texts(docs).mapInArrow(lean(printed), "doc_id long, fp long")
 
 
 def _split(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -365,88 +382,103 @@ def simhash_components(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id and the set of its shingles' hashes."""
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text or b"", width), np.uint64))
+
+
+def shingle_sets(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """id and the set of its shingles' hashes, of rows (id, text as bytes)."""
 
     def hashed(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                sets = [np.unique(np.array(shingle_hashes(x or b"", width), np.uint64)).view(np.int64) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                sets = [shingle_set(x, width).view(np.int64) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return texts.mapInArrow(lean(hashed), "id long, shingles array<long>")
+
 
-    return _texts(docs).mapInArrow(lean(hashed), "doc_id long, shingles array<long>")
+_SKETCH = [f"s{i}" for i in range(SKETCH // 64)]
 
 
-def sketches(docs: DataFrame, width: int = SHINGLE, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
-    """doc_id, fp, fp1, ..., and of the set of shingles its digest (hi, lo), size and sketch (s0, s1, ...) of every row."""
-    names = ["fp" + (str(i) if i else "") for i in range(len(seeds))]
-    longs = [*names, "hi", "lo", "size", *[f"s{i}" for i in range(SKETCH // 64)]]
+def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """The row key, the candidate fingerprints, and of the set of shingles its digest (hi, lo), size and sketch, of every row."""
+    longs = [*PRINTS, "hi", "lo", "size", *_SKETCH]
 
-    def sketch(text: bytes) -> list[int]:
-        members = np.unique(np.array(shingle_hashes(text, width), np.uint64))
+    def sketch(text: bytes) -> np.ndarray:
+        members = shingle_set(text, width)
         digest = np.frombuffer(xxhash.xxh3_128_digest(members.tobytes()), "<i8")
         parity = np.packbits(np.bincount((members % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1, bitorder="little").view("<i8")
-        return [*digest, len(members), *parity]
+        return np.concatenate([candidate_prints(text), digest, [len(members)], parity])
 
     def drawn(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                texts = [x or b"" for x in part.column(1).to_pylist()]
-                prints = [np.array([fingerprint(x, WIDTH, seed) for x in texts], np.uint64).view(np.int64) for seed in seeds]
-                drawing = np.array([sketch(x) for x in texts], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, prints), *(pa.array(c) for c in drawing.T.copy())], ["doc_id", *longs])
+                drawing = np.array([sketch(x or b"") for x in part.column(3).to_pylist()], np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(c) for c in drawing.T.copy())], [*ROW, *longs])
 
-    return _texts(docs).mapInArrow(lean(drawn), "doc_id long, " + ", ".join(f"{n} long" for n in longs))
+    return docs.select(*row_key(), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(lean(drawn), ", ".join(f"{n} long" for n in [*ROW, *longs]))
 
 
-def _alike(docs: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(u, v) of the links (a, b) whose shingle sets reach the similarity: |both| / |either|, 1 for two empty sets."""
-    ids = materialize(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = materialize(shingle_sets(join_ids(docs, ids, "left_semi"), shingle))
-    left, right = (sets.select(F.col("doc_id").alias(f"{k}_id"), F.col("shingles").alias(f"in_{k}")) for k in ("a", "b"))
-    held = links.join(left, links.a == F.col("a_id")).join(right, links.b == F.col("b_id"))
+def _alike(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v) of the links (a, b) of nodes whose shingle sets reach the similarity: |both| / |either|, 1 for two empty sets."""
+    ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = materialize(nodes.join(ids, "id", "left_semi").select("id", "first.*"))
+    texts = join_rows(docs, held, "left_semi").select(*row_key(), F.col("text").cast("string").cast("binary").alias("text")).dropDuplicates(ROW)
+    of = held.select("id", *[F.col(c).alias(f"{c}_of") for c in ROW])
+    sets = materialize(shingle_sets(texts.join(of, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in ROW]).select("id", "text"), shingle))
+    left, right = (sets.select(F.col("id").alias(f"{k}_id"), F.col("shingles").alias(f"in_{k}")) for k in ("a", "b"))
+    paired = links.join(left, links.a == F.col("a_id")).join(right, links.b == F.col("b_id"))
     both = F.size(F.array_intersect("in_a", "in_b"))
     either = F.size("in_a") + F.size("in_b") - both
-    return held.filter(both >= F.lit(similarity) * either).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    return paired.filter(both >= F.lit(similarity) * either).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, seeds: tuple[int, ...] = SEEDS, budget: int = WIDE_BUDGET) -> DataFrame:
-    """(doc_id, keep_id) of the rows that are not their group's smallest doc_id; rows without doc_id are in no group.
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, budget: int = WIDE_BUDGET) -> DataFrame:
+    """The row key, ``stays`` and keep_id (the doc_id that stays) of every row; one key of each group stays.
 
     Groups are the components of the links: all pairs within the budget in one
     of the fingerprints whose shingle sets reach the similarity.
     """
-    prints = materialize(sketches(docs.filter("doc_id is not null"), shingle, seeds))
-    names, drawing = prints.columns[1 : 1 + len(seeds)], prints.columns[3 + len(seeds) :]
-    same = [*names, "hi", "lo"]
-    nodes = materialize(prints.groupBy(*same).agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in drawing]))
-    copies = prints.select("doc_id", *same).join(nodes.select("id", *same), same).filter("doc_id > id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    prints = materialize(sketches(docs, shingle))
+    same, drawing = [*PRINTS, "hi", "lo"], ["size", *_SKETCH]
+    first = F.min(F.struct(F.col(ROW[0]).isNull().alias("none"), *ROW)).alias("first")
+    nodes = prints.groupBy(*same).agg(first, *[F.first(c).alias(c) for c in drawing])
+    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()))
     links, near = None, {}
-    for name in names:
-        first = materialize(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")))
-        forest = materialize(trie_self_join(first.select("fp"), budget))
-        one, two = (first.select(F.col("fp").alias(k), F.col("first_id").alias(f"of_{k}")) for k in ("u", "v"))
+    for name in PRINTS:
+        leaves = materialize(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")))
+        forest = materialize(trie_self_join(leaves.select("fp"), budget))
+        one, two = (leaves.select(F.col("fp").alias(k), F.col("first_id").alias(f"of_{k}")) for k in ("u", "v"))
         across = forest.join(one, "u").join(two, "v").select(F.col("of_u").alias("a"), F.col("of_v").alias("b"))
-        within = nodes.join(first, nodes[name] == first.fp).filter("id > first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b"))
+        within = nodes.join(leaves, nodes[name] == leaves.fp).filter("id > first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b"))
         links = across.unionByName(within) if links is None else links.unionByName(across).unionByName(within)
-        near[name] = forest.select(F.explode(F.array("u", "v")).alias("near")).unionByName(first.filter("n > 1").select(F.col("fp").alias("near"))).distinct()
+        near[name] = forest.select(F.explode(F.array("u", "v")).alias("near")).unionByName(leaves.filter("n > 1").select(F.col("fp").alias("near"))).distinct()
     links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
-    alike = materialize(_alike(docs, links, shingle, similarity))
+    alike = materialize(_alike(docs, nodes, links, shingle, similarity))
     classes = components(alike)
     known = materialize(nodes.join(classes, nodes.id == classes.node, "left").withColumn("class", F.coalesce("root", "id")))
     pairs = None
-    for name in names:
+    for name in PRINTS:
         held = materialize(known.join(near[name], known[name] == F.col("near"), "left_semi").select(F.col(name).alias("fp"), "id", "class", *drawing))
         found = trie_pairs(held, budget, similarity)
         pairs = found if pairs is None else pairs.unionByName(found)
     untested = materialize(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct().join(links, ["a", "b"], "left_anti"))
-    alike = alike.unionByName(_alike(docs, untested, shingle, similarity)).unionByName(copies)
-    return components(materialize(alike.distinct())).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
+    classes = components(materialize(alike.unionByName(_alike(docs, nodes, untested, shingle, similarity)).distinct()))
+    grouped = materialize(nodes.join(classes, nodes.id == classes.node, "left").select(*same, "first", F.coalesce("root", "id").alias("root")))
+    best = grouped.groupBy("root").agg(F.min("first").alias("best")).select(F.expr("root | 0L").alias("r"), "best")
+    named = grouped.join(best, grouped.root == best.r).select(*same, "best")
+    judged = prints.select(*ROW, *same).join(named, same)
+    stays = F.lit(True)
+    for c in ROW:
+        stays = stays & F.col(c).eqNullSafe(F.col(f"best.{c}"))
+    return judged.select(*ROW, stays.alias("stays"), F.col(f"best.{ROW[0]}").alias("keep_id"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that are their group's smallest doc_id, or in no group, with all their columns."""
-    dropped = materialize(near_duplicates(docs, **how).select("doc_id"))
-    return join_ids(docs, dropped, "left_anti")
+    """The rows of ``docs`` that stay, one of each group, with all their columns."""
+    judged = materialize(near_duplicates(docs, **how))
+    repeated = materialize(judged.filter("stays").groupBy(*ROW).count().filter("count > 1").select(*ROW))
+    return drop_rows(docs, judged.filter("not stays"), repeated)

@@ -166,16 +166,22 @@ def test_near_duplicates(make):
         data.append((k * 10 + 1, " ".join(one)))
         far = [w if rng.random() > 0.1 else "other" for w in b]
         data.append((k * 10 + 2, " ".join(far)))
-    found = rows(near_duplicates(make(data)), "doc_id", "keep_id")
-    assert found == [(k * 10 + 1, k * 10) for k in range(6)]
+    assert dropped(near_duplicates(make(data))) == [(k * 10 + 1, k * 10) for k in range(6)]
+
+
+def dropped(judged):
+    """(doc_id, keep_id) of the rows that do not stay."""
+    from lorespark.llm.common import ROW
+
+    return rows(judged.filter("not stays"), ROW[0], "keep_id")
 
 
 def plain_near(data):
-    """keep_id of every document dropped, all pairs held against each other."""
-    from lorespark.llm.simhash import SEEDS, SHINGLE, SIMILARITY, WIDE_BUDGET, fingerprint, shingle_hashes
+    """(doc_id, keep_id) of every document dropped, all pairs held against each other."""
+    from lorespark.llm.simhash import SHINGLE, SIMILARITY, WIDE_BUDGET, candidate_prints, shingle_hashes
 
     data = sorted(data)
-    prints = [[fingerprint(t.encode(), seed=s) for s in SEEDS] for _, t in data]
+    prints = [candidate_prints(t.encode()).view(np.uint64).tolist() for _, t in data]
     sets = [set(shingle_hashes(t.encode(), SHINGLE)) for _, t in data]
 
     def linked(i, j):
@@ -198,23 +204,76 @@ def test_near_duplicates_many_variants(make):
         for at in rng.sample(range(300), 5):
             one[at] = rng.choice(words)
         data.append((k, " ".join(one)))
-    assert rows(near_duplicates(make(data)), "doc_id", "keep_id") == sorted(plain_near(data), key=repr)
+    assert dropped(near_duplicates(make(data))) == sorted(plain_near(data), key=repr)
 
 
 def test_near_duplicates_one_fingerprint(make):
-    from lorespark.llm.simhash import SEEDS, fingerprint, near_duplicates
+    """Segments between one word in another order: the same words and two-word shingles, other five-word ones."""
+    from lorespark.llm.simhash import candidate_prints, near_duplicates
 
     rng = random.Random(4)
     words = [f"w{i}" for i in range(5000)]
-    line, data = " ".join(rng.choices(words, k=11)), []
+    data = []
     for k in range(6):
-        x, y = rng.choices(words, k=60), rng.choices(words, k=60)
-        z = y[:-1] + ["edited"]
-        data += [(10 * k + i, " ".join([line] * 60 + tail)) for i, tail in enumerate((x, y, z))]
-    assert all(len({fingerprint(t.encode(), seed=s) for _, t in data[:3]}) == 1 for s in SEEDS)
+        parts = [" ".join(rng.choices(words, k=7)) for _ in range(40)]
+        y = rng.sample(parts, 40)
+        z = y[:-2] + [y[-1], y[-2]]
+        data += [(10 * k + i, "q " + " q ".join(order) + " q") for i, order in enumerate((parts, y, z))]
+    assert all(len({candidate_prints(t.encode()).tobytes() for _, t in data[i : i + 3]}) == 1 for i in range(0, 18, 3))
     want = plain_near(data)
-    assert {(10 * k + 2, 10 * k + 1) for k in range(6)} <= set(want)
-    assert rows(near_duplicates(make(data)), "doc_id", "keep_id") == sorted(want, key=repr)
+    assert want == [(10 * k + 2, 10 * k + 1) for k in range(6)]
+    assert dropped(near_duplicates(make(data))) == sorted(want, key=repr)
+
+
+def test_near_duplicates_recall(spark):
+    """At least 0.9 of all alike pairs of the corpus are in one group; a prefix filter over rare shingles finds them all."""
+    from collections import Counter, defaultdict
+
+    from lorespark.llm.exact_dedup import keep_first
+    from lorespark.llm.simhash import near_duplicates, shingle_hashes
+
+    docs = keep_first(documents(spark, "/root/testdata/sf0.1"))
+    sets = {r.doc_id: set(shingle_hashes((r.text or "").encode(), 5)) for r in docs.select("doc_id", "text").collect()}
+    often = Counter(x for s in sets.values() for x in s)
+    held, pairs = defaultdict(list), set()
+    for i, s in sets.items():
+        rare = sorted(s, key=lambda x: (often[x], x))
+        for x in rare[: len(rare) - -(-8 * len(rare) // 10) + 1]:
+            pairs |= {(j, i) for j in held[x]}
+            held[x].append(i)
+    alike = [(i, j) for i, j in pairs if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    keep = dict(dropped(near_duplicates(docs)))
+    found = sum(keep.get(i, i) == keep.get(j, j) for i, j in alike)
+    assert len(alike) > 30 and found >= 0.9 * len(alike)
+
+
+IDLESS = [(None, "a b"), (1, "a b"), (None, "unique text"), (5, "a b"), (5, "other unique"), (7, "A b"), (7, "A b"), (8, "z"), (None, None), (None, ""), (5, "a  b")]
+
+
+def test_rows_are_told_apart_by_id_and_text(make):
+    from lorespark.llm.exact_dedup import keep_first
+    from lorespark.llm.simhash import keep_one
+
+    left = rows(keep_first(make(IDLESS)), "doc_id", "text")
+    assert left == sorted([(1, "a b"), (None, "unique text"), (5, "other unique"), (7, "A b"), (8, "z"), *[r for r in left if not r[1]]], key=repr) and len(left) == 6
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(900)]
+    long_ = [" ".join(rng.choices(words, k=200)) for _ in range(4)]
+    near = [x + " more" for x in long_]
+    data = [(None, long_[0]), (None, near[0]), (3, long_[1]), (3, near[1]), (3, long_[2]), (2, near[2]), (None, long_[3]), (3, long_[3]), (3, long_[3])]
+    left = rows(keep_one(make(data)), "doc_id", "text")
+    assert len(left) == 4 and (2, near[2]) in left and (3, long_[3]) in left
+    assert {t.removesuffix(" more") for _, t in left} == set(long_)
+
+
+def test_no_unique_text_is_lost(make):
+    """Whatever the ids, every text that repeats nothing stays."""
+    from lorespark.llm.exact_dedup import keep_first
+
+    rng = random.Random(2)
+    for _ in range(3):
+        data = [(rng.choice([None, 1, 2, 3]), " ".join(rng.choices("abc", k=rng.randint(1, 3)))) for _ in range(25)]
+        assert rows(keep_first(make(data)), "text") == sorted({(t,) for _, t in data}, key=repr)
 
 
 def test_components_long_path(spark):
