@@ -1,112 +1,122 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-Symbols. A text is read as a sequence of at most 64 symbols: small letters and
-the accented letters of Latin-1 as they are, one symbol each for capitals,
-digits, space, newline and common marks, nine shared ones for all else, and
-one for "a space and the word before, once more". The alphabet is fixed, so a table of all
-4-grams has a proven size: 64^4 one-byte entries, 16 MiB, however large the
-corpus is.
-
-Model. Every trusted document is counted, whole. Tasks add up their 4-grams
-locally; counts are then sharded by n-gram and summed. The continuation counts
-of the lower orders, the discounts, the contexts' totals and the interpolated
-probabilities are joins between these sharded count tables, order by order.
-What comes to the driver is bounded by the alphabet; there it is laid out as
-the dense table (unseen n-grams get their context's back-off times the lower
-order) and broadcast, so that scoring needs no join per token.
+Units. A text is a sequence of words between white space; a word that repeats
+the one before it is the single symbol ``AGAIN``, one longer than ``PIECE``
+code points is cut into pieces. The model predicts a unit's code points, and its
+end, from the ``ORDER - 1`` code points before them in the unit. All of Unicode
+is told apart, so the n-gram tables grow with the trusted text.
+
+Model. Every trusted document is counted, whole, but for one in ``HELD`` that
+is kept to find the limits. Tasks add up their n-grams locally; counts are then
+sharded by n-gram and summed. The continuation counts of the lower orders, the
+discounts, the contexts' totals and the interpolated probabilities are joins
+between these sharded count tables, order by order.
+
+Scoring. A task turns its documents into blocks: the block's distinct units,
+and of each document which of them it has how often. The block's distinct
+n-grams go, compressed, to the shards of the count tables. Each distinct n-gram
+that any block asked for is looked up once, by joins from the highest order
+down: an unseen one takes its context's back-off and goes on with its suffix.
+Shards answer each block with a byte per n-gram, and the block adds up its
+documents. Nothing is held that grows with the corpus but the sharded tables.
 
 Decision. A document's perplexity is 2 to the mean bits per symbol; ``PRIOR``
 symbols at the trusted mean steady short texts. Each language's limit comes
-from two quantiles of its trusted documents' bits: the upper one plus
+from two quantiles of its held-out trusted documents' bits: the upper one plus
 ``MARGIN`` times its distance from the median. Languages with fewer than
-``LEAST`` trusted documents take the limit of all trusted documents. A document
-is kept if its perplexity is at most the limit.
+``LEAST`` of them take the limit of all; where all are fewer, every trusted
+document counts as held out. A document is kept if its perplexity is at most
+the limit.
 
 Defined results: null or empty text has no symbols and the trusted mean, so it
 is kept; without trusted text nothing is rejected and perplexities are those of
 a uniform model; null lang is a language of its own; rows that repeat a doc_id
-are each returned; a label row with null doc_id or quality trusts nothing;
-other columns are ignored.
+are each returned, and each judged by its own text; a label row with null
+doc_id or quality trusts nothing, and one whose doc_id several rows share
+trusts them all; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import join_ids, lean, materialize
+from lorespark.llm.common import ROW, drop_rows, join_ids, lean, materialize, row_key, shuffle_partitions
 
-ORDER, SYMBOLS = 4, 64
-PRIOR, LEAST = 48, 30
+ORDER, PIECE = 5, 32
+PRIOR, LEAST, HELD = 48, 30, 3
 MEDIAN, UPPER, MARGIN = 0.5, 0.99, 2.0
-#: Entries of the dense table are bits per symbol in steps of 1/STEPS.
+#: Bits of an n-gram's last symbol come back in steps of 1/STEPS.
 STEPS = 12
-START = 0  # pads the beginning of a text; also what no text holds
-AGAIN = "\x01"
-
-_MARKS = " \n.,;:!?-'\"*|"
-_ACCENTS = "äöüßéèêçàñóí"
-
-
-def _classes() -> np.ndarray:
-    table = np.zeros(0x10000, np.uint8)
-    names = ["", AGAIN, "capital", "digit", *map(chr, range(97, 123)), *_MARKS, *_ACCENTS]
-    shared = len(names)
-    spread = SYMBOLS - shared
-    table[:] = shared + np.arange(len(table)) % spread
-    for i in range(len(table)):
-        c = chr(i)
-        if c.isupper():
-            table[i] = 2
-        elif c.isdigit():
-            table[i] = 3
-    for i, c in enumerate(names):
-        if len(c) == 1:
-            table[ord(c)] = i
-    return table
-
-
-_TABLE: list[np.ndarray] = []
-
-
-def symbols(text: str) -> np.ndarray:
-    """The text's symbols after ``ORDER - 1`` start symbols."""
-    if not _TABLE:
-        _TABLE.append(_classes())
-    words = text.split(" ")
-    read = "".join([" " + w if w != b or not w else AGAIN for w, b in zip(words, [None, *words])])[1:]
-    points = np.frombuffer(read.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.concatenate([np.zeros(ORDER - 1, np.uint8), _TABLE[0][points & 0xFFFF]])
-
-
-def codes(found: np.ndarray) -> np.ndarray:
-    """The 4-gram that ends at each symbol, as one number."""
-    s = found.astype(np.int32)
-    n = len(s) - ORDER + 1
-    out = np.zeros(n, np.int32)
+#: What pads a unit's beginning, ends it, and stands for the word before once more.
+START, END, AGAIN = "\0", " ", "\x01"
+#: Code points of text in a block, distinct units that a counting task holds, n-grams in a shard on average.
+BLOCK_CHARS, HELD_UNITS, SHARD_GRAMS = 8_000_000, 500_000, 200_000
+#: Count tables of at most so many n-grams are broadcast when they are looked up.
+BROADCAST_GRAMS = 200_000
+
+_MIX = (np.arange(ORDER, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
+
+
+def units(text: str | None) -> list[str]:
+    """The text's words, repeats as ``AGAIN``, in pieces of at most ``PIECE`` code points."""
+    words = (text or "").replace(START, " ").split()
+    found = [AGAIN if w == b else w for w, b in zip(words, [None, *words])]
+    if max(map(len, found), default=0) > PIECE:
+        found = [w[i : i + PIECE] for w in found for i in range(0, len(w), PIECE)]
+    return found
+
+
+def windows(distinct: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """(padded units in one string, where distinct n-grams end, which of them each symbol is, symbols per unit)."""
+    pad = START * (ORDER - 1)
+    joined = pad + (END + pad).join(distinct) + END
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.flatnonzero(points)
+    h = np.zeros(len(ends), np.uint64)
     for k in range(ORDER):
-        out = out * SYMBOLS + s[k : k + n]
-    return out
+        x = (points[ends - k].astype(np.uint64) + np.uint64(1)) * _MIX[k]
+        h += (x ^ (x >> np.uint64(31))) * _MIX[k]
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    sizes = np.fromiter(map(len, distinct), np.int64, len(distinct)) + 1
+    return joined, ends[first], which, sizes
+
+
+def grams(joined: str, ends: np.ndarray) -> list[str]:
+    return [joined[e - ORDER + 1 : e + 1] for e in ends.tolist()]
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(code, n) of all 4-grams in ``text``: added up in each task, then sharded by code."""
+    """(gram, n) of all n-grams of the highest order in ``text``: added up in each task, then sharded by n-gram."""
+
+    def summed(found: Counter):
+        distinct = list(found)
+        joined, ends, which, sizes = windows(distinct)
+        weight = np.repeat(np.fromiter(found.values(), np.int64, len(distinct)), sizes)
+        n = np.bincount(which, weight, len(ends)).astype(np.int64)
+        for i in range(0, len(ends), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(grams(joined, ends[i : i + 65536])), pa.array(n[i : i + 65536])], ["gram", "n"])
 
     def counted(batches):
-        total = np.zeros(SYMBOLS**ORDER, np.uint32)
+        found: Counter = Counter()
         for batch in batches:
-            for text in map(str, batch.column(0)):
-                if text:
-                    np.add.at(total, codes(symbols(text)), 1)
-        seen = np.flatnonzero(total)
-        for i in range(0, len(seen), 65536):
-            part = seen[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part].astype(np.int64))], ["code", "n"])
+            for text in batch.column(0).to_pylist():
+                found.update(units(text))
+                if len(found) > HELD_UNITS:
+                    yield from summed(found)
+                    found.clear()
+        if found:
+            yield from summed(found)
 
-    local = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(lean(counted), "code long, n long")
-    return local.groupBy("code").agg(F.sum("n").alias("n"))
+    local = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(counted), "gram string, n long")
+    return local.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -122,87 +132,199 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(out)
 
 
-def probabilities(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For orders 1 to ORDER: (code, p) of the seen n-grams and (h, backoff) of the seen contexts.
+def _suffix(gram: str = "gram"):
+    return F.expr(f"substring({gram}, 2)")
+
 
-    ``counts``: materialised (code, n). Lower orders count the distinct symbols
+def probabilities(counts: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], float]:
+    """For orders 1 to ORDER, materialised: (gram, p) of the seen n-grams and (h, backoff) of the seen contexts;
+    and the uniform probability below them.
+
+    ``counts``: materialised (gram, n). Lower orders count the distinct symbols
     seen before an n-gram (continuation counts).
     """
     levels = [counts]
-    for k in range(ORDER - 1, 0, -1):
-        levels.append(levels[-1].groupBy((F.col("code") % SYMBOLS**k).alias("code")).agg(F.count(F.lit(1)).alias("n")))
-    out = []
+    for _ in range(ORDER - 1):
+        levels.append(materialize(levels[-1].groupBy(_suffix().alias("gram")).agg(F.count(F.lit(1)).alias("n"))))
+    uniform = 1.0 / (levels[-1].count() + 1)
+    out: list[tuple[DataFrame, DataFrame]] = []
     below = None
-    for level in reversed(levels):
-        level = materialize(level)
+    for k, level in enumerate(reversed(levels), 1):
         d = _discounts(level)
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        k = len(out) + 1
-        seen = level.select("code", "n", F.floor(F.col("code") / SYMBOLS).cast("long").alias("h"), (F.col("code") % SYMBOLS ** (k - 1)).alias("suffix"), cut.alias("cut"))
-        contexts = seen.groupBy("h").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("backoff"))
-        joined = seen.join(contexts, "h")
+        seen = level.select("gram", "n", F.expr(f"substring(gram, 1, {k - 1})").alias("h"), cut.alias("cut"))
+        contexts = materialize(seen.groupBy("h").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("backoff")))
+        joined = seen.join(_few(contexts), "h")
         if below is None:
-            joined = joined.withColumn("lower", F.lit(1.0 / SYMBOLS))
+            joined = joined.withColumn("lower", F.lit(uniform))
         else:
-            joined = joined.join(below.select(F.col("code").alias("suffix"), F.col("p").alias("lower")), "suffix")
-        below = materialize(joined.select("code", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("backoff") * F.col("lower")).alias("p")))
+            joined = joined.withColumn("suffix", _suffix()).join(_few(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))), "suffix")
+        below = materialize(joined.select("gram", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("backoff") * F.col("lower")).alias("p")))
         out.append((below, contexts.select("h", "backoff")))
-    return out
-
-
-def dense_bits(levels: list[tuple[DataFrame, DataFrame]]) -> np.ndarray:
-    """Bits of every possible 4-gram's last symbol, in steps of 1/STEPS, one byte each."""
-    p = np.full(1, 1.0 / SYMBOLS, np.float32)
-    for k, (seen, contexts) in enumerate(levels, 1):
-        back = np.ones(SYMBOLS ** (k - 1), np.float32)
-        at = contexts.toPandas()
-        back[at.h.to_numpy()] = at.backoff.to_numpy()
-        lower = p if k > 1 else np.full(SYMBOLS, 1.0 / SYMBOLS, np.float32)
-        if k == 1:
-            full = back[0] * lower
-        else:
-            inner = SYMBOLS ** (k - 2)
-            full = (back.reshape(SYMBOLS, inner, 1) * lower.reshape(1, inner, SYMBOLS)).reshape(-1)
-        at = seen.toPandas()
-        full[at.code.to_numpy()] = at.p.to_numpy()
-        p = full
-    out = np.empty(len(p), np.uint8)
-    for i in range(0, len(p), 1 << 20):
-        out[i : i + (1 << 20)] = np.clip(np.rint(-np.log2(np.maximum(p[i : i + (1 << 20)], 1e-30)) * STEPS), 0, 255)
-    return out
-
-
-def train(trusted: DataFrame) -> np.ndarray:
-    """The dense table of a model of all ``text`` in ``trusted``."""
-    return dense_bits(probabilities(materialize(count_ngrams(trusted))))
-
-
-def bits(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """doc_id, lang, n_symbols and the sum of bits of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scored(batches):
-        table = shared.value
+    return out, uniform
+
+
+def _few(grams_: DataFrame) -> DataFrame:
+    """A materialised table, to be broadcast if counting it shows that it is small."""
+    return F.broadcast(grams_) if grams_.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS else grams_
+
+
+def look_up(asked: DataFrame, model: tuple[list[tuple[DataFrame, DataFrame]], float]) -> DataFrame:
+    """(gram, bits) of distinct n-grams of the highest order, materialised; ``asked`` is so too."""
+    levels, uniform = model
+    left = asked.select("gram", F.col("gram").alias("at"), F.lit(0.0).alias("bits"))
+    done: list[DataFrame] = []
+    for k in range(ORDER, 0, -1):
+        seen, contexts = levels[k - 1]
+        found = left.join(_few(seen.select(F.col("gram").alias("seen"), "p")), F.col("at") == F.col("seen"), "left")
+        found = found.select("gram", "at", "bits", "p", F.expr(f"substring(at, 1, {k - 1})").alias("context"))
+        found = materialize(found.join(_few(contexts), F.col("context") == F.col("h"), "left"))
+        done.append(found.filter("p is not null").select("gram", (F.col("bits") - F.log2("p")).alias("bits")))
+        left = found.filter("p is null").select("gram", _suffix("at").alias("at"), (F.col("bits") - F.log2(F.coalesce("backoff", F.lit(1.0)))).alias("bits"))
+    out = left.select("gram", (F.col("bits") - float(np.log2(uniform))).alias("bits"))
+    for part in done:
+        out = out.unionByName(part)
+    return materialize(out)
+
+
+_BLOCKS = "block long, shard int, units binary, docs binary"
+_INFO = pa.schema([*[(c, pa.int64()) for c in ROW], ("lang", pa.string()), ("n_units", pa.int64())])
+
+
+def _sharded(joined: str, ends: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """(shard, where its n-grams end), in the order of shard and n-gram."""
+    of = np.array([zlib.crc32(g.encode()) % shards for g in grams(joined, ends)], np.int64)
+    order = np.argsort(of, kind="stable")
+    cuts = np.flatnonzero(np.diff(of[order])) + 1
+    return [(int(of[part[0]]), part) for part in np.split(order, cuts) if len(part)]
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    return zlib.compress(b"".join(a.tobytes() for a in arrays), 1)
+
+
+def _blocks(shards: int):
+    """Rows of a block: one of shard -1 with its units and documents, and one per shard with the n-grams asked of it."""
+
+    def flush(block: int, number: dict[str, int], rows: list[tuple], held: list[np.ndarray]):
+        distinct = list(number)
+        joined, ends, _, _ = windows(distinct)
+        flat = np.concatenate(held) if held else np.zeros((0, 2), np.uint32)
+        info = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _INFO)], schema=_INFO)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _INFO) as out:
+            out.write_table(info)
+        body = sink.getvalue().to_pybytes()
+        docs = len(body).to_bytes(8, "little") + body + flat.T.astype("<u4").copy().tobytes()
+        packed = [(block, -1, zlib.compress(END.join(distinct).encode("utf-8", "surrogatepass"), 1), zlib.compress(docs, 1))]
+        if distinct:
+            packed += [(block, s, zlib.compress("".join(grams(joined, ends[part])).encode("utf-8", "surrogatepass"), 1), None) for s, part in _sharded(joined, ends, shards)]
+        columns = list(zip(*packed))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["block", "shard", "units", "docs"])
+
+    def blocks(batches):
+        block, chars = TaskContext.get().partitionId() << 24, 0
+        number: dict[str, int] = {}
+        rows, held = [], []
         for batch in batches:
-            n, total = [], []
-            for text in map(str, batch.column(2)):
-                found = codes(symbols(text)) if text else ()
-                n.append(len(found))
-                total.append(float(table[found].sum(dtype=np.int64)) / STEPS if len(found) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "lang", "n_symbols", "bits"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(lean(scored), "doc_id long, lang string, n_symbols long, bits double")
-
-
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_symbols, perplexity, limit and kept of every row; see the module's text.
+            for a, b, c, lang, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                found = Counter(units(text))
+                at = np.fromiter((number.setdefault(u, len(number)) for u in found), np.int64, len(found))
+                order = np.argsort(at)
+                at = np.diff(at[order], prepend=0)
+                held.append(np.stack([at, np.fromiter(found.values(), np.int64, len(found))[order]], axis=1).astype(np.uint32))
+                rows.append((a, b, c, lang, len(found)))
+                chars += len(text or "")
+                if chars >= BLOCK_CHARS:
+                    yield flush(block, number, rows, held)
+                    block, chars, number, rows, held = block + 1, 0, {}, [], []
+        if rows:
+            yield flush(block, number, rows, held)
+
+    return blocks
+
+
+def _split(packed: bytes) -> list[str]:
+    text = zlib.decompress(packed).decode("utf-8", "surrogatepass")
+    return [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+
+
+def _distinct(pdf: pd.DataFrame) -> pd.DataFrame:
+    found: set[str] = set()
+    for x in pdf.units:
+        found.update(_split(x))
+    return pd.DataFrame({"gram": list(found)})
+
+
+def _answer(asks: pd.DataFrame, scored: pd.DataFrame) -> pd.DataFrame:
+    steps = dict(zip(scored.gram, np.clip(np.rint(scored.bits.to_numpy() * STEPS), 0, 255).astype(np.uint8).tolist()))
+    return pd.DataFrame({"block": asks.block, "shard": asks.shard, "steps": [zlib.compress(bytes(map(steps.__getitem__, _split(x))), 1) for x in asks.units]})
+
+
+def _summed(shards: int):
+    def summed(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for packed, docs in zip(blocks.units, blocks.docs):
+            docs = zlib.decompress(docs)
+            size = int.from_bytes(docs[:8], "little")
+            with pa.ipc.open_stream(docs[8 : 8 + size]) as stream:
+                info = stream.read_all()
+            at, times = np.frombuffer(docs, "<u4", offset=8 + size).reshape(2, -1).astype(np.int64)
+            text = zlib.decompress(packed).decode("utf-8", "surrogatepass")
+            distinct = text.split(END) if text else []
+            n_units = info.column("n_units").to_numpy()
+            bits, symbols = np.zeros(len(n_units)), np.zeros(len(n_units), np.int64)
+            if distinct:
+                joined, ends, which, sizes = windows(distinct)
+                steps, given = np.zeros(len(ends), np.int64), dict(zip(answers.shard, answers.steps))
+                for s, part in _sharded(joined, ends, shards):
+                    steps[part] = np.frombuffer(zlib.decompress(given[s]), np.uint8)
+                per_unit = np.add.reduceat(steps[which], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                of = np.repeat(np.arange(len(n_units)), n_units)
+                total = np.cumsum(at)
+                begins = np.concatenate([[0], np.cumsum(n_units)])[:-1]
+                before = np.concatenate([[0], total])[begins]
+                at = total - before[of]
+                bits = np.bincount(of, per_unit[at] * times, len(n_units)) / STEPS
+                symbols = np.bincount(of, sizes[at] * times, len(n_units)).astype(np.int64)
+            frame = info.drop_columns(["n_units"]).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+            out.append(frame.assign(n_symbols=symbols, bits=bits))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in [*ROW, "lang", "n_symbols", "bits"]})
+
+    return summed
+
+
+def bits(docs: DataFrame, model: tuple[list[tuple[DataFrame, DataFrame]], float]) -> DataFrame:
+    """The row key, lang, n_symbols and the sum of bits of every row."""
+    shards = max(shuffle_partitions(docs.sparkSession), model[0][-1][0].count() // SHARD_GRAMS)
+    rows = docs.select(*row_key(), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    blocks = materialize(rows.mapInArrow(lean(_blocks(shards)), _BLOCKS))
+    asks = blocks.filter("shard >= 0").select("block", "shard", "units")
+    scored = look_up(materialize(asks.groupBy("shard").applyInPandas(_distinct, "gram string")), model)
+    by_shard = scored.withColumn("shard", (F.crc32(F.col("gram").cast("binary")) % shards).cast("int")).groupBy("shard")
+    answers = asks.groupBy("shard").cogroup(by_shard).applyInPandas(_answer, "block long, shard int, steps binary")
+    waiting = blocks.filter("shard < 0").select("block", "units", "docs").groupBy("block")
+    schema = ", ".join(f"{c} long" for c in ROW) + ", lang string, n_symbols long, bits double"
+    return waiting.cogroup(answers.groupBy("block")).applyInPandas(_summed(shards), schema)
+
+
+def train(trusted: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], float]:
+    """The model of all ``text`` in ``trusted``."""
+    return probabilities(materialize(count_ngrams(trusted)))
+
+
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The row key, n_symbols, perplexity, limit and kept of every row; see the module's text.
 
     ``labels``: doc_id and quality; quality 1 makes a document trusted.
     """
     ids = materialize(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
-    model = train(join_ids(docs, ids, "left_semi"))
+    held_out = F.pmod(F.col(ROW[1]), F.lit(HELD)) == 0
+    model = train(join_ids(docs, ids, "left_semi").select("text", *row_key()).filter(~held_out))
     scored = materialize(bits(docs, model))
-    trusted = scored.join(ids, "doc_id", "left_semi").filter("n_symbols > 0")
+    trusted = scored.join(ids, F.col(ROW[0]) == ids.doc_id, "left_semi").filter("n_symbols > 0")
+    if trusted.filter(held_out).limit(LEAST).count() >= LEAST:
+        trusted = trusted.filter(held_out)
     mean = trusted.agg(F.sum("bits") / F.sum("n_symbols")).first()[0]
     mean = 6.0 if mean is None else float(mean)
     steady = (F.col("bits") + PRIOR * mean) / (F.col("n_symbols") + PRIOR)
@@ -212,13 +334,18 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     total = held.agg(q.alias("q")).select(upper("q")).first()[0]
     total = float("inf") if total is None else float(total)
     by_lang = held.groupBy("of").agg(q.alias("q"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST).select("of", upper("q").alias("most"))
-    judged = scored.withColumn("of", F.coalesce("lang", F.lit(""))).join(F.broadcast(by_lang) if by_lang.limit(10_001).count() <= 10_000 else by_lang, "of", "left")
+    found = scored.withColumn("of", F.coalesce("lang", F.lit(""))).join(F.broadcast(by_lang) if by_lang.limit(10_001).count() <= 10_000 else by_lang, "of", "left")
     limit = F.pow(F.lit(2.0), F.coalesce("most", F.lit(total)))
     perplexity = F.pow(F.lit(2.0), steady)
-    return judged.select("doc_id", "n_symbols", perplexity.alias("perplexity"), limit.alias("limit"), (perplexity <= limit).alias("kept"))
+    return found.select(*ROW, "n_symbols", perplexity.alias("perplexity"), limit.alias("limit"), (perplexity <= limit).alias("kept"))
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_symbols, perplexity, limit and kept of every row."""
+    return judged(docs, labels).withColumnRenamed(ROW[0], "doc_id").select("doc_id", "n_symbols", "perplexity", "limit", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    dropped = materialize(classify(docs, labels).filter("not kept").select("doc_id"))
-    return join_ids(docs, dropped, "left_anti")
+    """The rows of ``docs`` that the classifier keeps, repeated ones too, with all their columns."""
+    dropped = materialize(judged(docs, labels).filter("not kept").select(*ROW))
+    return drop_rows(docs, dropped, dropped.limit(0))

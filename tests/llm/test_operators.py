@@ -595,52 +595,69 @@ def test_corpus_totals(spark, sf_dir, clashing):
 
 
 def test_kneser_ney_against_plain(make):
-    """Probabilities of the whole 4-gram table against the textbook recursion on dictionaries."""
+    """Bits of n-grams, looked up by joins, against the textbook recursion on dictionaries."""
     from collections import Counter
 
-    from lorespark.llm.quality_kn import STEPS, SYMBOLS, _discounts, symbols, train
+    from lorespark.llm.common import materialize
+    from lorespark.llm.quality_kn import AGAIN, END, ORDER, START, look_up, train, units
 
-    texts = ["the cat sat on the mat.", "the dog sat, the cat ran", "a cat and a dog; a mat", "", None]
-    model = train(make(list(enumerate(texts))))
-    grams = [Counter() for _ in range(5)]
+    texts = ["the cat sat on the mat.", "the dog sat, the the cat ran", "a cat and a dog; a mat ß中", "", None]
+    docs = make(list(enumerate(texts)))
+    model = train(docs)
+    assert units("a a  a\nb " + "x" * 40) == ["a", AGAIN, AGAIN, "b", "x" * 32, "x" * 8]
+    counted = [Counter() for _ in range(ORDER + 1)]
     for t in texts:
-        s = symbols(t or "").tolist() if t else []
-        for i in range(len(s) - 3):
-            grams[4][tuple(s[i : i + 4])] += 1
-    for k in (3, 2, 1):
-        for g in grams[k + 1]:
-            grams[k][g[1:]] += 1
+        for u in units(t):
+            s = START * (ORDER - 1) + u + END
+            counted[ORDER].update(s[i : i + ORDER] for i in range(len(u) + 1))
+    for k in range(ORDER - 1, 0, -1):
+        counted[k].update(g[1:] for g in counted[k + 1])
 
     def discounts(counts):
-        import pyspark.sql  # noqa: F401
-
         n = [0] + [sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)]
         y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.0
         return [min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5, 0.05), k - 0.05) for k in (1, 2, 3)]
 
-    cut = [None, *map(discounts, grams[1:])]
-    contexts = [None] + [{} for _ in range(4)]
-    for k in (1, 2, 3, 4):
-        for g, c in grams[k].items():
+    cut = [None, *map(discounts, counted[1:])]
+    contexts = [None] + [{} for _ in range(ORDER)]
+    for k in range(1, ORDER + 1):
+        for g, c in counted[k].items():
             t = contexts[k].setdefault(g[:-1], [0, 0.0])
             t[0] += c
             t[1] += cut[k][min(c, 3) - 1]
 
     def p(g):
         k = len(g)
-        lower = p(g[1:]) if k > 1 else 1 / SYMBOLS
+        lower = p(g[1:]) if k > 1 else 1 / (len(counted[1]) + 1)
         if g[:-1] not in contexts[k]:
             return lower
         total, spare = contexts[k][g[:-1]]
-        c = grams[k].get(g, 0)
+        c = counted[k].get(g, 0)
         return (max(c - cut[k][min(c, 3) - 1], 0) if c else 0) / total + spare / total * lower
 
     rng = random.Random(0)
-    picks = [tuple(rng.randrange(SYMBOLS) for _ in range(4)) for _ in range(200)] + list(grams[4])
-    for g in picks:
-        code = ((g[0] * SYMBOLS + g[1]) * SYMBOLS + g[2]) * SYMBOLS + g[3]
-        assert abs(int(model[code]) - min(255, -np.log2(p(g)) * STEPS)) <= 0.51
-    assert callable(_discounts)
+    picks = {"".join(rng.choices("thecasondmr. ,ß中z", k=ORDER)) for _ in range(200)} | set(counted[ORDER])
+    asked = materialize(docs.sparkSession.createDataFrame([(g,) for g in picks], "gram string"))
+    got = {r.gram: r.bits for r in look_up(asked, model).collect()}
+    assert got.keys() == picks and all(abs(got[g] + np.log2(p(g))) < 1e-9 for g in picks)
+
+
+def test_bits_are_sums(make, monkeypatch):
+    """A document's bits are those of its n-grams, in blocks of any size."""
+    from lorespark.llm import quality_kn as q
+    from lorespark.llm.common import ROW, materialize
+
+    texts = ["the cat sat on the mat.", "the dog sat, the the cat ran", "", None, "中文 " + "z" * 70, "a b c " * 300]
+    docs = make(list(enumerate(texts)))
+    model = q.train(docs.filter("doc_id < 3"))
+    grams = [["".join(s[i : i + q.ORDER]) for u in q.units(t) for s in [q.START * (q.ORDER - 1) + u + q.END] for i in range(len(u) + 1)] for t in texts]
+    asked = materialize(docs.sparkSession.createDataFrame([(g,) for g in set(sum(grams, []))], "gram string"))
+    steps = {r.gram: round(r.bits * q.STEPS) for r in q.look_up(asked, model).collect()}
+    want = [(i, len(g), sum(min(255, steps[x]) for x in g)) for i, g in enumerate(grams)]
+    for size in (q.BLOCK_CHARS, 20):
+        monkeypatch.setattr(q, "BLOCK_CHARS", size)
+        got = [(r[ROW[0]], r.n_symbols, round(r.bits * q.STEPS)) for r in q.bits(docs.repartition(2), model).collect()]
+        assert sorted(got) == want
 
 
 def test_quality(spark):
