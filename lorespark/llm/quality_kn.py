@@ -4,7 +4,8 @@ Units. A text is a sequence of words between white space; a word that repeats
 the one before it is the single symbol ``AGAIN``, one longer than ``PIECE``
 code points is cut into pieces. The model predicts a unit's code points, and its
 end, from the ``ORDER - 1`` code points before them in the unit. All of Unicode
-is told apart, so the n-gram tables grow with the trusted text.
+is told apart, so the n-gram tables grow with the trusted text. A text's symbols
+are its units' code points and ends; ``AGAIN`` counts without an end.
 
 Model. Every trusted document is counted, whole, but for one in ``HELD`` that
 is kept to find the limits. Tasks add up their n-grams locally; counts are then
@@ -52,7 +53,7 @@ from lorespark.llm.common import ROW, drop_rows, join_ids, lean, materialize, ro
 
 ORDER, PIECE = 5, 32
 PRIOR, LEAST, HELD = 48, 30, 3
-MEDIAN, UPPER, MARGIN = 0.5, 0.99, 2.0
+MEDIAN, UPPER, MARGIN = 0.5, 0.99, 2.5
 #: Bits of an n-gram's last symbol come back in steps of 1/STEPS.
 STEPS = 12
 #: What pads a unit's beginning, ends it, and stands for the word before once more.
@@ -280,6 +281,7 @@ def _summed(shards: int):
                 for s, part in _sharded(joined, ends, shards):
                     steps[part] = np.frombuffer(zlib.decompress(given[s]), np.uint8)
                 per_unit = np.add.reduceat(steps[which], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                sizes = sizes - np.fromiter((u == AGAIN for u in distinct), np.int64, len(distinct))  # one symbol, no end
                 of = np.repeat(np.arange(len(n_units)), n_units)
                 total = np.cumsum(at)
                 begins = np.concatenate([[0], np.cumsum(n_units)])[:-1]
