@@ -41,6 +41,8 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -59,7 +61,7 @@ STEPS = 12
 #: What pads a unit's beginning, ends it, and stands for the word before once more.
 START, END, AGAIN = "\0", " ", "\x01"
 #: Code points of text in a block, distinct units that a counting task holds, n-grams in a shard on average.
-BLOCK_CHARS, HELD_UNITS, SHARD_GRAMS = 8_000_000, 500_000, 200_000
+BLOCK_CHARS, HELD_UNITS, SHARD_GRAMS = 16_000_000, 500_000, 200_000
 #: Count tables of at most so many n-grams are broadcast when they are looked up.
 BROADCAST_GRAMS = 200_000
 
@@ -69,7 +71,7 @@ _MIX = (np.arange(ORDER, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.u
 def units(text: str | None) -> list[str]:
     """The text's words, repeats as ``AGAIN``, in pieces of at most ``PIECE`` code points."""
     words = (text or "").replace(START, " ").split()
-    found = [AGAIN if w == b else w for w, b in zip(words, [None, *words])]
+    found = [AGAIN if w == b else w for w, b in zip(words, [None, *words])] if any(map(eq, words, islice(words, 1, None))) else words
     if max(map(len, found), default=0) > PIECE:
         found = [w[i : i + PIECE] for w in found for i in range(0, len(w), PIECE)]
     return found
@@ -200,14 +202,27 @@ def _sharded(joined: str, ends: np.ndarray, shards: int) -> list[tuple[int, np.n
     return [(int(of[part[0]]), part) for part in np.split(order, cuts) if len(part)]
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(a.tobytes() for a in arrays), 1)
+class _Numbers(dict):
+    """Numbers units in the order in which they are met."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        return n
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers by their lowest bytes, then the next ones, and so on: the higher ones compress well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _blocks(shards: int):
     """Rows of a block: one of shard -1 with its units and documents, and one per shard with the n-grams asked of it."""
 
-    def flush(block: int, number: dict[str, int], rows: list[tuple], held: list[np.ndarray]):
+    def flush(block: int, number: _Numbers, rows: list[tuple], held: list[np.ndarray]):
         distinct = list(number)
         joined, ends, _, _ = windows(distinct)
         flat = np.concatenate(held) if held else np.zeros((0, 2), np.uint32)
@@ -216,7 +231,7 @@ def _blocks(shards: int):
         with pa.ipc.new_stream(sink, _INFO) as out:
             out.write_table(info)
         body = sink.getvalue().to_pybytes()
-        docs = len(body).to_bytes(8, "little") + body + flat.T.astype("<u4").copy().tobytes()
+        docs = len(body).to_bytes(8, "little") + body + _planes(flat[:, 0].copy()) + _planes(flat[:, 1].copy())
         packed = [(block, -1, zlib.compress(END.join(distinct).encode("utf-8", "surrogatepass"), 1), zlib.compress(docs, 1))]
         if distinct:
             packed += [(block, s, zlib.compress("".join(grams(joined, ends[part])).encode("utf-8", "surrogatepass"), 1), None) for s, part in _sharded(joined, ends, shards)]
@@ -225,20 +240,21 @@ def _blocks(shards: int):
 
     def blocks(batches):
         block, chars = TaskContext.get().partitionId() << 24, 0
-        number: dict[str, int] = {}
+        number = _Numbers()
         rows, held = [], []
         for batch in batches:
             for a, b, c, lang, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 found = Counter(units(text))
-                at = np.fromiter((number.setdefault(u, len(number)) for u in found), np.int64, len(found))
-                order = np.argsort(at)
-                at = np.diff(at[order], prepend=0)
+                at = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+                order = at.argsort()
+                at = at[order]
+                at[1:] -= at[:-1].copy()
                 held.append(np.stack([at, np.fromiter(found.values(), np.int64, len(found))[order]], axis=1).astype(np.uint32))
                 rows.append((a, b, c, lang, len(found)))
                 chars += len(text or "")
                 if chars >= BLOCK_CHARS:
                     yield flush(block, number, rows, held)
-                    block, chars, number, rows, held = block + 1, 0, {}, [], []
+                    block, chars, number, rows, held = block + 1, 0, _Numbers(), [], []
         if rows:
             yield flush(block, number, rows, held)
 
@@ -270,7 +286,8 @@ def _summed(shards: int):
             size = int.from_bytes(docs[:8], "little")
             with pa.ipc.open_stream(docs[8 : 8 + size]) as stream:
                 info = stream.read_all()
-            at, times = np.frombuffer(docs, "<u4", offset=8 + size).reshape(2, -1).astype(np.int64)
+            half = (len(docs) - 8 - size) // 2
+            at, times = _unplaned(docs[8 + size : 8 + size + half]), _unplaned(docs[8 + size + half :])
             text = zlib.decompress(packed).decode("utf-8", "surrogatepass")
             distinct = text.split(END) if text else []
             n_units = info.column("n_units").to_numpy()
