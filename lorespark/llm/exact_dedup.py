@@ -74,18 +74,22 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": pdf.part, "owner": pdf.owner, "bitmap": [np.packbits(m).tobytes() if m.any() else None for m in maps]}).dropna()
 
 
+def _suspects(hashes: np.ndarray, bits: int, bitmaps: dict[int, bytes]) -> np.ndarray:
+    """Which of a partition's hashes occur elsewhere, by its owners' bitmaps, or more than once in it."""
+    suspect: list[np.ndarray] = []
+    for owner, values, counts in _by_owner(hashes, bits):
+        seen = counts > 1
+        if owner in bitmaps:
+            seen = seen | np.unpackbits(np.frombuffer(bitmaps[owner], np.uint8), count=len(values)).astype(bool)
+        suspect.append(values[seen])
+    marked = np.concatenate(suspect) if suspect else np.empty(0, np.uint64)
+    return np.isin(hashes.astype(np.int64).view(np.uint64), marked)
+
+
 def _marker(bits: int):
     def mark(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        bitmaps = dict(zip(answers.owner, answers.bitmap))
-        suspect: list[np.ndarray] = []
-        for owner, values, counts in _by_owner(rows.h.to_numpy(), bits):
-            seen = counts > 1
-            if owner in bitmaps:
-                seen = seen | np.unpackbits(np.frombuffer(bitmaps[owner], np.uint8), count=len(values)).astype(bool)
-            suspect.append(values[seen])
-        marked = np.concatenate(suspect) if suspect else np.empty(0, np.uint64)
         out = rows[[*ROW, "h", "sha"]].copy()
-        out["suspect"] = np.isin(rows.h.to_numpy().astype(np.int64).view(np.uint64), marked)
+        out["suspect"] = _suspects(rows.h.to_numpy(), bits, dict(zip(answers.owner, answers.bitmap)))
         return out
 
     return mark

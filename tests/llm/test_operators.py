@@ -442,6 +442,59 @@ def test_repeats_without_white_space(make):
     assert left[1] == whole and len(left.get(2, "")) < 5000
 
 
+def plain_spans(data):
+    """Every repeated span, from a dictionary of all chunks."""
+    from lorespark.llm.substring import MIN_WORDS, cuts
+
+    order = lambda r: (r[0] is None, r[0] or 0, hashes[r])
+    data = list(dict.fromkeys((d, t) for d, t in data if t))
+    hashes = {r: i for i, r in enumerate(data)}
+    seen, parts = {}, []
+    for r in data:
+        ends, words = cuts(r[1].encode())
+        for a, b, n in zip([0, *ends[:-1]], ends, np.diff(words, prepend=0).tolist()):
+            parts.append((r, a, b, n, r[1].encode()[a:b]))
+            seen.setdefault(parts[-1][4], []).append((order(r), a, r[0]))
+    first = {k: min(v, key=lambda x: x[:2]) for k, v in seen.items()}
+    spans, run = [], None
+    for r, a, b, n, piece in parts:
+        if (order(r), a) <= first[piece][:2]:
+            run = None
+            continue
+        if run is not None and run[0] == r and run[2] == a:
+            run[2], run[3] = b, run[3] + n
+            run[4].append(first[piece][2])
+        else:
+            run = [r, a, b, n, [first[piece][2]]]
+            spans.append(run)
+    return sorted(((r[0], a, b, n, min((f for f in of if f is not None), default=None)) for r, a, b, n, of in spans if n >= MIN_WORDS), key=repr)
+
+
+def test_repeats_brute_force(spark, sf_dir, make, monkeypatch):
+    from lorespark.llm import substring
+
+    data = [(r.doc_id, r.text) for r in documents(spark, sf_dir).select("doc_id", "text").collect()]
+    want = plain_spans(data)
+    assert len(want) > 20
+    for size in (substring.BLOCK_BYTES, 10_000):
+        monkeypatch.setattr(substring, "BLOCK_BYTES", size)
+        got = rows(substring.repeated_spans(make(data).repartition(3)), "doc_id", "start", "stop", "n_words", "first_doc_id")
+        assert got == want
+
+
+def test_repeats_of_null_and_repeated_ids(make):
+    """A span of one row is never cut from another row of its id."""
+    from lorespark.llm.substring import remove_repeats
+
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(n))
+    passage, unique = words(80), [words(150) for _ in range(2)]
+    for one, two in ((None, 7), (2, 2)):
+        data = [(1, words(50) + " " + passage), (one, words(20) + " " + passage + " " + words(20)), (one, unique[0]), (two, unique[1]), (None, None)]
+        left = {r.text for r in remove_repeats(make(data)).collect()}
+        assert {data[0][1], *unique, None} <= left and len(left) == 5 and data[1][1] not in left
+
+
 def test_repeats_odd(clashing, make):
     from lorespark.llm.substring import remove_repeats, repeated_spans
 
