@@ -3,12 +3,16 @@
 A page is read once into text nodes, each with the path of block elements from
 the root to it. Text length, punctuation marks and characters inside links are
 added up per path. A path's ratio is its text per node, weighted by its
-punctuation per node and by the share of its text outside links. Ratios are
-laid out in page order, smoothed over neighbouring nodes with a Gaussian
-kernel, fused with the path's own ratio, and a path is content if the mean of
-its fused values reaches ``LAMBDA`` standard deviations; a heading follows the path after it. Inside an ``article``
-or ``main`` element the author has marked the content, so there only paths that
-are nearly all links fall below the threshold, and nothing outside is taken.
+punctuation per node and by the share of its text outside links, on a log
+scale. Ratios are laid out in page order, smoothed over neighbouring nodes with
+a Gaussian kernel and fused with the path's own ratio. A path is content if the
+mean of its fused values reaches ``LAMBDA`` of the page's mean, each character
+counting once; a heading follows the path after it.
+
+``article`` and ``main`` are a weight on the fused values, by the share of the
+page's unlinked text that they hold: up to twice for paths inside them, and
+down to ``OUTSIDE`` less for those outside. A page whose text stands in a
+``div`` beside some teaser articles keeps it.
 
 Elements that never hold an article's text are left out beforehand: scripts,
 styles, forms, navigation, footers, asides, page headers, and elements whose
@@ -38,20 +42,21 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.common import lean
 
-LAMBDA, SIGMA, RADIUS = 0.5, 1.0, 2
-#: Inside marked content, paths with less of their text outside links are link lists.
-LEAST_PLAIN = 0.1
+LAMBDA, SIGMA, RADIUS = 0.6, 1.0, 2
+#: What a path outside article and main loses where they hold all of the page's text.
+OUTSIDE = 0.6
 
 RAW = "script|style|textarea|title|iframe"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[a-z/][^>]*\Z",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*+)(?P<attrs>[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>|<(?:[a-z]|/[a-z])[^>]*+>|<[a-z/][^>]*+\Z",
     re.DOTALL | re.IGNORECASE,
 )
 BLOCK = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr blockquote pre figure figcaption header footer nav aside form fieldset address details summary center hgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes if it is open in the same parent: an unclosed paragraph, item or row.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "tbody": {"tr", "thead", "tbody"}}
+LISTS = frozenset("ul ol dl table".split())
 DROPPED = frozenset("nav footer aside form button select option label fieldset menu dialog canvas audio video head noscript template svg object".split())
 #: Start tags that leave an open head open; any other, and any text, ends it.
 IN_HEAD = frozenset("base link meta basefont bgsound noscript template".split())
@@ -65,7 +70,7 @@ NAMED = re.compile(
 UNNAMED = frozenset("html body main article".split())
 STATE = re.compile(r"^(?:no|not|without|hide|hidden|has|is|with)[_-]|[_-](?:open|opened|closed|enabled|disabled|hidden|visible|active|on|off|none)$", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
+HEADING = re.compile(r"h[1-6]$")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
@@ -76,26 +81,47 @@ class _Open:
         self.name, self.path, self.dropped, self.marked, self.link = name, path, dropped, marked, link
 
 
-def nodes(page: str) -> list[tuple[int, str, str, bool, bool]]:
-    """(block number, path, text, inside marked content, inside a link) of the text nodes in page order."""
-    stack = [_Open("", "", False, False, False)]
+class _Stack:
+    """The open elements, and how many there are of each name, so that a tag that ends none is passed over at once."""
+
+    def __init__(self):
+        self.open = [_Open("", 0, False, False, False)]
+        self.count: dict[str, int] = {}
+
+    def push(self, element: _Open) -> None:
+        self.open.append(element)
+        self.count[element.name] = self.count.get(element.name, 0) + 1
+
+    def end(self, names, until=()) -> None:
+        """Ends the innermost open element of these names, and all inside it, unless one of ``until`` is met first."""
+        if not any(self.count.get(n) for n in names):
+            return
+        for i in range(len(self.open) - 1, 0, -1):
+            name = self.open[i].name
+            if name in names:
+                for e in self.open[i:]:
+                    self.count[e.name] -= 1
+                del self.open[i:]
+                return
+            if name in until:
+                return
+
+
+def nodes(page: str) -> tuple[list[tuple[int, int, str, bool, bool]], list[str]]:
+    """(block number, path, text, inside marked content, inside a link) of the text nodes in page order, and the last
+    element's name of each path. Paths are numbers; each is known by its parent and last element alone."""
+    stack = _Stack()
     found, block, at = [], 0, 0
+    numbers: dict[tuple[int, str], int] = {}
+    last = [""]
 
     def text(end: int) -> None:
-        if stack[-1].name == "head" and page[at:end].strip():
-            del stack[-1]
-        top = stack[-1]
+        if stack.open[-1].name == "head" and page[at:end].strip():
+            stack.end(("head",))
+        top = stack.open[-1]
         if end > at and not top.dropped:
             found.append((block, top.path, html.unescape(page[at:end]), top.marked, top.link))
 
-    def close(names) -> bool:
-        """Ends the innermost open element of these names, and all inside it."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return True
-        return False
-
     for m in TOKEN.finditer(page):
         text(m.start())
         at = m.end()
@@ -103,82 +129,81 @@ def nodes(page: str) -> list[tuple[int, str, str, bool, bool]]:
         if name is None:
             continue
         name = name.lower()
-        if not m["close"] and stack[-1].name == "head" and name not in IN_HEAD:
-            del stack[-1]
         if m["close"]:
             if name in BLOCK or name in MARKED:
                 block += 1
-            close((name,))
+            stack.end((name,))
             continue
+        if stack.open[-1].name == "head" and name not in IN_HEAD:
+            stack.end(("head",))
         if name in VOID:
             if name == "hr":
                 block += 1
             elif found:
-                found.append((block, stack[-1].path, " ", stack[-1].marked, False))
+                top = stack.open[-1]
+                found.append((block, top.path, " ", top.marked, False))
             continue
         blocked = name in BLOCK
         if blocked:
             block += 1
-            for i in range(len(stack) - 1, 0, -1):  # an open paragraph ends where a block begins
-                if stack[i].name == "p":
-                    del stack[i:]
-                    break
-                if stack[i].name in BLOCK:
-                    break
+            stack.end(("p",), BLOCK)  # an open paragraph ends where a block begins
         if name in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in CLOSES[name]:
-                    del stack[i:]
-                    break
-                if stack[i].name in ("ul", "ol", "dl", "table"):
-                    break
-        top = stack[-1]
+            stack.end(CLOSES[name], LISTS)
+        top = stack.open[-1]
         attrs = m["attrs"]
         names = [a or b or c for a, b, c in ATTRIBUTE.findall(attrs)] if attrs and "=" in attrs else ()
         dropped = top.dropped or name in DROPPED or (name == "header" and not top.marked) or (name not in UNNAMED and any(NAMED.search(c) and not STATE.search(c) for n in names for c in n.split()))
         if attrs.endswith("/") and name in BLOCK | {"a", "span", "svg"} and name not in ("p", "div", "a", "span"):
             continue
-        path = f"{top.path}/{name}" + "".join(f".{n}" for n in names) if blocked else top.path
-        stack.append(_Open(name, path, dropped, top.marked or name in MARKED, top.link or name == "a"))
+        path = top.path
+        if blocked:
+            path = numbers.setdefault((top.path, ".".join((name, *names))), len(last))
+            if path == len(last):
+                last.append(name)
+        stack.push(_Open(name, path, dropped, top.marked or name in MARKED, top.link or name == "a"))
     text(len(page))
-    return found
+    return found, last
 
 
-def content_paths(found: list[tuple[int, str, str, bool, bool]]) -> set[str]:
+def content_paths(found: list[tuple[int, int, str, bool, bool]], last: list[str]) -> set[int]:
     """The paths whose fused tag-path ratio reaches the threshold."""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
+    order: list[int] = []
+    plain: list[int] = []
     for _, path, text, marked, link in found:
-        plain = len(text.strip())
-        if not plain:
+        size = len(text.strip())
+        if not size:
             continue
         s = sums.setdefault(path, [0, 0, 0, 0, marked])
-        s[0] += plain
+        s[0] += size
         s[1] += len(PUNCTUATION.findall(text))
-        s[2] += plain if link else 0
+        s[2] += size if link else 0
         s[3] += 1
+        order.append(path)
+        plain.append(size)
     if not sums:
         return set()
-    if any(s[4] for s in sums.values()):
-        return {p for p, s in sums.items() if s[4] and 1 - s[2] / s[0] >= LEAST_PLAIN}
-    ratio = {p: s[0] / s[3] * np.log2(2 + s[1] / s[3]) * (1 - s[2] / s[0]) for p, s in sums.items()}
-    order = [path for _, path, text, _, _ in found if text.strip()]
+    ratio = {p: np.log2(1 + s[0] / s[3] * np.log2(2 + s[1] / s[3]) * (1 - s[2] / s[0])) for p, s in sums.items()}
     line = np.array([ratio[p] for p in order])
     kernel = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
     weight = np.convolve(np.ones(len(line)), kernel, "full")[RADIUS : RADIUS + len(line)]
     smooth = np.convolve(line, kernel, "full")[RADIUS : RADIUS + len(line)] / weight
     fused = np.sqrt(line * smooth)
-    limit = LAMBDA * fused.std()
-    total: dict[str, list[float]] = {}
+    limit = LAMBDA * np.average(fused, weights=plain)
+    unlinked = sum(s[0] - s[2] for s in sums.values())
+    share = sum(s[0] - s[2] for s in sums.values() if s[4]) / unlinked if unlinked else 0.0
+    total: dict[int, list[float]] = {}
     for path, value in zip(order, fused):
         total.setdefault(path, []).append(value)
-    chosen = {p for p, values in total.items() if np.mean(values) >= limit and np.mean(values) > 0}
-    return chosen | {p for p, following in zip(order, order[1:]) if HEADING.search(p) and following in chosen}
+    mean = {p: float(np.mean(v)) * (1 + share if sums[p][4] else 1 - OUTSIDE * share) for p, v in total.items()}
+    chosen = {p for p, value in mean.items() if value >= limit and value > 0}
+    return chosen | {p for p, following in zip(order, order[1:]) if HEADING.match(last[p]) and following in chosen}
 
 
 def extract(page: str | None) -> str:
     """The page's main text."""
-    found = nodes(page or "")
-    chosen = content_paths(found)
+    found, last = nodes(page or "")
+    chosen = content_paths(found, last)
     blocks: dict[int, list[str]] = {}
     for block, path, text, _, _ in found:
         if path in chosen:
