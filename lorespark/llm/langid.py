@@ -1,12 +1,14 @@
 """Language identification of mixed-language text.
 
-Learning. A bounded sample of labelled documents, ``SAMPLE_PER_LANG`` per
-language in the order of a hash of their id and text, is counted in tasks: for
+Learning. A bounded sample of the distinct texts of each language, about
+``SAMPLE_PER_LANG`` in the order of a hash of the text, is counted in tasks: for
 each language the character n-grams (lengths ``NGRAMS``) of its words, each word
-taken between two edge marks, and how its letters spread over scripts. Per
+taken between two edge marks, and how its letters spread over scripts. A
+threshold on the hash, from the number of distinct texts, leaves a few rows per
+language before they are ranked, so no language's rows meet in a task. Per
 language the ``FEATURES`` most frequent n-grams and their add-one smoothed log
-probabilities are the model; up to ``MAX_LANGS`` languages are learned, those
-with the most labelled documents.
+probabilities are the model; all languages are learned, with fewer features each
+where the table would exceed ``MODEL_BYTES``.
 
 Prediction. A word's letters tell its script by code point range; languages in
 which fewer than ``SCRIPT_SHARE`` of letters are of that script are no
@@ -36,10 +38,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import join_ids, lean, materialize
+from lorespark.llm.common import ROW, _small, lean, materialize, row_key
 
-SAMPLE_PER_LANG, MAX_LANGS, FEATURES = 400, 256, 20_000
-NGRAMS, SCRIPT_SHARE, SWITCH = (2, 3), 0.001, 6.0
+#: Documents learned from and n-grams kept per language; bytes of the table of all languages, which is broadcast.
+SAMPLE_PER_LANG, FEATURES, MODEL_BYTES = 400, 20_000, 256 << 20
+NGRAMS, SCRIPT_SHARE, SWITCH = (1, 2, 3, 4), 0.001, 6.0
 MAX_WORD = 48  # longer words are scored by their pieces of this length
 CACHE_WORDS, SCORED_AT_ONCE = 300_000, 20_000
 UNKNOWN = "und"
@@ -92,7 +95,7 @@ class Model:
 
     def __init__(self, langs: list[str], ngrams: dict[str, Counter], scripts: dict[str, Counter]):
         self.langs = langs
-        known = sorted({g for lang in langs for g, _ in sorted(ngrams[lang].items(), key=lambda x: (-x[1], x[0]))[:FEATURES]})
+        known = sorted({g for lang in langs for g in ngrams[lang]})
         self.row = {g: i for i, g in enumerate(known)}
         self.logp = np.zeros((len(known) + 1, len(langs)), np.float32)  # the last row is for unseen n-grams
         self.allowed = np.zeros((len(NAMES), len(langs)), bool)
@@ -211,14 +214,23 @@ def spans(text: str | None, model: Model) -> list[tuple[int, int, str]]:
     return out
 
 
+def sample(labelled: DataFrame) -> DataFrame:
+    """lang and text of at most ``SAMPLE_PER_LANG`` distinct texts of each language, those with the smallest hashes."""
+    rows = labelled.filter("lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), *row_key()[1:])
+    key = ROW[1:]
+    many = rows.groupBy("lang").agg(F.approx_count_distinct(ROW[1], 0.02).alias("n"))
+    # twice the sample on average, so that in effect the sample is always reached
+    share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_PER_LANG) / F.col("n"))
+    most = materialize(many.select(F.col("lang").alias("of"), (F.lit(float(1 << 63)) * (2 * share - 1)).alias("most")))
+    few = rows.join(_small(most), F.col("lang") == F.col("of")).filter(F.col(ROW[1]).cast("double") <= F.col("most"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*key))
+    chosen = materialize(few.select("lang", *key).distinct().withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_PER_LANG).select(F.col("lang").alias("of"), *[F.col(c).alias(f"{c}_of") for c in key]))
+    texts = rows.join(_small(chosen), (F.col("lang") == F.col("of")) & (F.col(ROW[1]) == F.col(f"{ROW[1]}_of")) & (F.col(ROW[2]) == F.col(f"{ROW[2]}_of")), "left_semi")
+    return texts.dropDuplicates(["lang", *key]).select("lang", "text")
+
+
 def train(labelled: DataFrame) -> Model:
     """A model of the rows' ``lang`` (null: not used) and ``text``; see the module's text."""
-    key = F.xxhash64("doc_id", F.xxhash64(F.col("text").cast("string")))
-    rows = labelled.filter("lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), key.alias("key"))
-    most = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
-    ids = materialize(rows.filter(F.col("lang").isin(most)).withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_PER_LANG).select("doc_id"))
-    sample = join_ids(labelled.filter("lang is not null"), ids, "left_semi").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
     def counted(batches):
         total: Counter = Counter()
@@ -233,15 +245,17 @@ def train(labelled: DataFrame) -> Model:
             part = keys[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part]), pa.array([k[1] for k in part], pa.string()), pa.array([k[2] for k in part], pa.int32()), pa.array([total[k] for k in part], pa.int64())], ["lang", "gram", "script", "n"])
 
-    counts = materialize(sample.mapInArrow(lean(counted), "lang string, gram string, script int, n long").groupBy("lang", "gram", "script").agg(F.sum("n").alias("n")))
+    counts = materialize(sample(labelled).mapInArrow(lean(counted), "lang string, gram string, script int, n long").groupBy("lang", "gram", "script").agg(F.sum("n").alias("n")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    ngrams: dict[str, Counter] = {lang: Counter() for lang in most}
-    scripts: dict[str, Counter] = {lang: Counter() for lang in most}
-    for r in counts.filter("gram is not null").withColumn("place", place).filter(F.col("place") <= FEATURES).select("lang", "gram", "n").collect():
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    features = max(1, min(FEATURES, MODEL_BYTES // (4 * max(1, len(langs)) ** 2)))
+    ngrams: dict[str, Counter] = {lang: Counter() for lang in langs}
+    scripts: dict[str, Counter] = {lang: Counter() for lang in langs}
+    for r in counts.filter("gram is not null").withColumn("place", place).filter(F.col("place") <= features).select("lang", "gram", "n").toLocalIterator():
         ngrams[r.lang][r.gram] = r.n
     for r in counts.filter("gram is null").collect():
         scripts[r.lang][r.script] = r.n
-    return Model(sorted(most), ngrams, scripts)
+    return Model(langs, ngrams, scripts)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

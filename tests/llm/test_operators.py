@@ -322,6 +322,70 @@ def test_extract_by_ratio():
     assert "l3" not in extract(f"<body><ul>{links}</ul><div id=x>{body}</div></body>")
 
 
+SENTENCES = "".join(f"<p>Sentence number {i}, with some length and punctuation; it goes on for a while, as they do.</p>" for i in range(6))
+
+
+def test_extract_weighs_marks():
+    """article and main weigh on the ratios; they neither shut out nor let in on their own."""
+    from lorespark.llm.html_extract import extract
+
+    teasers = "".join(f"<article><a href=/{i}>Other story {i}</a></article>" for i in range(5))
+    got = extract(f"<body>{teasers}<div id=story><h1>Head</h1>{SENTENCES}</div></body>")
+    assert got.startswith("Head\n\nSentence number 0") and got.count("Sentence") == 6 and "Other" not in got
+    got = extract(f"<body><article>{SENTENCES}</article><div id=rest>{SENTENCES}</div></body>")
+    assert got.count("Sentence") == 12  # the text goes on outside
+    links = "".join(f"<li><a href=/{i}>linked title {i}</a></li>" for i in range(20))
+    items = "<ul><li>a short item</li><li>one more</li></ul>"
+    got = extract(f"<article><h1>Head</h1>{SENTENCES}{items}<ul class=x>{links}</ul></article><div><p>Tail line</p></div>")
+    assert got.endswith("a short item\n\none more") and "linked" not in got and "Tail" not in got
+    assert extract("<article><h1>T</h1><p>Short.</p></article>") == "T\n\nShort."
+
+
+@pytest.mark.parametrize("piece", ["<a", "<div>", "<div><b>", "<p class='x y'>", "</zz>", "<li>", "<!--", "&amp;", "<a ", "< ", "<b><dd>", "<td>", "x</p>", "<![", "<script>", "<" * 9 + "a"])
+def test_extract_hostile(piece):
+    """A megabyte of one construct takes a moment, and memory in proportion."""
+    import time
+    import tracemalloc
+
+    from lorespark.llm.html_extract import extract
+
+    page = "<body><article><p>Text.</p>" + piece * (1_000_000 // len(piece))
+    tracemalloc.start()
+    extract(page[: len(page) // 10])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    began = time.process_time()
+    extract(page)
+    assert time.process_time() - began < 10 and peak < 400 * len(page) // 10
+
+
+def test_extract_long_names():
+    import time
+
+    from lorespark.llm.html_extract import extract
+
+    began = time.process_time()
+    assert extract("<article><p>Text.</p><" + "a" * 1_000_000) == "Text."
+    assert extract("<article><p>Text.</p>" + "<a x=\"" * 100_001) == "Text."
+    assert time.process_time() - began < 2
+
+
+def test_extract_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    from lorespark.llm.html_extract import main_text
+
+    pages = spark.createDataFrame([(1, "u", "<article><p>Text.</p>")], "page_id long, url string, html string")
+    got = main_text(pages.select("*", F.lit("x").alias("text"), F.lit(3).alias("n_chars"), F.lit(None).alias("block"))).collect()
+    assert [tuple(r) for r in got] == [(1, "u", "Text.", 5)]
+
+
+def duckdb_pages():
+    import duckdb
+
+    return [x for (x,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.1/pages.parquet'").fetchall()]
+
+
 def test_extract_pages(spark, sf_dir):
     import html
 
@@ -337,6 +401,10 @@ def test_extract_pages(spark, sf_dir):
     want = {r.page_id: plain(r.html) for r in pages.collect()}
     got = main_text(pages).collect()
     assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+    big = duckdb_pages()
+    from lorespark.llm.html_extract import extract
+
+    assert all(extract(x) == plain(x) for x in big)
     odd = spark.createDataFrame([(1, None, None), (None, "u", "<p>x"), (1, None, None)], "page_id long, url string, html string")
     assert main_text(odd).count() == 3 and main_text(odd.limit(0)).count() == 0
 
