@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import lean, shared_dir
+from lorespark.llm.common import lean, materialize, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 KEYS = ["source", "lang", "tokenizer_version"]
@@ -109,10 +109,29 @@ class TokenRollup:
         return summed.filter("n_docs <> 0 or n_tokens <> 0")
 
 
+def _changes(op: str, counts: DataFrame, old_version: str, version: str, n_tokens) -> DataFrame:
+    """Changes of all ``counts``, from what was counted under ``old_version`` to ``n_tokens`` under ``version``."""
+    old = [F.col(c).alias(f"old_{c}") for c in ("source", "lang")] + [F.lit(old_version).alias("old_tokenizer_version"), F.col("n_tokens").alias("old_n_tokens")]
+    return counts.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer_version"), n_tokens.alias("n_tokens"), *old)
+
+
 def corpus_totals(docs: DataFrame, tokenizer: str = TOKENIZER, path: str | None = None) -> DataFrame:
-    """Totals after all of ``docs`` has been inserted; a replay of the batch changes nothing."""
+    """Totals of ``docs`` after three batches, each replayed, which changes nothing.
+
+    All rows are inserted; all are revised to counts that hold the end id, under
+    a version of their own; rows without a token are then deleted.
+    """
     rollup = TokenRollup(docs.sparkSession, path)
-    load = inserts(count_tokens(docs, tokenizer), tokenizer.rsplit("/", 1)[-1])
-    rollup.commit("load", load)
-    rollup.commit("load", load)
+    counts = materialize(count_tokens(docs, tokenizer))
+    version = tokenizer.rsplit("/", 1)[-1]
+    ended = f"{version}+end"
+    with_end = counts.withColumn("n_tokens", F.col("n_tokens") + 1)
+    batches = [
+        ("load", inserts(counts, version)),
+        ("end id", _changes("revise", counts, version, ended, F.col("n_tokens") + 1)),
+        ("no token", _changes("delete", with_end.filter("n_tokens = 1"), ended, ended, F.lit(0).cast("long"))),
+    ]
+    for name, batch in batches:
+        rollup.commit(name, batch)
+        rollup.commit(name, batch)
     return rollup.totals()

@@ -412,7 +412,7 @@ def test_extract_pages(spark, sf_dir):
 # --- 4: fingerprints -----------------------------------------------------------
 
 
-def test_fingerprint_edits(make, spark):
+def test_fingerprint_edits(make, spark, clashing):
     from lorespark.llm.fingerprint import fingerprint_edits
 
     def canon(t):
@@ -432,6 +432,14 @@ def test_fingerprint_edits(make, spark):
         got = rows(fingerprint_edits(make(data).repartition(parts)), "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
         assert got == sorted(want, key=repr)
     assert fingerprint_edits(make([])).count() == 0
+    assert fingerprint_edits(clashing).count() == len(ODD)
+
+
+def plain_classes(data):
+    groups = {}
+    for d, t in data:
+        groups.setdefault(" ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold()).split()), []).append(d)
+    return sorted(((d, min((x for x in ids if x is not None), default=None), len(ids)) for ids in groups.values() for d in ids), key=repr)
 
 
 def test_equal_classes(make, clashing):
@@ -439,7 +447,12 @@ def test_equal_classes(make, clashing):
 
     data = [(3, "Straße  X"), (1, "STRASSE x"), (2, "other"), (5, "ﬁn"), (4, " fin ")]
     assert rows(equal_classes(make(data)), "doc_id", "class_id", "class_size") == [(1, 1, 2), (2, 2, 1), (3, 1, 2), (4, 4, 2), (5, 4, 2)]
-    assert equal_classes(clashing).count() >= len(ODD)
+    from lorespark.llm.fingerprint import fingerprint_edits
+
+    for data in ([(r[0], r[1]) for r in ODD], IDLESS):
+        for result in (equal_classes(make(data)), fingerprint_edits(make(data).repartition(3))):
+            assert rows(result, "doc_id", "class_id", "class_size") == plain_classes(data)
+    assert equal_classes(clashing).count() == len(ODD)
 
 
 # --- 5: substring dedup --------------------------------------------------------
@@ -696,7 +709,7 @@ def test_rollup(spark, tmp_path):
     assert ("b", "v1", 1, 7) in rows(rollup.totals(), "source", "tokenizer_version", "n_docs", "n_tokens")
 
 
-def test_corpus_totals(spark, sf_dir, clashing):
+def test_corpus_totals(spark, sf_dir, clashing, make):
     from tokenizers import Tokenizer
 
     from lorespark.llm.common import tokenizer_file
@@ -704,12 +717,16 @@ def test_corpus_totals(spark, sf_dir, clashing):
 
     tok = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
     want: dict[tuple, list[int]] = {}
-    for r in documents(spark, sf_dir).collect():
-        t = want.setdefault((r.source, r.lang), [0, 0])
-        t[0] += 1
-        t[1] += len(tok.encode(r.text, add_special_tokens=False).ids)
-    assert rows(corpus_totals(documents(spark, sf_dir)), "source", "lang", "n_docs", "n_tokens") == sorted(((*k, *v) for k, v in want.items()), key=repr)
-    assert corpus_totals(clashing).agg({"n_docs": "sum"}).first()[0] == len(ODD)
+    docs = documents(spark, sf_dir).unionByName(make([(9001, None), (9002, ""), (9003, " \n"), (9004, "x")]))
+    for r in docs.collect():
+        if n := len(tok.encode(r.text or "", add_special_tokens=False).ids):
+            t = want.setdefault((r.source, r.lang, "word_bpe_49k.json+end"), [0, 0])
+            t[0] += 1
+            t[1] += n + 1
+    got = rows(corpus_totals(docs), "source", "lang", "tokenizer_version", "n_docs", "n_tokens")
+    assert got == sorted(((*k, *v) for k, v in want.items()), key=repr)
+    assert corpus_totals(clashing).agg({"n_docs": "sum"}).first()[0] == sum(bool((r[1] or "").strip()) for r in ODD)
+    assert corpus_totals(make([])).count() == 0
 
 
 # --- 9: quality ----------------------------------------------------------------
