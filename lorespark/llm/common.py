@@ -8,6 +8,7 @@ import os
 import re
 import tempfile
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,12 @@ def drop_rows(docs: DataFrame, dropped: DataFrame, repeated: DataFrame) -> DataF
     return join_rows(left, repeated, "left_anti").unionByName(keyed.dropDuplicates(ROW).drop(*ROW))
 
 
+def _give_back() -> None:
+    """Freed pages of a Python worker go back to the system."""
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own counsel
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(task):
     """A ``mapInArrow`` function that is sparing with memory.
 
@@ -103,12 +110,31 @@ def lean(task):
         try:
             yield from task(batches)
         finally:
-            with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own counsel
-                ctypes.CDLL(None).malloc_trim(0)
+            _give_back()
 
     return run
 
 
+def lean_groups(task):
+    """The same for a function of ``applyInPandas``, of one or two frames."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            return task(frame)
+        finally:
+            _give_back()
+
+    def two(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            return task(left, right)
+        finally:
+            _give_back()
+
+    return two if task.__code__.co_argcount == 2 else one
+
+
 def single_thread() -> None:
     """Tokenizer libraries must not start a thread for every core in each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

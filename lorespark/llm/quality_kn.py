@@ -51,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import ROW, drop_rows, join_ids, lean, materialize, row_key, shuffle_partitions
+from lorespark.llm.common import ROW, drop_rows, join_ids, lean, lean_groups, materialize, row_key, shuffle_partitions
 
 ORDER, PIECE = 5, 32
 PRIOR, LEAST, HELD = 48, 30, 3
@@ -61,7 +61,7 @@ STEPS = 12
 #: What pads a unit's beginning, ends it, and stands for the word before once more.
 START, END, AGAIN = "\0", " ", "\x01"
 #: Code points of text in a block, distinct units that a counting task holds, n-grams in a shard on average.
-BLOCK_CHARS, HELD_UNITS, SHARD_GRAMS = 16_000_000, 500_000, 200_000
+BLOCK_CHARS, HELD_UNITS, SHARD_GRAMS = 4_000_000, 120_000, 100_000
 #: Count tables of at most so many n-grams are broadcast when they are looked up.
 BROADCAST_GRAMS = 200_000
 
@@ -319,12 +319,12 @@ def bits(docs: DataFrame, model: tuple[list[tuple[DataFrame, DataFrame]], float]
     rows = docs.select(*row_key(), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     blocks = materialize(rows.mapInArrow(lean(_blocks(shards)), _BLOCKS))
     asks = blocks.filter("shard >= 0").select("block", "shard", "units")
-    scored = look_up(materialize(asks.groupBy("shard").applyInPandas(_distinct, "gram string")), model)
+    scored = look_up(materialize(asks.groupBy("shard").applyInPandas(lean_groups(_distinct), "gram string")), model)
     by_shard = scored.withColumn("shard", (F.crc32(F.col("gram").cast("binary")) % shards).cast("int")).groupBy("shard")
-    answers = asks.groupBy("shard").cogroup(by_shard).applyInPandas(_answer, "block long, shard int, steps binary")
+    answers = asks.groupBy("shard").cogroup(by_shard).applyInPandas(lean_groups(_answer), "block long, shard int, steps binary")
     waiting = blocks.filter("shard < 0").select("block", "units", "docs").groupBy("block")
     schema = ", ".join(f"{c} long" for c in ROW) + ", lang string, n_symbols long, bits double"
-    return waiting.cogroup(answers.groupBy("block")).applyInPandas(_summed(shards), schema)
+    return waiting.cogroup(answers.groupBy("block")).applyInPandas(lean_groups(_summed(shards)), schema)
 
 
 def train(trusted: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], float]:

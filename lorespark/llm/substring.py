@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.llm import golomb
-from lorespark.llm.common import ROW, lean, materialize, row_key, shuffle_partitions
+from lorespark.llm.common import ROW, lean, lean_groups, materialize, row_key, shuffle_partitions
 from lorespark.llm.exact_dedup import _answer, _by_owner, _suspects
 
 MIN_WORDS = 24
@@ -51,7 +51,7 @@ WORD_BITS, BARE_BITS, BARE_AFTER = 2, 9, 64
 #: One cut in 8 code points of scripts without white space; bytes that count as a word there.
 POINT_BITS, WORD_BYTES = 3, 6
 #: Bytes of text in a block, and chunks in an owner's range at most, on average.
-BLOCK_BYTES, OWNED = 16_000_000, 8_000_000
+BLOCK_BYTES, OWNED = 8_000_000, 8_000_000
 #: Spans that are broadcast when texts are cut, over all documents; more are joined by shuffling.
 BROADCAST_SPANS = 500_000
 
@@ -194,9 +194,9 @@ def suspect_chunks(docs: DataFrame) -> DataFrame:
     bits = max(1, shuffle_partitions(docs.sparkSession) - 1, 100 * docs.count() // OWNED).bit_length()
     texts = docs.select(*row_key(), F.col("text").cast("string").cast("binary").alias("text"))
     blocks = materialize(texts.mapInArrow(lean(_blocks(bits)), "part long, owner int, coded binary, chunks array<binary>"))
-    answers = blocks.filter("owner is not null").select("part", "owner", "coded").groupBy("owner").applyInPandas(_answer, "part long, owner int, bitmap binary")
+    answers = blocks.filter("owner is not null").select("part", "owner", "coded").groupBy("owner").applyInPandas(lean_groups(_answer), "part long, owner int, bitmap binary")
     waiting = blocks.filter("owner is null").select("part", "chunks").groupBy("part")
-    return waiting.cogroup(answers.groupBy("part")).applyInPandas(_found(bits), f"{_ROWS}, start int, stop int, words int, hi long, lo short, again boolean")
+    return waiting.cogroup(answers.groupBy("part")).applyInPandas(lean_groups(_found(bits)), f"{_ROWS}, start int, stop int, words int, hi long, lo short, again boolean")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
