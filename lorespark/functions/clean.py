@@ -76,18 +76,23 @@ def drop_references(text: Column | str, min_references: int = 1, max_others: int
     """
     all_lines = lines(text)
     n = F.size(all_lines)
-    numbered = F.reverse(F.transform(all_lines, lambda x, i: F.struct(is_reference(x).alias("ref"), i.alias("i"))))
+    numbered = F.reverse(F.transform(all_lines, lambda x, i: F.struct(x.alias("line"), i.alias("i"))))
     begin = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("others"), n.alias("cut"), F.lit(False).alias("done"))
 
     def step(s: Column, x: Column) -> Column:
-        seen = s["seen"] + F.when(x["ref"], 1).otherwise(0)
-        others = F.when(x["ref"], 0).when(s["seen"] >= min_references, s["others"] + 1).otherwise(s["others"])
-        cut = F.when(x["ref"] & (seen >= min_references), x["i"]).otherwise(s["cut"])
-        moved = F.struct(seen.alias("seen"), others.alias("others"), cut.alias("cut"), (others >= max_others).alias("done"))
-        return F.when(s["done"], s).otherwise(moved)
-
-    cut = F.aggregate(numbered, begin, step, lambda s: s["cut"])
-    return F.when(cut < n, join_lines(F.slice(all_lines, F.lit(1), cut))).otherwise(col(text))
+        def moved(ref: Column) -> Column:
+            seen = s["seen"] + F.when(ref, 1).otherwise(0)
+            others = F.when(ref, 0).when(s["seen"] >= min_references, s["others"] + 1).otherwise(s["others"])
+            cut = F.when(ref & (seen >= min_references), x["i"]).otherwise(s["cut"])
+            return F.struct(seen.alias("seen"), others.alias("others"), cut.alias("cut"), (others >= max_others).alias("done"))
+
+        # a line is tested once, and not at all after the end of the list was found
+        return F.when(s["done"], s).otherwise(F.element_at(F.transform(F.array(is_reference(x["line"])), moved), 1))
+
+    def kept(s: Column) -> Column:
+        return F.when(s["cut"] < n, join_lines(F.slice(all_lines, F.lit(1), s["cut"]))).otherwise(col(text))
+
+    return F.aggregate(numbered, begin, step, kept)
 
 
 def drop_brackets(text: Column | str) -> Column:

@@ -13,9 +13,16 @@ from lorespark.functions.text import strip
 from lorespark.sources.stores import Files
 
 
+csv.field_size_limit(2**31 - 1)  # an answer may be one long cell
+
+
 def parse_csv(text: str | None) -> list[list[str]]:
-    """Rows of default-dialect CSV with a cell that is not blank."""
-    return [row for row in csv.reader(io.StringIO(text or "")) if any(cell.strip() for cell in row)]
+    """Rows of default-dialect CSV with a cell that is not blank; a text that is no CSV is one cell."""
+    try:
+        rows = list(csv.reader(io.StringIO(text or "")))
+    except csv.Error:
+        rows = [[text or ""]]
+    return [row for row in rows if any(cell.strip() for cell in row)]
 
 
 def parse(answers: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -61,6 +68,12 @@ def to_csv_text(text: str) -> str:
     return out.getvalue()
 
 
+def read_export(spark, path: str) -> DataFrame:
+    """(row, front, back, extra) of an exported file."""
+    answer = spark.read.text(path, wholetext=True).select(F.lit(0).alias("id"), F.col("value").alias("text"))
+    return typed(parse(answer)).drop("id")
+
+
 def export(spark, text: str, folder: str, now=None) -> str:
     """Writes one answer's cards to a stamped file in ``folder`` and gives its path."""
     if not (text or "").strip():

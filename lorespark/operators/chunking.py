@@ -70,25 +70,31 @@ def fixed_length(text: Column | str, size: int = 400, overlap: int = 50, separat
 
     When the next piece does not fit, the chunk is emitted and pieces leave on
     the left until what stays is at most ``overlap`` long and leaves room for
-    it. The state keeps the pieces' lengths, so a step costs what it keeps.
+    it. The state keeps the width of what is held, so a step costs what leaves.
     """
     pieces = F.filter(F.split(col(text), separator, -1), lambda p: p != "")
     gap = len(separator)
     none = F.array().cast("array<string>")
 
-    def width(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), lambda n, p: n + F.length(p) + gap) - F.when(F.size(part) > 0, gap).otherwise(0)
-
     def step(s: Column, p: Column) -> Column:
-        held = s["cur"]
-        fits = (F.size(held) == 0) | (width(held) + gap + F.length(p) <= size)
-        tails = F.transform(F.sequence(F.lit(0), F.size(held)), lambda j: F.slice(held, j + 1, F.size(held)))
-        good = F.filter(tails, lambda t: (width(t) <= overlap) & ((F.size(t) == 0) | (width(t) + gap + F.length(p) <= size)))
-        joined = F.struct(s["out"].alias("out"), F.array_append(held, p).alias("cur"))
-        emitted = F.struct(F.array_append(s["out"], F.array_join(held, separator)).alias("out"), F.array_append(F.get(good, F.lit(0)), p).alias("cur"))
-        return F.when(fits, joined).otherwise(emitted)
-
-    begin = F.struct(none.alias("out"), none.alias("cur"))
+        held, size_of = s["cur"], F.length(p)
+        fits = (F.size(held) == 0) | (s["width"] + gap + size_of <= size)
+        joined = F.struct(s["out"].alias("out"), F.array_append(held, p).alias("cur"), F.when(F.size(held) == 0, size_of).otherwise(s["width"] + gap + size_of).alias("width"))
+
+        def leave(t: Column, h: Column) -> Column:
+            stays = (t["width"] <= overlap) & ((t["n"] == 0) | (t["width"] + gap + size_of <= size))
+            rest = F.when(t["n"] == 1, 0).otherwise(t["width"] - F.length(h) - gap)
+            return F.when(stays, t).otherwise(F.struct(rest.alias("width"), (t["n"] - 1).alias("n")))
+
+        def emitted(t: Column) -> Column:
+            kept = F.slice(held, F.size(held) - t["n"] + 1, t["n"])
+            out = F.array_append(s["out"], F.array_join(held, separator))
+            return F.struct(out.alias("out"), F.array_append(kept, p).alias("cur"), F.when(t["n"] == 0, size_of).otherwise(t["width"] + gap + size_of).alias("width"))
+
+        left = F.aggregate(held, F.struct(s["width"].alias("width"), F.size(held).alias("n")), leave)
+        return F.when(fits, joined).otherwise(F.element_at(F.transform(F.array(left), emitted), 1))
+
+    begin = F.struct(none.alias("out"), none.alias("cur"), F.lit(0).alias("width"))
     merged = F.aggregate(pieces, begin, step, lambda s: F.when(F.size(s["cur"]) > 0, F.array_append(s["out"], F.array_join(s["cur"], separator))).otherwise(s["out"]))
     return F.filter(F.transform(merged, strip), lambda c: c != "")
 

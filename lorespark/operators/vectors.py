@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,17 +52,26 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id"
 
     The stated queries (query_id, query) are held against all vectors block by
     block. A task scores its batches against a block and passes on ``k`` rows
-    per query, so what is shuffled does not grow with the vectors.
+    per query, so what is shuffled does not grow with the vectors. Of several
+    blocks each is finished, and kept on disk, before the next is gathered, so
+    driver and tasks hold one at a time.
     """
     blocks = max(1, -(-queries.count() // block))
-    parts = [_nearest(vectors, queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k, key, vector) for b in range(blocks)]
-    local = reduce(DataFrame.unionByName, parts)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
-    return local.withColumn("rank", place).filter(F.col("rank") <= k)
-
-
-def _nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
-    """The ``k`` nearest of each query within each task."""
+    done: list[DataFrame] = []
+    for b in range(blocks):
+        local, shared = _nearest(vectors, queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k, key, vector)
+        best = local.withColumn("rank", place).filter(F.col("rank") <= k)
+        if blocks > 1:
+            best = best.persist(StorageLevel.DISK_ONLY)
+            best.count()
+            shared.unpersist()  # sent again if a lost part must be computed anew
+        done.append(best)
+    return reduce(DataFrame.unionByName, done)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> tuple[DataFrame, Broadcast]:
+    """The ``k`` nearest of each query within each task, and the broadcast queries."""
     gathered = queries.select("query_id", "query").toPandas()
     ids = gathered["query_id"].tolist()
     matrix = np.array([list(q) for q in gathered["query"]], np.float64).reshape(len(ids), -1)
@@ -84,7 +94,7 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: s
         columns = list(zip(*flat)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", key, "distance"])
 
-    return vectors.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector).mapInArrow(nearest, f"query_id long, {key} long, distance double")
+    return vectors.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector).mapInArrow(nearest, f"query_id long, {key} long, distance double"), shared
 
 
 def upsert(vectors: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:

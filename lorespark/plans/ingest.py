@@ -32,15 +32,14 @@ def process(project: stores.Project, method: Method = Method.SENTENCE, size: int
     pages = loaders.load(changed).persist(StorageLevel.DISK_ONLY)
     bad = pages.filter("error is not null").select("file").distinct()
     cleaned = pages.filter("error is null").withColumn("text", chunking.preclean("text", suffix("file")))
-    chunks = chunking.chunk(cleaned, method, size, overlap, compat_ids)
-    stores.write_chunks(chunks, project.chunks)
-    done = changed.join(bad, "file", "left_anti").select("file", "hash")
-    written = stores.read_chunks(project.spark, project.chunks)
-    new = manifest.entries(done, written.join(done.select("file"), "file", "left_semi"), method.value, now)
-    project.manifest.replace(manifest.upsert(project.manifest.read(), new))
+    chunks = chunking.chunk(cleaned, method, size, overlap, compat_ids).persist(StorageLevel.DISK_ONLY)
+    done = changed.join(bad, "file", "left_anti").select("file", "hash").persist(StorageLevel.DISK_ONLY)
+    stores.replace_chunks(chunks, done.select("file"), project.chunks)
+    project.manifest.replace(manifest.upsert(project.manifest.read(), manifest.entries(done, chunks, method.value, now)))
     outcome = state.select("file", "state").join(bad.withColumn("failed", F.lit(True)), "file", "left")
     report = manifest.counters(outcome).collect()
-    pages.unpersist()
+    for held in (pages, chunks, done):
+        held.unpersist()
     return project.spark.createDataFrame(report, "total long, processed long, skipped long, failed long")
 
 

@@ -43,10 +43,10 @@ def labelled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_chunks(documents(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"))
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ranked(spark: SparkSession, sf_dir: str, max_distance: float | None = None) -> DataFrame:
     stored = table(spark, sf_dir, "embeddings")
     query = stored.filter("vec_id = 0").select("embedding").first()[0]
-    near = vectors.top_k(stored.select("vec_id", "embedding", "label"), query, K, key="vec_id", vector="embedding")
+    near = vectors.top_k(stored.select("vec_id", "embedding", "label"), query, K, key="vec_id", vector="embedding", max_distance=max_distance)
     return near.select("rank", F.col("vec_id").cast("string").alias("chunk_id"), F.create_map(F.lit("source"), F.concat(F.lit("label"), F.col("label"))).alias("metadata"), "distance")
 
 
@@ -103,7 +103,7 @@ def topk_cosine(spark, sf_dir):
 
 
 def topk_max_distance(spark, sf_dir):
-    return ranked(spark, sf_dir).filter(F.col("distance") <= 1.0).select("rank", "chunk_id", F.round("distance", 6).alias("distance"))
+    return ranked(spark, sf_dir, max_distance=1.0).select("rank", "chunk_id", F.round("distance", 6).alias("distance"))
 
 
 def hits_without_id(spark, sf_dir):

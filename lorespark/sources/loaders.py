@@ -141,8 +141,6 @@ LOADERS: dict[str, Callable[[bytes], Pages]] = {
     ".html": load_html, ".htm": load_html, ".md": load_markdown, ".markdown": load_markdown,
 }
 SPREADSHEETS = [".xls", ".xlsx"]
-#: What the upload form accepts, fewer than the loaders.
-UPLOADS = [".pdf", ".txt", ".docx", ".doc", ".xlsx", ".xls", ".md", ".html"]
 
 
 def scan(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

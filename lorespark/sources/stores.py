@@ -10,13 +10,19 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark import schemas
 from lorespark.functions.text import blank, stem
 
 CHUNK_FILES = "*_chunks.json"
+#: Folders of a chunk store, and its columns.
+CHUNK_BUCKETS = 256
+CHUNK_COLUMNS = [c.split(" ", 1)[0] for c in schemas.CHUNK_ROW.split(", ")]
+#: What the upload form accepts, fewer than the loaders.
+UPLOADS = [".pdf", ".md", ".markdown", ".text", ".txt", ".docx", ".xlsx", ".html"]
 
 
 class Files:
@@ -44,9 +50,12 @@ class Files:
         self._fs.delete(self._path(f"{self.path}/{name}"), True)
 
     def write(self, name: str, text: str) -> None:
+        self.write_bytes(name, text.encode())
+
+    def write_bytes(self, name: str, content: bytes) -> None:
         out = self._fs.create(self._path(f"{self.path}/{name}"), True)
         try:
-            out.write(bytearray(text.encode()))
+            out.write(bytearray(content))
         finally:
             out.close()
 
@@ -104,15 +113,67 @@ def manifest_from_json(text: str, spark: SparkSession) -> DataFrame:
     return rows.select("file", "e.hash", "e.n_chunks", F.to_timestamp_ntz("e.last_processed").alias("last_processed"), "e.chunk_method")
 
 
-def write_chunks(chunks: DataFrame, folder: str) -> None:
-    """Chunks partitioned by file; only the files at hand are replaced."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(folder)
+def bucket(file: str = "file") -> Column:
+    return F.pmod(F.xxhash64(file), F.lit(CHUNK_BUCKETS)).cast("int")
 
 
-def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
+def replace_chunks(chunks: DataFrame, files: DataFrame, folder: str) -> None:
+    """The chunks of ``files`` (file) become ``chunks``; a file that has none now loses its old ones.
+
+    The store has ``CHUNK_BUCKETS`` folders, however many files there are; those
+    that hold one of the files are written anew, all others are left alone.
+    """
+    spark, store = chunks.sparkSession, Files(chunks.sparkSession, folder)
+    touched = files.select(bucket().alias("bucket")).distinct()
+    old = _bucketed(spark, folder)
+    kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(files.select("file").distinct(), "file", "left_anti")
+    rows = kept.select(*CHUNK_COLUMNS, "bucket").unionByName(chunks.select(*CHUNK_COLUMNS, bucket().alias("bucket"))).persist(StorageLevel.DISK_ONLY)
+    filled = {r.bucket for r in rows.select("bucket").distinct().collect()}
+    emptied = {r.bucket for r in touched.collect()} - filled
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    for b in emptied:
+        store.delete(f"bucket={b}")
+    rows.unpersist()
+
+
+def _bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    schema = f"{schemas.CHUNK_ROW}, bucket int"
     if not Files(spark, folder).folders():
-        return spark.createDataFrame([], schemas.CHUNK_ROW)
-    return spark.read.schema(schemas.CHUNK_ROW).parquet(folder)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return _bucketed(spark, folder).select(*CHUNK_COLUMNS)
+
+
+def rewrite_without_empty_ids(project: Project) -> int:
+    """Drops chunks without an id from the store for good, as before embedding; gives how many files lost some.
+
+    A file none of whose chunks has an id is left as it is.
+    """
+    chunks = read_chunks(project.spark, project.chunks)
+    empty = F.coalesce(blank("chunk_id"), F.lit(True))
+    files = chunks.groupBy("file").agg(F.count_if(empty).alias("n"), F.count(F.lit(1)).alias("all")).filter("n > 0 and n < all").select("file").persist(StorageLevel.DISK_ONLY)
+    count = files.count()
+    if count:
+        replace_chunks(chunks.join(files, "file", "left_semi").filter(~empty), files, project.chunks)
+    files.unpersist()
+    return count
+
+
+def upload(project: Project, contents: dict[str, bytes]) -> DataFrame:
+    """Puts files into the project's raw folder: (file, outcome), which is ``stored``, ``exists`` (kept as it was) or ``unsupported``."""
+    raw, outcome = Files(project.spark, project.raw), []
+    for name, content in contents.items():
+        if "/" in name or not name.lower().endswith(tuple(UPLOADS)):
+            outcome.append((name, "unsupported"))
+        elif raw.exists(name):
+            outcome.append((name, "exists"))
+        else:
+            raw.write_bytes(name, content)
+            outcome.append((name, "stored"))
+    return project.spark.createDataFrame(outcome, "file string, outcome string")
 
 
 def drop_empty_ids(chunks: DataFrame) -> DataFrame:

@@ -90,6 +90,42 @@ def test_ingest_incrementally(project):
     assert [r.project for r in stores.projects(project.spark, project.path.rsplit("/", 1)[0]).collect()] == ["demo"]
 
 
+def test_a_file_that_becomes_empty_loses_its_chunks(project):
+    ingest.process(project, Method.SENTENCE)
+    put(project, "notes one.txt", " ")
+    assert ingest.process(project, Method.SENTENCE).first().processed == 1
+    chunks = stores.read_chunks(project.spark, project.chunks)
+    assert chunks.filter("file = 'notes one.txt'").isEmpty() and chunks.filter("file = 'word.docx'").count() > 0
+    assert project.manifest.read().filter("file = 'notes one.txt'").first().n_chunks == 0
+
+
+def test_rewrite_and_upload(project):
+    rows = [("a.txt", "a", 0, 0, "a0", "x", {}), ("a.txt", "a", 0, 1, " ", "y", {}), ("a.txt", "a", 0, 2, None, "y", {}), ("b.txt", "b", 0, 0, "", "z", {}), ("c.txt", "c", 0, 0, "c0", "z", {})]
+    from lorespark import schemas
+
+    chunks = project.spark.createDataFrame(rows, schemas.CHUNK_ROW)
+    stores.replace_chunks(chunks, chunks.select("file"), project.chunks)
+    assert stores.rewrite_without_empty_ids(project) == 1 and stores.rewrite_without_empty_ids(project) == 0
+    assert sorted((r.file, r.chunk_id) for r in stores.read_chunks(project.spark, project.chunks).collect()) == [("a.txt", "a0"), ("b.txt", ""), ("c.txt", "c0")]
+    got = stores.upload(project, {"new.md": b"# New", "word.docx": b"other", "tool.exe": b"x", "../up.txt": b"x"}).collect()
+    assert [r.outcome for r in got] == ["stored", "exists", "unsupported", "unsupported"]
+    from pathlib import Path
+
+    assert Path(project.raw, "new.md").read_bytes() == b"# New" and Path(project.raw, "word.docx").read_bytes() != b"other"
+
+
+def test_long_cells_and_exported_cards(spark, tmp_path):
+    from lorespark.operators import cards
+
+    long_ = "x" * 200_000
+    answers = spark.createDataFrame([(1, f'a,"{long_}",c\n\n'), (2, "a\x00b"), (3, None)], "id long, text string")
+    got = {(r.id, r.row): r.cells for r in cards.parse(answers).collect()}
+    assert got[1, 0] == ["a", long_, "c"] and (3, 0) not in got
+    path = cards.export(spark, 'f1,"b, 1",e1\n\nf2,b2\n', str(tmp_path))
+    read = sorted(tuple(r) for r in cards.read_export(spark, path).collect())
+    assert [r[1:] for r in read] == [("f1", "b, 1", "e1"), ("f2", "b2", None)]
+
+
 def test_stream_and_texts(project, tmp_path):
     query = watch(project, str(tmp_path / "checkpoint"), Method.SENTENCE)
     query.awaitTermination(120)
