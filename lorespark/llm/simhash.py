@@ -31,7 +31,8 @@ classes of documents that are known to belong together. A second walk then
 gives every near pair of documents in different classes, those with one
 fingerprint too, unless their sketches (``SKETCH`` parities of the set's values)
 prove them unlike; it leaves out what lies in one class only, so no link is
-lost. Documents with the same set and fingerprints are one in both walks.
+lost. Of these pairs each document's nearest by its sketch is held first, then
+those whose ends are still in different classes. Documents with the same set and fingerprints are one in both walks.
 
 Defined results: null or blank text has fingerprint 0, which links like any
 other; fewer words than ``WIDTH`` form one shingle, the whole sequence; rows
@@ -227,7 +228,7 @@ class _Pairs:
         mixed = mixed - np.concatenate([[0], classes[first[1:]] != classes[first[1:] - 1]]) > 0
         self.label = np.where(mixed, -1 - np.arange(len(first)), np.unique(classes, return_inverse=True)[1][first])
         self.changes = np.concatenate([[0], np.cumsum(self.label[1:] != self.label[:-1])])
-        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         alone = np.flatnonzero(mixed & (choice == 0))
         self._expand(alone, alone)
 
@@ -261,9 +262,10 @@ class _Pairs:
         most = (self.sizes[x] + self.sizes[y]) * self.share + 1e-6
         ok = np.abs(self.sizes[x] - self.sizes[y]) <= most
         x, y, most = x[ok], y[ok], most[ok]
-        ok = np.bitwise_count(self.sketches[x] ^ self.sketches[y]).sum(axis=1, dtype=np.int64) <= most
+        apart = np.bitwise_count(self.sketches[x] ^ self.sketches[y]).sum(axis=1, dtype=np.int64)
+        ok = apart <= most
         if ok.any():
-            self.found.append((x[ok], y[ok]))
+            self.found.append((x[ok], y[ok], apart[ok]))
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,7 +298,8 @@ def _forest_links(budget: int):
 
 def _pair_links(budget: int, similarity: float, masks: list[int]):
     def links(keys: np.ndarray, rows: np.ndarray):
-        """Rows (fp, id, class, size, sketch) come grouped by key; gives the ids of all pairs that may be alike."""
+        """Rows (fp, id, class, size, sketch) come grouped by key; gives the ids of all pairs that may be alike, and how
+        many parities of their sketches differ."""
         group = np.cumsum(np.concatenate([[0], (keys[1:] != keys[:-1]).any(axis=1)]))
         many = np.bincount(group)[group] > 1
         group, choice, rows = group[many], keys[many, 0], rows[many]
@@ -311,9 +314,10 @@ def _pair_links(budget: int, similarity: float, masks: list[int]):
         _walk(pairs, pairs.fp, starts, np.append(starts[1:], len(first)), budget)
         if not pairs.found:
             return None
-        x, y = (np.concatenate(side) for side in zip(*pairs.found))
-        ids = np.stack([rows[x, 1], rows[y, 1]], axis=1)
-        return _links(np.unique(np.sort(ids[ids[:, 0] != ids[:, 1]], axis=1), axis=0))
+        x, y, apart = (np.concatenate(side) for side in zip(*pairs.found))
+        ids = np.concatenate([np.sort(np.stack([rows[x, 1], rows[y, 1]], axis=1), axis=1), apart[:, None]], axis=1)
+        ids = np.unique(ids[ids[:, 0] != ids[:, 1]], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(ids[:, 1]), pa.array(ids[:, 0]), pa.array(ids[:, 2])], ["u", "v", "apart"])
 
     return links
 
@@ -349,12 +353,12 @@ def _choices(budget: int, rows: int) -> list[int]:
     return [sum(choice) for choice in combinations(ranges, m)]
 
 
-def _deal(rows: DataFrame, masks: list[int], links) -> DataFrame:
-    """(u, v) of ``links`` over the rows (fp and others), dealt out once per mask."""
+def _deal(rows: DataFrame, masks: list[int], links, schema: str = "u long, v long") -> DataFrame:
+    """(u, v) and what else ``links`` gives over the rows (fp and others), dealt out once per mask."""
     signed = [mask - (1 << 64) if mask >> 63 else mask for mask in masks]
     keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("value")) for i, mask in enumerate(signed)])
     dealt = rows.select(F.explode(keys).alias("k"), *rows.columns).select("k.choice", "k.value", *rows.columns)
-    return dealt.repartition("choice", "value").sortWithinPartitions("choice", "value").mapInArrow(lean(_by_group(links)), "u long, v long").distinct()
+    return dealt.repartition("choice", "value").sortWithinPartitions("choice", "value").mapInArrow(lean(_by_group(links)), schema).distinct()
 
 
 def trie_self_join(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -363,12 +367,12 @@ def trie_self_join(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def trie_pairs(nodes: DataFrame, budget: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of ids in different classes that are near and may be alike.
+    """The pairs (u, v, apart) of ids in different classes that are near and may be alike.
 
     ``nodes``: fp, id, class, size and the sketch's longs, materialised beforehand.
     """
     masks = _choices(budget, nodes.count())
-    return _deal(nodes, masks, _pair_links(budget, similarity, masks))
+    return _deal(nodes, masks, _pair_links(budget, similarity, masks), "u long, v long, apart long")
 
 
 def simhash_components(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
@@ -451,10 +455,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     for name in PRINTS:
         leaves = materialize(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")))
         forest = materialize(trie_self_join(leaves.select("fp"), budget))
-        one, two = (leaves.select(F.col("fp").alias(k), F.col("first_id").alias(f"of_{k}")) for k in ("u", "v"))
-        across = forest.join(one, "u").join(two, "v").select(F.col("of_u").alias("a"), F.col("of_v").alias("b"))
-        within = nodes.join(leaves, nodes[name] == leaves.fp).filter("id > first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b"))
-        links = across.unionByName(within) if links is None else links.unionByName(across).unionByName(within)
+        if links is None:  # one forest is enough to find most classes; the pairs of all fingerprints follow
+            one, two = (leaves.select(F.col("fp").alias(k), F.col("first_id").alias(f"of_{k}")) for k in ("u", "v"))
+            across = forest.join(one, "u").join(two, "v").select(F.col("of_u").alias("a"), F.col("of_v").alias("b"))
+            links = across.unionByName(nodes.join(leaves, nodes[name] == leaves.fp).filter("id > first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b")))
         near[name] = forest.select(F.explode(F.array("u", "v")).alias("near")).unionByName(leaves.filter("n > 1").select(F.col("fp").alias("near"))).distinct()
     links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
     alike = materialize(_alike(docs, nodes, links, shingle, similarity))
@@ -465,8 +469,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         held = materialize(known.join(near[name], known[name] == F.col("near"), "left_semi").select(F.col(name).alias("fp"), "id", "class", *drawing))
         found = trie_pairs(held, budget, similarity)
         pairs = found if pairs is None else pairs.unionByName(found)
-    untested = materialize(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct().join(links, ["a", "b"], "left_anti"))
-    classes = components(materialize(alike.unionByName(_alike(docs, nodes, untested, shingle, similarity)).distinct()))
+    untested = materialize(pairs.select(F.col("u").alias("a"), F.col("v").alias("b"), "apart").distinct().join(links, ["a", "b"], "left_anti"))
+    # each document's nearest first: what they connect need not be held against each other again
+    best = materialize(untested.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
+    alike = materialize(alike.unionByName(_alike(docs, nodes, best, shingle, similarity)).distinct())
+    known = materialize(components(alike))
+    rest = untested.select("a", "b").join(best, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        of = known.select(F.col("node").alias("of"), F.col("root").alias(f"root_{side}"))
+        rest = rest.join(of, F.col(side) == F.col("of"), "left").drop("of")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    rest = materialize(rest.filter(apart).select("a", "b"))
+    classes = components(materialize(alike.unionByName(_alike(docs, nodes, rest, shingle, similarity)).distinct()))
     grouped = materialize(nodes.join(classes, nodes.id == classes.node, "left").select(*same, "first", F.coalesce("root", "id").alias("root")))
     best = grouped.groupBy("root").agg(F.min("first").alias("best")).select(F.expr("root | 0L").alias("r"), "best")
     named = grouped.join(best, grouped.root == best.r).select(*same, "best")
