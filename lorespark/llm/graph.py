@@ -30,8 +30,11 @@ def _round(edges: DataFrame) -> DataFrame:
     return small.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the links are stars: each u has one v, and no v is a u."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("to")), F.struct(F.col("v").alias("node"), F.lit(None).cast("long").alias("to"))))
+    nodes = edges.select(ends.alias("end")).select("end.*").groupBy("node").agg(F.min("to").alias("lo"), F.max("to").alias("hi"), F.max(F.col("to").isNull()).alias("root"))
+    return nodes.filter("lo < hi or (lo is not null and root)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,9 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges``: columns u and v, long, materialised, without nulls and without
     links of a node to itself; direction and repetition don't matter.
     """
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    state = None
-    while (now := _state(edges)) != state and now[0]:
-        state = now
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    while not _settled(edges):
         edges = materialize(_round(edges))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

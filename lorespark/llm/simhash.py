@@ -274,24 +274,21 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[of], of
 
 
-def _links(pairs: np.ndarray):
-    return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], ["u", "v"]) if len(pairs) else None
-
-
-def _forest_links(budget: int):
+def _forest_links(budget: int, choices: int):
     def links(keys: np.ndarray, rows: np.ndarray):
-        """Rows come grouped by key; gives the forest's links of all groups."""
+        """Rows come grouped by key; gives the forest's links of all groups, and which fingerprints they are of."""
         fp = rows[:, 0].copy().view(np.uint64)
         group = np.cumsum(np.concatenate([[0], (keys[1:] != keys[:-1]).any(axis=1)]))
         many = np.bincount(group)[group] > 1
-        group, fp = group[many], fp[many]
+        group, which, fp = group[many], keys[many, 0] // choices, fp[many]
         order = np.lexsort((fp, group))
-        group, fp = group[order], fp[order]
+        group, which, fp = group[order], which[order], fp[order]
         if not len(fp):
             return None
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         found = np.array(trie_forest(fp, starts, np.append(starts[1:], len(fp)), budget).links, np.int64).reshape(-1, 2)
-        return _links(fp.view(np.int64)[found])
+        pairs = fp.view(np.int64)[found]
+        return pa.RecordBatch.from_arrays([pa.array(which[found[:, 0]]), pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], ["which", "u", "v"]) if len(pairs) else None
 
     return links
 
@@ -302,7 +299,7 @@ def _pair_links(budget: int, similarity: float, masks: list[int]):
         many parities of their sketches differ."""
         group = np.cumsum(np.concatenate([[0], (keys[1:] != keys[:-1]).any(axis=1)]))
         many = np.bincount(group)[group] > 1
-        group, choice, rows = group[many], keys[many, 0], rows[many]
+        group, choice, rows = group[many], keys[many, 0] % len(masks), rows[many]
         order = np.lexsort((rows[:, 2], rows[:, 0].copy().view(np.uint64), group))
         group, choice, rows = group[order], choice[order], rows[order]
         if not len(rows):
@@ -353,25 +350,31 @@ def _choices(budget: int, rows: int) -> list[int]:
     return [sum(choice) for choice in combinations(ranges, m)]
 
 
-def _deal(rows: DataFrame, masks: list[int], links, schema: str = "u long, v long") -> DataFrame:
-    """(u, v) and what else ``links`` gives over the rows (fp and others), dealt out once per mask."""
+def _deal(rows: DataFrame, masks: list[int], links, schema: str) -> DataFrame:
+    """What ``links`` gives over the rows (which, fp and others), dealt out once per mask; fingerprints meet those of their kind."""
     signed = [mask - (1 << 64) if mask >> 63 else mask for mask in masks]
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("value")) for i, mask in enumerate(signed)])
-    dealt = rows.select(F.explode(keys).alias("k"), *rows.columns).select("k.choice", "k.value", *rows.columns)
+    first = F.col("which") * len(masks)
+    keys = F.array(*[F.struct((first + i).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("value")) for i, mask in enumerate(signed)])
+    others = [c for c in rows.columns if c != "which"]
+    dealt = rows.select(F.explode(keys).alias("k"), *others).select("k.choice", "k.value", *others)
     return dealt.repartition("choice", "value").sortWithinPartitions("choice", "value").mapInArrow(lean(_by_group(links)), schema).distinct()
 
 
-def trie_self_join(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """A spanning forest (u, v) of the links between the distinct values of ``fp``, materialised beforehand."""
-    return _deal(distinct, _choices(budget, distinct.count()), _forest_links(budget))
+def trie_self_join(distinct: DataFrame, budget: int = BUDGET, kinds: int = 1) -> DataFrame:
+    """A spanning forest (which, u, v) of the links between the distinct values of ``fp`` of each kind.
+
+    ``distinct``: which (0 to ``kinds`` - 1) and fp, materialised beforehand.
+    """
+    masks = _choices(budget, distinct.count() // kinds)
+    return _deal(distinct, masks, _forest_links(budget, len(masks)), "which long, u long, v long")
 
 
-def trie_pairs(nodes: DataFrame, budget: int, similarity: float) -> DataFrame:
+def trie_pairs(nodes: DataFrame, budget: int, similarity: float, kinds: int = 1) -> DataFrame:
     """The pairs (u, v, apart) of ids in different classes that are near and may be alike.
 
-    ``nodes``: fp, id, class, size and the sketch's longs, materialised beforehand.
+    ``nodes``: which, fp, id, class, size and the sketch's longs, materialised beforehand.
     """
-    masks = _choices(budget, nodes.count())
+    masks = _choices(budget, nodes.count() // kinds)
     return _deal(nodes, masks, _pair_links(budget, similarity, masks), "u long, v long, apart long")
 
 
@@ -379,7 +382,7 @@ def simhash_components(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET
     """doc_id, fingerprint (16 hex digits) and component_id of every row; see the module's text."""
     prints = materialize(fingerprints(docs, width))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(materialize(trie_self_join(distinct.select("fp"), budget)))
+    roots = components(materialize(trie_self_join(distinct.select(F.lit(0).alias("which"), "fp"), budget)))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).select(F.expr("root | 0L").alias("r"), "component_id")
     named = materialize(rooted.join(smallest, rooted.root == smallest.r).select("fp", "component_id"))
@@ -451,36 +454,34 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     first = F.min(F.struct(F.col(ROW[0]).isNull().alias("none"), *ROW)).alias("first")
     nodes = prints.groupBy(*same).agg(first, *[F.first(c).alias(c) for c in drawing])
     nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()))
-    links, near = None, {}
-    for name in PRINTS:
-        leaves = materialize(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")))
-        forest = materialize(trie_self_join(leaves.select("fp"), budget))
-        if links is None:  # one forest is enough to find most classes; the pairs of all fingerprints follow
-            one, two = (leaves.select(F.col("fp").alias(k), F.col("first_id").alias(f"of_{k}")) for k in ("u", "v"))
-            across = forest.join(one, "u").join(two, "v").select(F.col("of_u").alias("a"), F.col("of_v").alias("b"))
-            links = across.unionByName(nodes.join(leaves, nodes[name] == leaves.fp).filter("id > first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b")))
-        near[name] = forest.select(F.explode(F.array("u", "v")).alias("near")).unionByName(leaves.filter("n > 1").select(F.col("fp").alias("near"))).distinct()
+    each = F.posexplode(F.array(*PRINTS)).alias("which", "fp")
+    leaves = materialize(nodes.select("id", each).groupBy("which", "fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")))
+    forest = materialize(trie_self_join(leaves.select("which", "fp"), budget, len(PRINTS)))
+    # one kind's forest is enough to find most classes; the pairs of all kinds follow
+    firsts = leaves.filter("which = 0")
+    one, two = (firsts.select(F.col("fp").alias(k), F.col("first_id").alias(f"of_{k}")) for k in ("u", "v"))
+    across = forest.filter("which = 0").join(one, "u").join(two, "v").select(F.col("of_u").alias("a"), F.col("of_v").alias("b"))
+    links = across.unionByName(nodes.join(firsts, nodes[PRINTS[0]] == firsts.fp).filter("id > first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b")))
     links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
     alike = materialize(_alike(docs, nodes, links, shingle, similarity))
     classes = components(alike)
-    known = materialize(nodes.join(classes, nodes.id == classes.node, "left").withColumn("class", F.coalesce("root", "id")))
-    pairs = None
-    for name in PRINTS:
-        held = materialize(known.join(near[name], known[name] == F.col("near"), "left_semi").select(F.col(name).alias("fp"), "id", "class", *drawing))
-        found = trie_pairs(held, budget, similarity)
-        pairs = found if pairs is None else pairs.unionByName(found)
-    untested = materialize(pairs.select(F.col("u").alias("a"), F.col("v").alias("b"), "apart").distinct().join(links, ["a", "b"], "left_anti"))
+    known = nodes.join(classes, nodes.id == classes.node, "left").select("id", F.coalesce("root", "id").alias("class"), *drawing, each)
+    near = forest.select(F.col("which").alias("kind"), F.explode(F.array("u", "v")).alias("near")).unionByName(leaves.filter("n > 1").select(F.col("which").alias("kind"), F.col("fp").alias("near"))).distinct()
+    held = materialize(known.join(near, (known.which == near.kind) & (known.fp == near.near), "left_semi").select("which", "fp", "id", "class", *drawing))
+    pairs = trie_pairs(held, budget, similarity, len(PRINTS)).select(F.col("u").alias("a"), F.col("v").alias("b"), "apart")
+    untested = materialize(pairs.join(links, ["a", "b"], "left_anti"))
     # each document's nearest first: what they connect need not be held against each other again
     best = materialize(untested.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
-    alike = materialize(alike.unionByName(_alike(docs, nodes, best, shingle, similarity)).distinct())
-    known = materialize(components(alike))
+    stars = classes.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    classes = components(materialize(stars.unionByName(_alike(docs, nodes, best, shingle, similarity))))
     rest = untested.select("a", "b").join(best, ["a", "b"], "left_anti")
     for side in ("a", "b"):
-        of = known.select(F.col("node").alias("of"), F.col("root").alias(f"root_{side}"))
+        of = classes.select(F.col("node").alias("of"), F.col("root").alias(f"root_{side}"))
         rest = rest.join(of, F.col(side) == F.col("of"), "left").drop("of")
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     rest = materialize(rest.filter(apart).select("a", "b"))
-    classes = components(materialize(alike.unionByName(_alike(docs, nodes, rest, shingle, similarity)).distinct()))
+    stars = classes.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    classes = components(materialize(stars.unionByName(_alike(docs, nodes, rest, shingle, similarity))))
     grouped = materialize(nodes.join(classes, nodes.id == classes.node, "left").select(*same, "first", F.coalesce("root", "id").alias("root")))
     best = grouped.groupBy("root").agg(F.min("first").alias("best")).select(F.expr("root | 0L").alias("r"), "best")
     named = grouped.join(best, grouped.root == best.r).select(*same, "best")
