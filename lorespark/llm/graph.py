@@ -5,7 +5,8 @@ ones, on the smallest node it knows of; a logarithmic number of rounds leaves
 one star per component. Links stay in DataFrames throughout; a round's result
 is written to the shared checkpoint folder. Minima are pre-aggregated before
 they are shuffled, and joined back over fresh exchanges, whose large partitions
-adaptive execution may split.
+adaptive execution may split; the joins merge, so that the driver builds no
+tables to broadcast, round after round.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from lorespark.llm.common import materialize
 
 def _least(edges: DataFrame) -> DataFrame:
     """The smallest v of each u; the key is renamed by an expression, so that a join deals it anew."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.expr("u | 0L").alias("k"), "m")
+    return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.expr("u | 0L").alias("k"), "m").hint("merge")
 
 
 def _round(edges: DataFrame) -> DataFrame:

@@ -32,7 +32,8 @@ gives every near pair of documents in different classes, those with one
 fingerprint too, unless their sketches (``SKETCH`` parities of the set's values)
 prove them unlike; it leaves out what lies in one class only, so no link is
 lost. Of these pairs each document's nearest by its sketch is held first, then
-those whose ends are still in different classes. Documents with the same set and fingerprints are one in both walks.
+those whose ends are still in different classes. Joins merge, so the driver
+builds no tables to broadcast. Documents with the same set and fingerprints are one in both walks.
 
 Defined results: null or blank text has fingerprint 0, which links like any
 other; fewer words than ``WIDTH`` form one shingle, the whole sequence; rows
@@ -432,11 +433,11 @@ def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 def _alike(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(u, v) of the links (a, b) of nodes whose shingle sets reach the similarity: |both| / |either|, 1 for two empty sets."""
     ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = materialize(nodes.join(ids, "id", "left_semi").select("id", "first.*"))
+    held = materialize(nodes.join(ids.hint("merge"), "id", "left_semi").select("id", "first.*"))
     texts = join_rows(docs, held, "left_semi").select(*row_key(), F.col("text").cast("string").cast("binary").alias("text")).dropDuplicates(ROW)
     of = held.select("id", *[F.col(c).alias(f"{c}_of") for c in ROW])
-    sets = materialize(shingle_sets(texts.join(of, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in ROW]).select("id", "text"), shingle))
-    left, right = (sets.select(F.col("id").alias(f"{k}_id"), F.col("shingles").alias(f"in_{k}")) for k in ("a", "b"))
+    sets = materialize(shingle_sets(texts.join(of.hint("merge"), [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in ROW]).select("id", "text"), shingle))
+    left, right = (sets.select(F.col("id").alias(f"{k}_id"), F.col("shingles").alias(f"in_{k}")).hint("merge") for k in ("a", "b"))
     paired = links.join(left, links.a == F.col("a_id")).join(right, links.b == F.col("b_id"))
     both = F.size(F.array_intersect("in_a", "in_b"))
     either = F.size("in_a") + F.size("in_b") - both
@@ -459,33 +460,33 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     forest = materialize(trie_self_join(leaves.select("which", "fp"), budget, len(PRINTS)))
     # one kind's forest is enough to find most classes; the pairs of all kinds follow
     firsts = leaves.filter("which = 0")
-    one, two = (firsts.select(F.col("fp").alias(k), F.col("first_id").alias(f"of_{k}")) for k in ("u", "v"))
+    one, two = (firsts.select(F.col("fp").alias(k), F.col("first_id").alias(f"of_{k}")).hint("merge") for k in ("u", "v"))
     across = forest.filter("which = 0").join(one, "u").join(two, "v").select(F.col("of_u").alias("a"), F.col("of_v").alias("b"))
-    links = across.unionByName(nodes.join(firsts, nodes[PRINTS[0]] == firsts.fp).filter("id > first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b")))
+    links = across.unionByName(nodes.join(firsts.hint("merge"), nodes[PRINTS[0]] == firsts.fp).filter("id > first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b")))
     links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
     alike = materialize(_alike(docs, nodes, links, shingle, similarity))
     classes = components(alike)
-    known = nodes.join(classes, nodes.id == classes.node, "left").select("id", F.coalesce("root", "id").alias("class"), *drawing, each)
+    known = nodes.join(classes.hint("merge"), nodes.id == classes.node, "left").select("id", F.coalesce("root", "id").alias("class"), *drawing, each)
     near = forest.select(F.col("which").alias("kind"), F.explode(F.array("u", "v")).alias("near")).unionByName(leaves.filter("n > 1").select(F.col("which").alias("kind"), F.col("fp").alias("near"))).distinct()
-    held = materialize(known.join(near, (known.which == near.kind) & (known.fp == near.near), "left_semi").select("which", "fp", "id", "class", *drawing))
+    held = materialize(known.join(near.hint("merge"), (known.which == near.kind) & (known.fp == near.near), "left_semi").select("which", "fp", "id", "class", *drawing))
     pairs = trie_pairs(held, budget, similarity, len(PRINTS)).select(F.col("u").alias("a"), F.col("v").alias("b"), "apart")
-    untested = materialize(pairs.join(links, ["a", "b"], "left_anti"))
+    untested = materialize(pairs.join(links.hint("merge"), ["a", "b"], "left_anti"))
     # each document's nearest first: what they connect need not be held against each other again
     best = materialize(untested.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
     stars = classes.select(F.col("node").alias("u"), F.col("root").alias("v"))
     classes = components(materialize(stars.unionByName(_alike(docs, nodes, best, shingle, similarity))))
-    rest = untested.select("a", "b").join(best, ["a", "b"], "left_anti")
+    rest = untested.select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti")
     for side in ("a", "b"):
-        of = classes.select(F.col("node").alias("of"), F.col("root").alias(f"root_{side}"))
+        of = classes.select(F.col("node").alias("of"), F.col("root").alias(f"root_{side}")).hint("merge")
         rest = rest.join(of, F.col(side) == F.col("of"), "left").drop("of")
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     rest = materialize(rest.filter(apart).select("a", "b"))
     stars = classes.select(F.col("node").alias("u"), F.col("root").alias("v"))
     classes = components(materialize(stars.unionByName(_alike(docs, nodes, rest, shingle, similarity))))
-    grouped = materialize(nodes.join(classes, nodes.id == classes.node, "left").select(*same, "first", F.coalesce("root", "id").alias("root")))
+    grouped = materialize(nodes.join(classes.hint("merge"), nodes.id == classes.node, "left").select(*same, "first", F.coalesce("root", "id").alias("root")))
     best = grouped.groupBy("root").agg(F.min("first").alias("best")).select(F.expr("root | 0L").alias("r"), "best")
-    named = grouped.join(best, grouped.root == best.r).select(*same, "best")
-    judged = prints.select(*ROW, *same).join(named, same)
+    named = grouped.join(best.hint("merge"), grouped.root == best.r).select(*same, "best")
+    judged = prints.select(*ROW, *same).join(named.hint("merge"), same)
     stays = F.lit(True)
     for c in ROW:
         stays = stays & F.col(c).eqNullSafe(F.col(f"best.{c}"))
