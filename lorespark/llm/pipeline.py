@@ -12,36 +12,41 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm.common import shared_dir, table
+from lorespark.llm.common import shared_dir, table, tidy
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from lorespark.llm.quality_kn import keep_good
 
+    tidy(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from lorespark.llm.exact_dedup import keep_first
 
+    tidy(spark)
     return keep_first(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from lorespark.llm.simhash import keep_one
 
+    tidy(spark)
     return keep_one(docs)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from lorespark.llm.substring import remove_repeats
 
+    tidy(spark)
     return remove_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from lorespark.llm.packing import pack
 
+    tidy(spark)
     return pack(docs)
 
 

@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import ROW, drop_rows, join_rows, lean, materialize, row_key
+from lorespark.llm.common import ROW, drop_rows, join_rows, lean, materialize, row_key, tidy
 from lorespark.llm.graph import components
 
 WIDTH, SEED, BUDGET, BITS = 3, 42, 2, 64
@@ -466,6 +466,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
     alike = materialize(_alike(docs, nodes, links, shingle, similarity))
     classes = components(alike)
+    tidy(docs.sparkSession)
     known = nodes.join(classes.hint("merge"), nodes.id == classes.node, "left").select("id", F.coalesce("root", "id").alias("class"), *drawing, each)
     near = forest.select(F.col("which").alias("kind"), F.explode(F.array("u", "v")).alias("near")).unionByName(leaves.filter("n > 1").select(F.col("which").alias("kind"), F.col("fp").alias("near"))).distinct()
     held = materialize(known.join(near.hint("merge"), (known.which == near.kind) & (known.fp == near.near), "left_semi").select("which", "fp", "id", "class", *drawing))
@@ -473,6 +474,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     untested = materialize(pairs.join(links.hint("merge"), ["a", "b"], "left_anti"))
     # each document's nearest first: what they connect need not be held against each other again
     best = materialize(untested.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
+    tidy(docs.sparkSession)
     stars = classes.select(F.col("node").alias("u"), F.col("root").alias("v"))
     classes = components(materialize(stars.unionByName(_alike(docs, nodes, best, shingle, similarity))))
     rest = untested.select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti")
@@ -481,6 +483,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         rest = rest.join(of, F.col(side) == F.col("of"), "left").drop("of")
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     rest = materialize(rest.filter(apart).select("a", "b"))
+    tidy(docs.sparkSession)
     stars = classes.select(F.col("node").alias("u"), F.col("root").alias("v"))
     classes = components(materialize(stars.unionByName(_alike(docs, nodes, rest, shingle, similarity))))
     grouped = materialize(nodes.join(classes.hint("merge"), nodes.id == classes.node, "left").select(*same, "first", F.coalesce("root", "id").alias("root")))
