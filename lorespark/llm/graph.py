@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import materialize
+from lorespark.llm.common import materialize, tidy
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -47,4 +47,5 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     while not _settled(edges):
         edges = materialize(_round(edges))
+        tidy(edges.sparkSession)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

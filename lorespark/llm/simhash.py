@@ -27,13 +27,13 @@ of the alike pairs of the test corpus (sf0.1, mean over hash functions) are
 candidates; 0.77 were with 6 bits on two of three-word shingles. Links are candidates
 whose five-word sets, held against each other exactly, reach the similarity;
 groups are their components. A forest of the near pairs is held first and gives
-classes of documents that are known to belong together. A second walk then
-gives every near pair of documents in different classes, those with one
-fingerprint too, unless their sketches (``SKETCH`` parities of the set's values)
-prove them unlike; it leaves out what lies in one class only, so no link is
-lost. Of these pairs each document's nearest by its sketch is held first, then
-those whose ends are still in different classes. Joins merge, so the driver
-builds no tables to broadcast. Documents with the same set and fingerprints are one in both walks.
+classes of documents that are known to belong together. A second walk
+gives each document's nearest by its sketch (``SKETCH`` parities of the set's
+values) in another class, and joins classes by them. A third gives every near
+pair of documents that are still in different classes, those with one
+fingerprint too, unless their sketches prove them unlike; it leaves out what
+lies in one class only, so no link is lost. Joins merge, so the driver
+builds no tables to broadcast. Documents with the same set and fingerprints are one in all walks.
 
 Defined results: null or blank text has fingerprint 0, which links like any
 other; fewer words than ``WIDTH`` form one shingle, the whole sequence; rows
@@ -294,10 +294,19 @@ def _forest_links(budget: int, choices: int):
     return links
 
 
-def _pair_links(budget: int, similarity: float, masks: list[int]):
+def _nearest(ids: np.ndarray) -> np.ndarray:
+    """Of the rows (a, b, apart), those that are the first of their a or of their b by apart."""
+    ids = ids[np.argsort(ids[:, 2], kind="stable")]
+    first = np.zeros(len(ids), bool)
+    for end in (0, 1):
+        first[np.unique(ids[:, end], return_index=True)[1]] = True
+    return ids[first]
+
+
+def _pair_links(budget: int, similarity: float, masks: list[int], nearest: bool):
     def links(keys: np.ndarray, rows: np.ndarray):
-        """Rows (fp, id, class, size, sketch) come grouped by key; gives the ids of all pairs that may be alike, and how
-        many parities of their sketches differ."""
+        """Rows (fp, id, class, size, sketch) come grouped by key; gives the ids of all pairs that may be alike, or of each
+        document's nearest only, and how many parities of their sketches differ."""
         group = np.cumsum(np.concatenate([[0], (keys[1:] != keys[:-1]).any(axis=1)]))
         many = np.bincount(group)[group] > 1
         group, choice, rows = group[many], keys[many, 0] % len(masks), rows[many]
@@ -315,6 +324,7 @@ def _pair_links(budget: int, similarity: float, masks: list[int]):
         x, y, apart = (np.concatenate(side) for side in zip(*pairs.found))
         ids = np.concatenate([np.sort(np.stack([rows[x, 1], rows[y, 1]], axis=1), axis=1), apart[:, None]], axis=1)
         ids = np.unique(ids[ids[:, 0] != ids[:, 1]], axis=0)
+        ids = _nearest(ids) if nearest else ids
         return pa.RecordBatch.from_arrays([pa.array(ids[:, 1]), pa.array(ids[:, 0]), pa.array(ids[:, 2])], ["u", "v", "apart"])
 
     return links
@@ -370,13 +380,14 @@ def trie_self_join(distinct: DataFrame, budget: int = BUDGET, kinds: int = 1) ->
     return _deal(distinct, masks, _forest_links(budget, len(masks)), "which long, u long, v long")
 
 
-def trie_pairs(nodes: DataFrame, budget: int, similarity: float, kinds: int = 1) -> DataFrame:
-    """The pairs (u, v, apart) of ids in different classes that are near and may be alike.
+def trie_pairs(nodes: DataFrame, budget: int, similarity: float, kinds: int = 1, nearest: bool = False) -> DataFrame:
+    """The pairs (u, v, apart) of ids in different classes that are near and may be alike; each group's nearest of each
+    id only, if ``nearest``.
 
     ``nodes``: which, fp, id, class, size and the sketch's longs, materialised beforehand.
     """
     masks = _choices(budget, nodes.count() // kinds)
-    return _deal(nodes, masks, _pair_links(budget, similarity, masks), "u long, v long, apart long")
+    return _deal(nodes, masks, _pair_links(budget, similarity, masks, nearest), "u long, v long, apart long")
 
 
 def simhash_components(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
@@ -467,25 +478,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     alike = materialize(_alike(docs, nodes, links, shingle, similarity))
     classes = components(alike)
     tidy(docs.sparkSession)
-    known = nodes.join(classes.hint("merge"), nodes.id == classes.node, "left").select("id", F.coalesce("root", "id").alias("class"), *drawing, each)
     near = forest.select(F.col("which").alias("kind"), F.explode(F.array("u", "v")).alias("near")).unionByName(leaves.filter("n > 1").select(F.col("which").alias("kind"), F.col("fp").alias("near"))).distinct()
-    held = materialize(known.join(near.hint("merge"), (known.which == near.kind) & (known.fp == near.near), "left_semi").select("which", "fp", "id", "class", *drawing))
-    pairs = trie_pairs(held, budget, similarity, len(PRINTS)).select(F.col("u").alias("a"), F.col("v").alias("b"), "apart")
-    untested = materialize(pairs.join(links.hint("merge"), ["a", "b"], "left_anti"))
-    # each document's nearest first: what they connect need not be held against each other again
-    best = materialize(untested.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
-    tidy(docs.sparkSession)
-    stars = classes.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    classes = components(materialize(stars.unionByName(_alike(docs, nodes, best, shingle, similarity))))
-    rest = untested.select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        of = classes.select(F.col("node").alias("of"), F.col("root").alias(f"root_{side}")).hint("merge")
-        rest = rest.join(of, F.col(side) == F.col("of"), "left").drop("of")
-    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    rest = materialize(rest.filter(apart).select("a", "b"))
+    near = nodes.select("id", *drawing, each).join(near.hint("merge"), (F.col("which") == F.col("kind")) & (F.col("fp") == F.col("near")), "left_semi")
+    near = materialize(near.select("which", "fp", "id", *drawing))
+
+    def untested(nearest: bool) -> DataFrame:
+        known = classes.select("node", F.col("root").alias("of")).hint("merge")
+        held = materialize(near.join(known, near.id == known.node, "left").select("which", "fp", "id", F.coalesce("of", "id").alias("class"), *drawing))
+        pairs = trie_pairs(held, budget, similarity, len(PRINTS), nearest).select(F.col("u").alias("a"), F.col("v").alias("b"), "apart")
+        return pairs.join(links.hint("merge"), ["a", "b"], "left_anti")
+
+    def joined(tested: DataFrame) -> DataFrame:
+        stars = classes.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        return components(materialize(stars.unionByName(_alike(docs, nodes, tested, shingle, similarity))))
+
+    # each document's nearest first: the pairs inside what they connect are never made
+    best = untested(nearest=True).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best"))
+    best = materialize(best.select("a", F.col("best.b").alias("b")))
+    classes = joined(best)
     tidy(docs.sparkSession)
-    stars = classes.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    classes = components(materialize(stars.unionByName(_alike(docs, nodes, rest, shingle, similarity))))
+    classes = joined(materialize(untested(nearest=False).select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti")))
     grouped = materialize(nodes.join(classes.hint("merge"), nodes.id == classes.node, "left").select(*same, "first", F.coalesce("root", "id").alias("root")))
     best = grouped.groupBy("root").agg(F.min("first").alias("best")).select(F.expr("root | 0L").alias("r"), "best")
     named = grouped.join(best.hint("merge"), grouped.root == best.r).select(*same, "best")
