@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import exact_dedup
+from lorespark.llm import exact_dedup, resample, topk
 from lorespark.llm.common import table
 
 
@@ -66,6 +66,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op3_html": op3_html, "op4_fingerprint": op4_fingerprint, "op5_substring": op5_substring, "op6_sentencepiece": op6_sentencepiece, "op7_langid": op7_langid, "op8_token_counts": op8_token_counts, "op9_quality": op9_quality, "op10_packing": op10_packing}
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorespark.llm.align import align
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE_SQL}
+    return align(table(spark, sf_dir, "documents"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op3_html": op3_html, "op4_fingerprint": op4_fingerprint, "op5_substring": op5_substring, "op6_sentencepiece": op6_sentencepiece, "op7_langid": op7_langid, "op8_token_counts": op8_token_counts, "op9_quality": op9_quality, "op10_packing": op10_packing, "op11_align": op11_align, "op12_resample": op12_resample, "op13_topk": op13_topk}
+
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op12_resample": resample.ORACLE_SQL, "op13_topk": topk.ORACLE_SQL}

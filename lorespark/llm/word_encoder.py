@@ -35,7 +35,7 @@ WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_letters}]+|[{_digits}]|[^\\s{_le
 END_MARK, END = b"\xff", "</w>"
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letters by which byte-level vocabularies write bytes: printable Latin-1 as is, the others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in plain]
@@ -48,7 +48,7 @@ def _merge_core(path: str):
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
-    letters, vocab = _byte_letters(), model["vocab"]
+    letters, vocab = byte_letters(), model["vocab"]
     if model.get("end_of_word_suffix") != END or not all(x in vocab for x in letters):
         return None
 
