@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.text import suffix
 from lorespark.schemas import PAGE
+from lorespark.sources.pdf import load_pdf
 
 Pages = list[str]
 
@@ -118,20 +119,6 @@ def load_xlsx(content: bytes) -> Pages:
     return ["\n".join(rows)]
 
 
-def load_pdf(content: bytes) -> Pages:
-    """Pages of a PDF; needs one of the PDF libraries named here on the executors."""
-    try:
-        import pymupdf
-    except ImportError:
-        try:
-            from pypdf import PdfReader
-        except ImportError as missing:
-            raise RuntimeError("no PDF library is installed (pymupdf or pypdf)") from missing
-        return [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages]
-    with pymupdf.open(stream=content, filetype="pdf") as document:
-        return [page.get_text() for page in document]
-
-
 def unsupported(content: bytes) -> Pages:
     raise RuntimeError("binary Office files from before 2007 cannot be read; convert them")
 
