@@ -105,16 +105,3 @@ def upsert(vectors: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFra
 def prune(vectors: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Vectors whose chunk still exists."""
     return vectors.join(chunks.select(key).distinct(), key, "left_semi")
-
-
-def approximate_top_k(vectors: DataFrame, query: Sequence[float], k: int, bucket: float = 0.5, tables: int = 4, key: str = "chunk_id", vector: str = "vector") -> DataFrame:
-    """The ``k`` nearest rows among those that share a random-projection bucket with the query."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    dense = vectors.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>"))).drop(vector)
-    model = BucketedRandomProjectionLSH(inputCol="__v", outputCol="__h", bucketLength=bucket, numHashTables=tables, seed=42).fit(dense)
-    near = model.approxNearestNeighbors(dense, Vectors.dense(list(map(float, query))), k, distCol="__d")
-    ranked = near.withColumn("distance", F.col("__d") * F.col("__d")).drop("__v", "__h", "__d")
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))

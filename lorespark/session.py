@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -27,6 +28,14 @@ def get_session(app: str = "lorespark", **conf: str) -> SparkSession:
     return ship(builder.getOrCreate())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below the one for checkpoints. Only a local master may do without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='lorespark-')).rstrip('/')}/lorespark-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give Python workers this package where their path does not already hold it."""
     paths = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
