@@ -180,7 +180,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, key: str = "vec_id
     rows, columns = (F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")) for size in (down, across))
     # a candidate block has its row of the grid and goes to every column of it, a query block the other way round
     cells = F.when(F.col("kind") == CANDIDATE, F.transform(columns, lambda c: row * across + c)).otherwise(F.transform(rows, lambda r: r * across + column))
-    dealt = packed.select(F.explode(cells).alias("cell"), "kind", "vec_ids", "rows", "ends", "vals").repartition(down * across, "cell").sortWithinPartitions("cell", "kind")
+    dealt = packed.select(F.explode(cells).alias("cell"), "kind", "vec_ids", "rows", "ends", "vals").repartitionById(down * across, F.col("cell").cast("int")).sortWithinPartitions("cell", "kind")
     found = dealt.mapInArrow(_searched(k), _FOUND)
     place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
