@@ -71,18 +71,35 @@ def join_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> Da
 ROW = ["__row_id", "__row_a", "__row_b"]
 
 
-def row_key(text: str = "text") -> list[Column]:
-    """The columns ``ROW`` of a row; rows that share them have one id and one text (null is not empty)."""
-    t = F.col(text).cast("string")
-    return [F.col("doc_id").cast("long").alias(ROW[0]), F.xxhash64(t).alias(ROW[1]), F.xxhash64(F.lit(1), t).alias(ROW[2])]
+def row_key(text: str = "text", of: DataFrame | None = None, names: list[str] = ROW) -> list[Column]:
+    """The columns ``ROW`` of a row; rows that share them have one id and one text (null is not empty). ``of``: the frame that they are taken from."""
+    column = F.col if of is None else of.__getitem__
+    t = column(text).cast("string")
+    return [x.alias(n) for x, n in zip((column("doc_id").cast("long"), F.xxhash64(t), F.xxhash64(F.lit(1), t)), names)]
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever they are called and whatever it is joined to."""
+    return [df[f"`{c.replace('`', '``')}`"] for c in df.columns]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Like ``names``, none of them a column of ``df``."""
+    taken, mark = {c.lower() for c in df.columns}, ""
+    while any(f"{n}{mark}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{n}{mark}" for n in names]
+
+
+def same_row(docs: DataFrame, keys: DataFrame) -> list[Column]:
+    """The condition under which a row of ``docs`` has the key of a row of ``keys`` (columns ``ROW``, each with ``_of``)."""
+    return [x.eqNullSafe(keys[f"{c}_of"]) for x, c in zip(row_key(of=docs), ROW)]
 
 
 def join_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """Semi or anti join of ``docs`` with a materialised set of row keys; see ``join_ids``."""
     keys = _small(rows.select(*[F.col(c).alias(f"{c}_of") for c in ROW]).distinct())
-    keyed = docs.select("*", *row_key())
-    on = [keyed[c].eqNullSafe(keys[f"{c}_of"]) for c in ROW]
-    return keyed.join(keys, on, how).select(*[docs.columns[i] for i in range(len(docs.columns))])
+    return docs.join(keys, same_row(docs, keys), how)
 
 
 def drop_rows(docs: DataFrame, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -90,8 +107,9 @@ def drop_rows(docs: DataFrame, dropped: DataFrame, repeated: DataFrame) -> DataF
     left = join_rows(docs, dropped, "left_anti")
     if repeated.isEmpty():
         return left
-    keyed = join_rows(left, repeated, "left_semi").select("*", *row_key())
-    return join_rows(left, repeated, "left_anti").unionByName(keyed.dropDuplicates(ROW).drop(*ROW))
+    names = unused(docs, *ROW)
+    keyed = join_rows(left, repeated, "left_semi").select("*", *row_key(names=names))
+    return join_rows(left, repeated, "left_anti").unionByName(keyed.dropDuplicates(names).drop(*names))
 
 
 def _give_back() -> None:

@@ -87,10 +87,11 @@ def _suspects(hashes: np.ndarray, bits: int, bitmaps: dict[int, bytes]) -> np.nd
 
 
 def _marker(bits: int):
-    def mark(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = rows[[*ROW, "h", "sha"]].copy()
-        out["suspect"] = _suspects(rows.h.to_numpy(), bits, dict(zip(answers.owner, answers.bitmap)))
-        return out
+    def mark(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        # Arrow throughout: pandas would round large ids beside a null one
+        bitmaps = dict(zip(answers.column("owner").to_pylist(), answers.column("bitmap").to_pylist()))
+        found = _suspects(rows.column("h").to_numpy(), bits, bitmaps)
+        return rows.select([*ROW, "h", "sha"]).append_column("suspect", pa.array(found))
 
     return mark
 
@@ -109,7 +110,7 @@ def mark_suspects(docs: DataFrame) -> DataFrame:
     bits = max(1, shuffle_partitions(docs.sparkSession) - 1, prints.count() // OWNED).bit_length()
     sent = prints.select("part", "h").mapInArrow(lean(_sender(bits)), "owner int, part int, coded binary")
     answers = sent.groupBy("owner").applyInPandas(_answer, "part int, owner int, bitmap binary")
-    marked = prints.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_marker(bits), f"{_ROW}, h long, sha binary, suspect boolean")
+    marked = prints.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_marker(bits), f"{_ROW}, h long, sha binary, suspect boolean")
     return materialize(marked)
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.llm import golomb
-from lorespark.llm.common import ROW, lean, lean_groups, materialize, row_key, shuffle_partitions
+from lorespark.llm.common import ROW, lean, lean_groups, materialize, own_columns, row_key, same_row, shuffle_partitions, unused
 from lorespark.llm.exact_dedup import _answer, _by_owner, _suspects
 
 MIN_WORDS = 24
@@ -236,8 +236,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if (by_row.agg(F.sum(F.size("__row_spans"))).first()[0] or 0) <= BROADCAST_SPANS:
         by_row = F.broadcast(by_row)
     names = docs.columns
-    keyed = docs.select("*", *row_key())
-    joined = keyed.join(by_row, [keyed[c].eqNullSafe(by_row[f"{c}_of"]) for c in ROW], "left").drop(*ROW, *[f"{c}_of" for c in ROW])
+    joined = docs.join(by_row, same_row(docs, by_row), "left").select(*own_columns(docs), by_row["__row_spans"].alias(*unused(docs, "spans")))
     at = names.index("text")
 
     def cut(batches):

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import pytest
 
+from lorespark.llm.common import ROW
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -31,5 +33,6 @@ def clashing(odd):
     """Extra columns whose names the operators use inside."""
     from pyspark.sql import functions as F
 
-    names = ["h", "sha", "part", "norm", "fp", "root", "node", "u", "v", "start", "stop", "hi", "lo", "words", "keep_id", "key", "bits", "of", "code", "n", "__x"]
+    names = ["h", "sha", "part", "norm", "fp", "root", "node", "u", "v", "start", "stop", "hi", "lo", "words", "keep_id", "key", "bits", "of", "code", "n", "__x", "__key", "spans", "__row_spans"]
+    names += [f"{c}{end}" for c in ROW for end in ("", "_of")]
     return odd.select("*", *[F.lit("x").alias(n) for n in names])

@@ -58,6 +58,16 @@ def test_exact_dedup(odd, clashing):
     assert rows(exact_dedup(clashing.repartition(3)), *columns) == plain_exact(ODD)
 
 
+def test_exact_dedup_large_ids(make):
+    """Ids beyond 2^53 beside null ones, in one partition."""
+    from lorespark.llm.exact_dedup import exact_dedup, keep_first
+
+    data = [(None, "a b"), (2**53 + 1, "c d"), (2**53 + 3, "c  d"), (None, "unique"), (-(2**62) - 1, "e"), (2**62 + 1, "e")]
+    docs = make(data).coalesce(1)
+    assert rows(exact_dedup(docs), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == plain_exact(data)
+    assert sorted((r.doc_id or 0) for r in keep_first(docs).collect()) == [-(2**62) - 1, 0, 0, 2**53 + 1]
+
+
 def test_exact_dedup_empty(make):
     from lorespark.llm.exact_dedup import exact_dedup, keep_first
 

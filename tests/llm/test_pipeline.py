@@ -37,3 +37,24 @@ def test_stages_on_planted_cases(spark, tmp_path):
     texts = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "substring dedup")).collect()}
     assert len(texts[111].split()) < 70 and texts[110] == dict(rows)[110] and all(texts[i] == t for i, t in enumerate(clean))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == left["packing"]
+
+
+def test_stages_on_odd_tables(spark, tmp_path, clashing):
+    """Names that clash, null, repeated and large ids, and tables without rows."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    big = clashing.withColumn("doc_id", F.when(F.col("doc_id") == 9, 2**53 + 1).otherwise(F.col("doc_id"))).coalesce(1)
+    for name, docs in (("full", big), ("none", big.limit(0))):
+        now, before = docs, None
+        for stage, f in corpus_pipeline.STAGES:
+            f(spark, now, str(tmp_path)).write.parquet(str(tmp_path / name / stage))
+            before, now = now, spark.read.parquet(str(tmp_path / name / stage))
+            assert stage == "packing" or now.columns == docs.columns
+        if name == "none":
+            assert now.count() == 0
+        else:
+            texts = {" ".join((r.text or "").split(" ")) for r in before.collect()}
+            assert {"a b", "中文 текст ﷺ"} <= texts and 2**53 + 1 in {r.doc_id for r in now.collect()}
