@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.operators.vectors import distance, knn_join
-from lorespark.sources.stores import Files
+from lorespark.sources.files import Files
 
 SAMPLE_PER_LIST = 64
 #: Lists follow the square root of the number of vectors, up to what this many bytes of centroids allow.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.clean import clean_stages
 from lorespark.functions.text import collect_joined, suffix
-from lorespark.operators import chunking, dedup, manifest, vectors
+from lorespark.operators import chunking, dedup, manifest
 from lorespark.operators.chunking import Method
 from lorespark.providers import HashEmbedder, embed
 from lorespark.sources import loaders, stores
@@ -50,10 +50,11 @@ def embed_chunks(project: stores.Project, make: Callable = HashEmbedder, only: D
         chunks = chunks.join(only.select("stem").distinct(), "stem", "left_semi")
     first = dedup.keep_first(chunks, "chunk_id", ("file", "doc_ix", "pos")).select("chunk_id", "chunk_text", "metadata")
     new = embed(first, "chunk_text", make).filter("vector is not null").select("chunk_id", "vector", "chunk_text", "metadata")
-    table = vectors.upsert(project.vectors.read(), new)
+    project.vectors.upsert(new)
     if prune:
-        table = vectors.prune(table, stores.drop_empty_ids(stores.read_chunks(project.spark, project.chunks)))
-    project.vectors.replace(table)
+        left = stores.drop_empty_ids(stores.read_chunks(project.spark, project.chunks)).select("chunk_id").distinct()
+        project.vectors.delete(project.vectors.read().select("chunk_id").join(left, "chunk_id", "left_anti"))
+    project.vectors.grow()
 
 
 def extract_texts(spark, folder: str, out: str) -> DataFrame:

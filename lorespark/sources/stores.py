@@ -1,8 +1,9 @@
 """Stores in folders: chunks, manifest, vectors, projects, cards.
 
-Tables are Parquet in versioned folders: a version is written whole and then
-named by a small pointer, so a reader never sees half a table and a table can
-be derived from its own last version.
+Chunks and vectors are bucketed tables. The manifest is Parquet in versioned
+folders: a version is written whole and then named by a small pointer, so a
+reader never sees half a table and a table can be derived from its own last
+version.
 """
 
 from __future__ import annotations
@@ -11,62 +12,21 @@ import json
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark import schemas
 from lorespark.functions.text import blank, stem
+from lorespark.sources.bucketed import BucketedTable
+from lorespark.sources.files import Files
 
 CHUNK_FILES = "*_chunks.json"
-#: Folders of a chunk store, and its columns.
-CHUNK_BUCKETS = 256
+#: The columns of a chunk store.
 CHUNK_COLUMNS = [c.split(" ", 1)[0] for c in schemas.CHUNK_ROW.split(", ")]
 #: What the upload form accepts, fewer than the loaders.
 UPLOADS = [".pdf", ".md", ".markdown", ".text", ".txt", ".docx", ".xlsx", ".html"]
 
 
-class Files:
-    """Names in a folder of any file system that Spark can reach."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def exists(self, name: str = "") -> bool:
-        return self._fs.exists(self._path(f"{self.path}/{name}" if name else self.path))
-
-    def folders(self) -> list[str]:
-        if not self.exists():
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.path)) if s.isDirectory())
-
-    def make(self, *names: str) -> None:
-        for name in names:
-            self._fs.mkdirs(self._path(f"{self.path}/{name}"))
-
-    def delete(self, name: str) -> None:
-        self._fs.delete(self._path(f"{self.path}/{name}"), True)
-
-    def write(self, name: str, text: str) -> None:
-        self.write_bytes(name, text.encode())
-
-    def write_bytes(self, name: str, content: bytes) -> None:
-        out = self._fs.create(self._path(f"{self.path}/{name}"), True)
-        try:
-            out.write(bytearray(content))
-        finally:
-            out.close()
-
-    def read(self, name: str) -> str:
-        source = self._fs.open(self._path(f"{self.path}/{name}"))
-        try:
-            return bytes(source.readAllBytes()).decode()
-        finally:
-            source.close()
-
-
 class VersionedTable:
     """A table of one schema; missing reads as empty."""
 
@@ -113,38 +73,24 @@ def manifest_from_json(text: str, spark: SparkSession) -> DataFrame:
     return rows.select("file", "e.hash", "e.n_chunks", F.to_timestamp_ntz("e.last_processed").alias("last_processed"), "e.chunk_method")
 
 
-def bucket(file: str = "file") -> Column:
-    return F.pmod(F.xxhash64(file), F.lit(CHUNK_BUCKETS)).cast("int")
+def chunk_store(spark: SparkSession, folder: str) -> BucketedTable:
+    """Chunks, bucketed by their file."""
+    return BucketedTable(spark, folder, schemas.CHUNK_ROW, "file")
 
 
 def replace_chunks(chunks: DataFrame, files: DataFrame, folder: str) -> None:
     """The chunks of ``files`` (file) become ``chunks``; a file that has none now loses its old ones.
 
-    The store has ``CHUNK_BUCKETS`` folders, however many files there are; those
-    that hold one of the files are written anew, all others are left alone.
+    Only buckets that hold one of the files are written anew, and what they
+    hold of other files is not shuffled; the buckets grow in number with the store.
     """
-    spark, store = chunks.sparkSession, Files(chunks.sparkSession, folder)
-    touched = files.select(bucket().alias("bucket")).distinct()
-    old = _bucketed(spark, folder)
-    kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(files.select("file").distinct(), "file", "left_anti")
-    rows = kept.select(*CHUNK_COLUMNS, "bucket").unionByName(chunks.select(*CHUNK_COLUMNS, bucket().alias("bucket"))).persist(StorageLevel.DISK_ONLY)
-    filled = {r.bucket for r in rows.select("bucket").distinct().collect()}
-    emptied = {r.bucket for r in touched.collect()} - filled
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
-    for b in emptied:
-        store.delete(f"bucket={b}")
-    rows.unpersist()
-
-
-def _bucketed(spark: SparkSession, folder: str) -> DataFrame:
-    schema = f"{schemas.CHUNK_ROW}, bucket int"
-    if not Files(spark, folder).folders():
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(folder)
+    store = chunk_store(chunks.sparkSession, folder)
+    store.replace_keys(files, chunks)
+    store.grow()
 
 
 def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return _bucketed(spark, folder).select(*CHUNK_COLUMNS)
+    return chunk_store(spark, folder).read().select(*CHUNK_COLUMNS)
 
 
 def rewrite_without_empty_ids(project: Project) -> int:
@@ -188,7 +134,7 @@ class Project:
         self.spark, self.name, self.path = spark, name, f"{root.rstrip('/')}/{name}"
         self.raw, self.chunks = f"{self.path}/raw", f"{self.path}/chunks"
         self.manifest = VersionedTable(spark, f"{self.path}/manifest", schemas.MANIFEST)
-        self.vectors = VersionedTable(spark, f"{self.path}/vectors", schemas.VECTOR)
+        self.vectors = BucketedTable(spark, f"{self.path}/vectors", schemas.VECTOR, "chunk_id")
 
     def create(self) -> Project:
         """Makes the folders; those that are there stay."""
@@ -196,12 +142,11 @@ class Project:
         return self
 
     def ready(self) -> bool:
-        return bool(Files(self.spark, self.chunks).folders()) and self.vectors.files.exists("CURRENT")
+        return Files(self.spark, self.chunks).exists("CURRENT") and self.vectors.files.exists("CURRENT")
 
     def truncate(self) -> None:
         """Forgets chunks and manifest, not vectors."""
-        for folder in Files(self.spark, self.chunks).folders():
-            Files(self.spark, self.chunks).delete(folder)
+        chunk_store(self.spark, self.chunks).clear()
         self.manifest.replace(self.spark.createDataFrame([], schemas.MANIFEST))
 
 
