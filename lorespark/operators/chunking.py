@@ -105,6 +105,12 @@ def merge_metadata(metadata: Column, chunk_id: Column) -> Column:
     return F.map_concat(rest, F.create_map(F.lit("chunk_id"), chunk_id))
 
 
+def count_parts(method: Method, text: Column | str = "text", ext: Column | str = "ext", size: int = 400, overlap: int = 50, guard: bool = True) -> Column:
+    """How many chunks a page gives; null text gives none."""
+    parts = {Method.PAGE: F.array(col(text)), Method.SENTENCE: sentences(text, guard), Method.PARAGRAPH: paragraphs(text, ext), Method.FIXED: fixed_length(text, size, overlap)}[method]
+    return F.when(col(text).isNull(), 0).otherwise(F.size(parts))
+
+
 def chunk(pages: DataFrame, method: Method = Method.SENTENCE, size: int = 400, overlap: int = 50, compat_ids: bool = False, guard: bool = True) -> DataFrame:
     """``pages`` (file, doc_ix, text, metadata) as chunks: file, stem, doc_ix, pos, chunk_id, chunk_text, metadata.
 

@@ -152,8 +152,8 @@ def supported(ext: Column | str, loaders: dict | None = None) -> Column:
     return (F.col(ext) if isinstance(ext, str) else ext).isin(*(loaders or LOADERS))
 
 
-def load(files: DataFrame, loaders: dict[str, Callable[[bytes], Pages]] | None = None) -> DataFrame:
-    """``files`` (file, ext, content) as pages: file, doc_ix, text, metadata, error.
+def load(files: DataFrame, loaders: dict[str, Callable[[bytes], Pages]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``files`` (file, ext, content) as pages: file, doc_ix, text, metadata, error, and the string columns in ``keep``.
 
     Unsupported files are to be filtered out before; metadata holds ``source``
     and, for files of several pages, ``page``.
@@ -164,19 +164,19 @@ def load(files: DataFrame, loaders: dict[str, Callable[[bytes], Pages]] | None =
         for batch in batches:
             for lo in range(0, batch.num_rows, FILES_PER_BATCH):
                 rows = []
-                for name, ext, content in zip(*(c.to_pylist() for c in batch.slice(lo, FILES_PER_BATCH).columns)):
+                for name, ext, content, *kept in zip(*(c.to_pylist() for c in batch.slice(lo, FILES_PER_BATCH).columns)):
                     try:
                         pages = registry[ext](content or b"")
                     except Exception as e:  # noqa: BLE001 - one bad file is a row, not the end of the job
-                        rows.append((name, 0, None, None, f"{type(e).__name__}: {e}"))
+                        rows.append((name, 0, None, None, f"{type(e).__name__}: {e}", *kept))
                         continue
                     for i, text in enumerate(pages):
-                        rows.append((name, i, text, [("source", name)] + ([("page", str(i))] if len(pages) > 1 else []), None))
-                columns = list(zip(*rows)) or [[]] * 5
-                kinds = (pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "doc_ix", "text", "metadata", "error"])
+                        rows.append((name, i, text, [("source", name)] + ([("page", str(i))] if len(pages) > 1 else []), None, *kept))
+                columns = list(zip(*rows)) or [[]] * (5 + len(keep))
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), *[pa.string()] * len(keep))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "doc_ix", "text", "metadata", "error", *keep])
 
-    return files.select("file", "ext", "content").mapInArrow(read, PAGE)
+    return files.select("file", "ext", "content", *keep).mapInArrow(read, PAGE + "".join(f", {c} string" for c in keep))
 
 
 def html_text(html: Column | str) -> Column:

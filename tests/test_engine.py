@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import time
 import zipfile
 
 import pytest
@@ -16,6 +17,7 @@ from lorespark.operators.chunking import Method
 from lorespark.plans import ingest, study
 from lorespark.providers import Answer, EchoChat, HashEmbedder, endpoint, provider_of
 from lorespark.sources import loaders, stores
+from lorespark.streaming import ingest as streaming
 from lorespark.streaming.ingest import watch
 
 
@@ -126,10 +128,64 @@ def test_long_cells_and_exported_cards(spark, tmp_path):
     assert [r[1:] for r in read] == [("f1", "b, 1", "e1"), ("f2", "b2", None)]
 
 
-def test_stream_and_texts(project, tmp_path):
-    query = watch(project, str(tmp_path / "checkpoint"), Method.SENTENCE)
-    query.awaitTermination(120)
-    assert query.exception() is None and project.manifest.read().count() == 5
+def stream(project, checkpoint, **how):
+    query = watch(project, checkpoint, **how)
+    query.awaitTermination(180)
+    assert query.exception() is None
+
+
+def known(rows):
+    return sorted((r.file, r.hash, r.n_chunks, r.chunk_method) for r in rows.collect())
+
+
+def held(project):
+    return sorted((r.file, r.doc_ix, r.pos, r.chunk_id, r.chunk_text) for r in stores.read_chunks(project.spark, project.chunks).collect())
+
+
+@pytest.mark.parametrize("method", [Method.SENTENCE, Method.FIXED])
+def test_stream_state_is_the_manifest(project, tmp_path, method):
+    """Restart, repeat, change and failure: the state stays what a batch run would have written, and so do the chunks."""
+    from pathlib import Path
+
+    spark, landing, point = project.spark, tmp_path / "landing", str(tmp_path / "checkpoint")
+    other = stores.Project(spark, str(tmp_path / "batch"), "p").create()
+
+    def deliver(name, files):
+        (landing / name).mkdir(parents=True)
+        for f, content in files.items():
+            (landing / name / f).write_bytes(content)
+            if content:
+                Path(other.raw, f).write_bytes(content)
+
+    how = {"method": method, "size": 40, "overlap": 5, "landing": str(landing)}
+    contents = {f.name: f.read_bytes() for f in Path(project.raw).iterdir()}
+    deliver("monday", contents)
+    stream(project, point, files_per_batch=2, **how)
+    ingest.process(other, method, 40, 5)
+    assert known(streaming.manifest_of(project, point)) == known(other.manifest.read())
+    assert held(project) == held(other) and "broken.docx" not in {x[0] for x in known(streaming.state(spark, point))}
+    before = {r.file: r.last_processed for r in streaming.state(spark, point).collect()}
+    deliver("tuesday", {"notes one.txt": b"Never seen. By anybody."})
+    time.sleep(0.02)  # two versions in one batch: the later one counts
+    deliver("wednesday", {"page.HTML": contents["page.HTML"], "notes one.txt": b"All new. Two of them.", "late.txt": b"Late.", "word.docx": b"broken now"})
+    stream(project, point, **how)  # a restart
+    ingest.process(other, method, 40, 5)
+    assert known(streaming.manifest_of(project, point)) == known(other.manifest.read())
+    after = {r.file: r.last_processed for r in streaming.state(spark, point).collect()}
+    assert {f for f in after if after[f] != before.get(f)} == {"notes one.txt", "late.txt"}
+    assert held(project) == held(other) and any(x[0] == "word.docx" for x in held(project))
+    streaming.settle(project, point)
+    assert known(project.manifest.read()) == known(streaming.state(spark, point))
+
+
+def test_stream_knows_what_a_batch_run_did(project, tmp_path):
+    ingest.process(project, Method.SENTENCE)
+    before = held(project)
+    stream(project, str(tmp_path / "checkpoint"))
+    assert streaming.state(project.spark, str(tmp_path / "checkpoint")).count() == 0 and held(project) == before
+
+
+def test_texts(project, tmp_path):
     failures = ingest.extract_texts(project.spark, project.raw, str(tmp_path / "texts"))
     assert [r.file for r in failures.collect()] == ["broken.docx"]
     texts = {r.stem: r.value for r in project.spark.read.text(str(tmp_path / "texts"), wholetext=True).collect()}
