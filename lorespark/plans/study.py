@@ -10,23 +10,26 @@ from pyspark.sql import functions as F
 from lorespark.functions.templates import QUERY_REWRITE, STUDY_REWRITE, card_template, review_template
 from lorespark.functions.text import empty, fill, strip
 from lorespark.operators import retrieval
+from lorespark.operators.memo import ask_once
 from lorespark.operators.vectors import distance_stats, top_k
 from lorespark.providers import EchoChat, HashEmbedder, ask, messages
 
 SYSTEM = "You are a careful research assistant. The request stands between marks of five hash signs."
 
 
-def rewrite(requests: DataFrame, query: str = "user_query", template: str = QUERY_REWRITE, make: Callable = EchoChat, model: str | None = None, optimize: bool = True) -> DataFrame:
+def rewrite(requests: DataFrame, query: str = "user_query", template: str = QUERY_REWRITE, make: Callable = EchoChat, model: str | None = None, optimize: bool = True, memo: str | None = None) -> DataFrame:
     """``requests`` with ``std_query``: rewritten by the model, stripped.
 
     Null and empty queries give ''; with ``optimize`` off, or when the call
-    fails, the query stays as it was.
+    fails, the query stays as it was. With a ``memo`` folder each distinct
+    query is asked once.
     """
     own = F.coalesce(F.col(query), F.lit(""))
     if not optimize:
         return requests.withColumn("std_query", own)
     asked = requests.withColumn("__asked", F.when(own != "", messages(SYSTEM, fill(template, {"user_query": own}))))
-    answered = ask(asked, "__asked", make, model or "gpt-4o-mini", max_tokens=300)
+    how = {"make": make, "model": model or "gpt-4o-mini", "max_tokens": 300}
+    answered = ask_once(asked, "__asked", memo, **how) if memo else ask(asked, "__asked", **how)
     better = F.when(F.col("answer.ok") & ~empty(strip("answer.text")), strip("answer.text")).otherwise(own)
     return answered.withColumn("std_query", better).drop("__asked", "answer", "seconds")
 

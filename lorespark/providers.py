@@ -1,7 +1,7 @@
 """Model providers: chat and embedding calls behind small interfaces.
 
-Real services are plugged in by registering a factory; without one, the offline
-stand-ins here answer deterministically. A call never raises into a query: its
+``lorespark.http_chat`` has a client for real services and a registry of others;
+the offline stand-ins here answer deterministically. A call never raises into a query: its
 result says whether it succeeded and why not, so an error text is never taken
 for an answer.
 """
