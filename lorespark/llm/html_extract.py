@@ -7,7 +7,9 @@ punctuation per node and by the share of its text outside links, on a log
 scale. Ratios are laid out in page order, smoothed over neighbouring nodes with
 a Gaussian kernel and fused with the path's own ratio. A path is content if the
 mean of its fused values reaches ``LAMBDA`` of the page's mean, each character
-counting once; a heading follows the path after it.
+counting once; a heading follows the path after it. Items, cells, quotes and
+short paragraphs are judged with the element that contains them: where most of
+its text is content, so is all of it, save what is mostly links.
 
 ``article`` and ``main`` are a weight on the fused values, by the share of the
 page's unlinked text that they hold: up to twice for paths inside them, and
@@ -16,12 +18,16 @@ down to ``OUTSIDE`` less for those outside. A page whose text stands in a
 
 Elements that never hold an article's text are left out beforehand: scripts,
 styles, forms, navigation, footers, asides, page headers, and elements whose
-class, id or role names them as adverts, notices, menus, sidebars or comments;
-names of a state (``no-sidebar``, ``comments-open``) and those of html, body,
-main and article drop nothing. A head that is not closed ends at the first tag
-or text that cannot be in it.
+class, id or role names them as adverts, notices, menus, sidebars or comments.
+A name does so if each of its parts is such a word or a word of layout:
+``related-posts`` does, ``related-work`` does not. Names of a state
+(``no-sidebar``, ``comments-open``) and those of html, body, main and article
+drop nothing; paragraphs, headings, items and cells are dropped by a class that
+is such a word alone, and nothing is dropped by name that holds half of the
+page's unlinked text. A head that is not closed ends at the first tag or text
+that cannot be in it.
 
-Character references are decoded, white space inside a block becomes one space,
+Character references are decoded, white space and line breaks inside a block become one space,
 blocks are trimmed and joined by two newlines. Nothing else is dropped.
 
 Defined results: null or empty html, and pages without content, give ''; tags
@@ -52,75 +58,118 @@ TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*+)(?P<attrs>[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>|<(?:[a-z]|/[a-z])[^>]*+>|<[a-z/][^>]*+\Z",
     re.DOTALL | re.IGNORECASE,
 )
-BLOCK = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr blockquote pre figure figcaption header footer nav aside form fieldset address details summary center hgroup".split())
+BLOCK = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset address details summary center hgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes if it is open in the same parent: an unclosed paragraph, item or row.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "tbody": {"tr", "thead", "tbody"}}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "tbody": {"tr", "thead", "tbody"}, "td": {"td", "th"}, "th": {"td", "th"}}
+ITEMS = frozenset("li dt dd tr thead tbody td th".split())
 LISTS = frozenset("ul ol dl table".split())
 DROPPED = frozenset("nav footer aside form button select option label fieldset menu dialog canvas audio video head noscript template svg object".split())
 #: Start tags that leave an open head open; any other, and any text, ends it.
 IN_HEAD = frozenset("base link meta basefont bgsound noscript template".split())
 MARKED = frozenset(("article", "main"))
+#: Words that name what is no article, and words of layout that may stand beside them.
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|sidebar|menu|nav|navbar|navigation|breadcrumbs?|masthead|footer|share|sharing|social|related"
-    r"|recommend\w*|newsletter|subscribe|signup|login|comments?|commentlist|disqus|replies|respond|popup|modal|pagination|pager|toolbar|contentinfo|complementary|search)(?:$|[\s_-])",
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|sidebar|menu|nav|navbar|navigation|breadcrumbs?|masthead|footer|share|sharing|social|related"
+    r"|recommend\w*|newsletter|subscribe|signup|login|comments?|commentlist|disqus|replies|respond|popup|modal|pagination|pager|toolbar|contentinfo|complementary|search)$",
     re.IGNORECASE,
 )
+LAYOUT = frozenset(
+    """area articles bar bars bottom box boxes btn button buttons card cards col column container content contents desktop entry fixed form global grid group header heading holder icons inner
+    item items layer left links list lists main mobile outer overlay page pane panel policy post posts primary region right row secondary section side site slot small stack sticky stories
+    strip tablet teaser text thread title top trigger unit widget widgets wrap wrapper zone""".split()
+)
 #: Elements that no class drops, and class names that tell of a state or of something left out.
 UNNAMED = frozenset("html body main article".split())
+#: The share of a page's unlinked text that is not dropped by a name.
+MOST = 0.75
+#: Elements that only a class of one such word drops.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption".split())
 STATE = re.compile(r"^(?:no|not|without|hide|hidden|has|is|with)[_-]|[_-](?:open|opened|closed|enabled|disabled|hidden|visible|active|on|off|none)$", re.IGNORECASE)
-ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 HEADING = re.compile(r"h[1-6]$")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
+def names_no_article(name: str, kind: str, element: str) -> bool:
+    """Whether a class, id or role (``kind``) tells that an element is no part of an article."""
+    if STATE.search(name):
+        return False
+    if element in TEXTUAL:
+        return kind != "id" and bool(NAMED.match(name))
+    parts = [p for p in re.split(r"[-_]+", name) if p and not (len(p) == 1 or p[0].isdigit())]
+    return any(NAMED.match(p) for p in parts) and all(NAMED.match(p) or p.lower() in LAYOUT for p in parts)
+
+
 class _Open:
-    __slots__ = ("name", "path", "dropped", "marked", "link")
+    """An open element. ``block``, ``list`` and ``item``: where the innermost of each kind stands, itself included; ``named``: the element dropped by name that it is in."""
 
-    def __init__(self, name, path, dropped, marked, link):
-        self.name, self.path, self.dropped, self.marked, self.link = name, path, dropped, marked, link
+    __slots__ = ("name", "path", "dropped", "named", "marked", "link", "block", "list", "item")
+
+    def __init__(self, name, path, dropped, named, marked, link):
+        self.name, self.path, self.dropped, self.named, self.marked, self.link = name, path, dropped, named, marked, link
+        self.block = self.list = self.item = 0
 
 
 class _Stack:
     """The open elements, and how many there are of each name, so that a tag that ends none is passed over at once."""
 
     def __init__(self):
-        self.open = [_Open("", 0, False, False, False)]
+        self.open = [_Open("", 0, False, 0, False, False)]
         self.count: dict[str, int] = {}
 
     def push(self, element: _Open) -> None:
+        top, at = self.open[-1], len(self.open)
+        element.block = at if element.name in BLOCK else top.block
+        element.list = at if element.name in LISTS else top.list
+        element.item = at if element.name in ITEMS else top.item
         self.open.append(element)
         self.count[element.name] = self.count.get(element.name, 0) + 1
 
-    def end(self, names, until=()) -> None:
-        """Ends the innermost open element of these names, and all inside it, unless one of ``until`` is met first."""
-        if not any(self.count.get(n) for n in names):
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            name = self.open[i].name
-            if name in names:
-                for e in self.open[i:]:
-                    self.count[e.name] -= 1
-                del self.open[i:]
-                return
-            if name in until:
+    def cut(self, at: int) -> None:
+        for e in self.open[at:]:
+            self.count[e.name] -= 1
+        del self.open[at:]
+
+    def end(self, name: str) -> None:
+        """Ends the innermost open element of this name, and all inside it."""
+        if self.count.get(name):
+            at = len(self.open) - 1
+            while self.open[at].name != name:
+                at -= 1
+            self.cut(at)
+
+    def end_paragraph(self) -> None:
+        """Ends an open paragraph unless another block is open inside it."""
+        at = self.open[-1].block
+        if at and self.open[at].name == "p":
+            self.cut(at)
+
+    def end_item(self, names) -> None:
+        """Ends the innermost item of these names in the innermost list; at most one item of each kind is open there."""
+        at, least = self.open[-1].item, self.open[-1].list
+        while at > least:
+            if self.open[at].name in names:
+                self.cut(at)
                 return
+            at = self.open[at - 1].item
 
 
-def nodes(page: str) -> tuple[list[tuple[int, int, str, bool, bool]], list[str]]:
-    """(block number, path, text, inside marked content, inside a link) of the text nodes in page order, and the last
-    element's name of each path. Paths are numbers; each is known by its parent and last element alone."""
+def nodes(page: str) -> tuple[list[tuple[int, int, str, bool, bool]], list[str], list[int]]:
+    """(block number, path, text, inside marked content, inside a link) of the text nodes in page order; the last element's
+    name and the parent of each path. Paths are numbers; each is known by its parent and last element alone."""
     stack = _Stack()
     found, block, at = [], 0, 0
     numbers: dict[tuple[int, str], int] = {}
-    last = [""]
+    last, parent = [""], [0]
+    named = 0  # elements dropped by name so far
 
     def text(end: int) -> None:
         if stack.open[-1].name == "head" and page[at:end].strip():
-            stack.end(("head",))
+            stack.end("head")
         top = stack.open[-1]
         if end > at and not top.dropped:
-            found.append((block, top.path, html.unescape(page[at:end]), top.marked, top.link))
+            found.append((block, top.path, html.unescape(page[at:end]), top.marked, top.link, top.named))
 
     for m in TOKEN.finditer(page):
         text(m.start())
@@ -132,41 +181,56 @@ def nodes(page: str) -> tuple[list[tuple[int, int, str, bool, bool]], list[str]]
         if m["close"]:
             if name in BLOCK or name in MARKED:
                 block += 1
-            stack.end((name,))
+            stack.end(name)
             continue
         if stack.open[-1].name == "head" and name not in IN_HEAD:
-            stack.end(("head",))
+            stack.end("head")
         if name in VOID:
             if name == "hr":
                 block += 1
-            elif found:
+            elif name == "br" and found:
                 top = stack.open[-1]
-                found.append((block, top.path, " ", top.marked, False))
+                found.append((block, top.path, " ", top.marked, False, top.named))
             continue
         blocked = name in BLOCK
         if blocked:
             block += 1
-            stack.end(("p",), BLOCK)  # an open paragraph ends where a block begins
+            stack.end_paragraph()
         if name in CLOSES:
-            stack.end(CLOSES[name], LISTS)
+            stack.end_item(CLOSES[name])
         top = stack.open[-1]
         attrs = m["attrs"]
-        names = [a or b or c for a, b, c in ATTRIBUTE.findall(attrs)] if attrs and "=" in attrs else ()
-        dropped = top.dropped or name in DROPPED or (name == "header" and not top.marked) or (name not in UNNAMED and any(NAMED.search(c) and not STATE.search(c) for n in names for c in n.split()))
+        names = [(kind.lower(), a or b or c) for kind, a, b, c in ATTRIBUTE.findall(attrs)] if attrs and "=" in attrs else ()
+        dropped = top.dropped or name in DROPPED or (name == "header" and not top.marked)
+        inside = top.named
+        if not inside and name not in UNNAMED and any(names_no_article(c, kind, name) for kind, n in names for c in n.split()):
+            inside = named = named + 1
         if attrs.endswith("/") and name in BLOCK | {"a", "span", "svg"} and name not in ("p", "div", "a", "span"):
             continue
         path = top.path
         if blocked:
-            path = numbers.setdefault((top.path, ".".join((name, *names))), len(last))
+            path = numbers.setdefault((top.path, ".".join((name, *(n for _, n in names)))), len(last))
             if path == len(last):
                 last.append(name)
-        stack.push(_Open(name, path, dropped, top.marked or name in MARKED, top.link or name == "a"))
+                parent.append(top.path)
+        stack.push(_Open(name, path, dropped, inside, top.marked or name in MARKED, top.link or name == "a"))
     text(len(page))
-    return found, last
+    held, article = [0] * (named + 1), 0
+    for _, _, t, marked, link, by in found:
+        held[by] += 0 if link else len(t.strip())
+        article += len(t.strip()) if marked and not by else 0
+    most = sum(held) * (MOST if not article else 1)
+    return [x[:5] for x in found if not x[5] or held[x[5]] > most], last, parent
+
 
+#: Elements that are judged with what contains them.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption".split())
+#: What is linked to more than this is left to its own ratio.
+LINKED = 0.5
 
-def content_paths(found: list[tuple[int, int, str, bool, bool]], last: list[str]) -> set[int]:
-    """The paths whose fused tag-path ratio reaches the threshold."""
+
+def content_paths(found: list[tuple[int, int, str, bool, bool]], last: list[str], parent: list[int]) -> set[int]:
+    """The paths whose fused tag-path ratio reaches the threshold, and the parts beside them."""
     sums: dict[int, list[float]] = {}
     order: list[int] = []
     plain: list[int] = []
@@ -197,13 +261,32 @@ def content_paths(found: list[tuple[int, int, str, bool, bool]], last: list[str]
         total.setdefault(path, []).append(value)
     mean = {p: float(np.mean(v)) * (1 + share if sums[p][4] else 1 - OUTSIDE * share) for p, v in total.items()}
     chosen = {p for p, value in mean.items() if value >= limit and value > 0}
+    chosen |= _beside(chosen, sums, last, parent)
     return chosen | {p for p, following in zip(order, order[1:]) if HEADING.match(last[p]) and following in chosen}
 
 
+def _beside(chosen: set[int], sums: dict[int, list[float]], last: list[str], parent: list[int]) -> set[int]:
+    """Parts of containers most of whose unlinked text is chosen, save lists and tables that are mostly links."""
+    container, part = list(range(len(last))), list(range(len(last)))
+    for p in range(1, len(last)):  # parents come first
+        if last[p] in PARTS:
+            container[p] = container[parent[p]]
+            part[p] = p if container[parent[p]] == parent[p] else part[parent[p]]
+    held: dict[int, list[float]] = {}
+    linked: dict[int, list[float]] = {}
+    for p, s in sums.items():
+        h, k = held.setdefault(container[p], [0, 0]), linked.setdefault(part[p], [0, 0])
+        h[0] += s[0] - s[2]
+        h[1] += s[0] - s[2] if p in chosen else 0
+        k[0] += s[0]
+        k[1] += s[2]
+    return {p for p in sums if last[p] in PARTS and 2 * held[container[p]][1] > held[container[p]][0] and linked[part[p]][1] <= LINKED * linked[part[p]][0]}
+
+
 def extract(page: str | None) -> str:
     """The page's main text."""
-    found, last = nodes(page or "")
-    chosen = content_paths(found, last)
+    found, last, parent = nodes(page or "")
+    chosen = content_paths(found, last, parent)
     blocks: dict[int, list[str]] = {}
     for block, path, text, _, _ in found:
         if path in chosen:

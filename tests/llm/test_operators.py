@@ -380,6 +380,49 @@ def test_extract_long_names():
     assert time.process_time() - began < 2
 
 
+LONG_PARAGRAPH = "<p>" + "This is a long paragraph of the article, with commas, stops and words. " * 6 + "</p>"
+
+
+def extracted(page):
+    from lorespark.llm.html_extract import extract
+
+    return extract(page).split("\n\n")
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<div class='text'>{}</div>", "{}"])
+def test_extract_lists_tables_and_code(around):
+    """Short parts of an article stay, menus beside it go."""
+    inner = LONG_PARAGRAPH + "<ul><li>x</li><li>y <b>z</b></li></ul><p>Ok.</p><table><caption>Cap</caption><tr><th>a<th>b<tr><td>1</td><td>3</td></table><dl><dt>term<dd>def</dl>" + LONG_PARAGRAPH
+    inner += "<pre>code here</pre><blockquote><p>quoted</p></blockquote><figure><img src=x><figcaption>shown</figcaption></figure><ol><li>one<li>two</ol>"
+    menu = "<ul class='links'>" + "".join(f"<li><a href=/{i}>Entry {i}</a></li>" for i in range(6)) + "</ul>"
+    page = f"<html><body><nav><ul><li>Home</li></ul></nav>{menu}{around.format(inner)}<footer>legal</footer></body></html>"
+    long = " ".join(LONG_PARAGRAPH[3:-4].split())
+    assert extracted(page) == [long, "x", "y z", "Ok.", "Cap", "a", "b", "1", "3", "term", "def", long, "code here", "quoted", "shown", "one", "two"]
+
+
+def test_extract_anchors_and_names():
+    kept = "<p id='notice-period'>Notice of a month.</p><h2 id='related-work'>Related work</h2><section id='social-impact'><p>Impact.</p></section><p class='search-box-text'>Search.</p><div class='related-work'><p>Other work.</p></div>"
+    gone = "<div class='related-posts'><p>More posts.</p></div><div id='cookie-banner-2'>We set some.</div><p class='advert'>Buy.</p><div class='site-sidebar__inner'>Side.</div><section class='comments'><p>First!</p></section><div role='search'>Find</div><ul class='share-buttons'><li>Mail</li></ul>"
+    text = extracted(f"<article>{LONG_PARAGRAPH}{kept}{gone}{LONG_PARAGRAPH}</article>")
+    assert text[1:-1] == ["Notice of a month.", "Related work", "Impact.", "Search.", "Other work."]
+    assert extracted(f"<body><div class='content-sidebar'>{LONG_PARAGRAPH * 3}</div><p>Some other.</p></body>")[0].startswith("This is a long")
+    assert extracted(f"<body><div class='ad'>{LONG_PARAGRAPH}</div><article><p>Short one.</p></article></body>") == ["Short one."]
+
+
+def test_extract_void_tags():
+    body = "super<wbr>cali a<img src=x>b c<input>d one<br>two<br/>three<hr>four"
+    assert extracted(f"<article>{LONG_PARAGRAPH}<p>{body}</p></article>")[1:] == ["supercali ab cd one two three", "four"]
+
+
+def test_extract_hostile_pages_are_linear():
+    import time
+
+    for page in ("<dl><dd><ul>" + "<b>" * 20000 + "<dd></dd>" * 20000, "<dl>" + "<div>" * 20000 + "<dd></dd>" * 20000, "<p>" * 30000 + "<b>" * 30000 + "<div></div>" * 20000, "<ul><li>" * 20000 + "</li>" * 20000):
+        began = time.process_time()
+        extracted(page)
+        assert time.process_time() - began < 3
+
+
 def test_extract_clashing_names(spark):
     from pyspark.sql import functions as F
 
