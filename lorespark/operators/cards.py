@@ -6,8 +6,10 @@ import csv
 import io
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from lorespark.functions.text import strip
 from lorespark.sources.stores import Files
@@ -42,6 +44,37 @@ def parse(answers: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     return answers.select(key, text).mapInArrow(parsed, f"{key} {kind}, row int, cells array<string>")
 
 
+COLUMNS = ("front", "back", "extra")
+
+
+@F.udtf
+class CardTable:
+    """A table function for SQL: ``SELECT id, c.* FROM answers, LATERAL cards(text, 3) c``.
+
+    Columns are ``row`` and, as many as the constant second argument says (3
+    if it is left out), front, back, extra and further ``c3``, ``c4`` ...
+    """
+
+    @staticmethod
+    def analyze(text: AnalyzeArgument, fields: AnalyzeArgument | None = None) -> AnalyzeResult:
+        many = 3 if fields is None else fields.value
+        if text.dataType.typeName() not in ("string", "void") or not isinstance(many, int) or many < 1 or (fields is not None and not fields.isConstantExpression):
+            raise ValueError("cards(text STRING [, fields INT]): fields is a constant of at least 1")
+        schema = StructType().add("row", IntegerType())
+        for i in range(many):
+            schema = schema.add(COLUMNS[i] if i < len(COLUMNS) else f"c{i}", StringType())
+        return AnalyzeResult(schema)
+
+    def eval(self, text: str, fields: int = 3):
+        for i, cells in enumerate(parse_csv(text)):
+            yield (i, *(cells + [None] * fields)[:fields])
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``cards`` known to the session's SQL."""
+    spark.udtf.register("cards", CardTable)
+
+
 def parse_lines(answers: DataFrame, key: str = "id", text: str = "text", fields: int = 3) -> DataFrame:
     """JVM-only for answers whose rows are single lines: (key, line, c0, c1, ...), blank rows dropped."""
     schema = ", ".join(f"c{i} string" for i in range(fields))
@@ -53,7 +86,7 @@ def parse_lines(answers: DataFrame, key: str = "id", text: str = "text", fields:
 
 def typed(cards: DataFrame) -> DataFrame:
     """``cells`` as front, back and extra; null where a row is shorter."""
-    return cards.select(*[c for c in cards.columns if c != "cells"], *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(("front", "back", "extra"))])
+    return cards.select(*[c for c in cards.columns if c != "cells"], *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(COLUMNS)])
 
 
 def export_name(now: Column | None = None) -> Column:

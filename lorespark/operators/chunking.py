@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import blank, col, stem, strip, suffix
+from lorespark.operators.boundaries import Boundaries
 from lorespark.sources.loaders import SPREADSHEETS
 
 SEPARATOR = "\n\n"
@@ -111,12 +112,13 @@ def count_parts(method: Method, text: Column | str = "text", ext: Column | str =
     return F.when(col(text).isNull(), 0).otherwise(F.size(parts))
 
 
-def chunk(pages: DataFrame, method: Method = Method.SENTENCE, size: int = 400, overlap: int = 50, compat_ids: bool = False, guard: bool = True) -> DataFrame:
+def chunk(pages: DataFrame, method: Method = Method.SENTENCE, size: int = 400, overlap: int = 50, compat_ids: bool = False, guard: bool = True, boundaries: Boundaries | None = None) -> DataFrame:
     """``pages`` (file, doc_ix, text, metadata) as chunks: file, stem, doc_ix, pos, chunk_id, chunk_text, metadata.
 
     Ids of sentences and paragraphs count within a page. Pages after the first
     name theirs, so that ids do not collide in a file of several pages;
-    ``compat_ids`` leaves that out. Null text gives no chunk.
+    ``compat_ids`` leaves that out. Null text gives no chunk. Sentences end where
+    ``boundaries`` that were learned say, else by the fixed rule.
     """
     name = stem("file")
     page = F.lit("") if compat_ids else F.when(F.col("doc_ix") > 0, F.concat(F.lit("_p"), F.col("doc_ix"))).otherwise("")
@@ -124,7 +126,7 @@ def chunk(pages: DataFrame, method: Method = Method.SENTENCE, size: int = 400, o
     if method is Method.PARAGRAPH:
         split = base.select("*", F.inline(paragraphs("text", "ext")).alias("pos", "chunk_text"))
     else:
-        parts = {Method.PAGE: F.array("text"), Method.SENTENCE: sentences("text", guard), Method.FIXED: fixed_length("text", size, overlap)}[method]
+        parts = {Method.PAGE: F.array("text"), Method.SENTENCE: boundaries.sentences("text") if boundaries else sentences("text", guard), Method.FIXED: fixed_length("text", size, overlap)}[method]
         split = base.select("*", F.posexplode(parts).alias("pos", "chunk_text"))
     kind = {Method.SENTENCE: "_sent", Method.PARAGRAPH: "_para"}.get(method)
     if kind:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorespark.functions.templates import CARD_QA_EN, REVIEW_EN
+from lorespark.functions.templates import CARD_QA_EN, QUERY_REWRITE, REVIEW_EN
 from lorespark.plans.queries import NOISE_HEAD, NOISE_TAIL
 
 
@@ -97,6 +97,28 @@ def filled(template: str, **values: str) -> str:
     return " || ".join(parts)
 
 
+#: A document's page in its source's file, numbered over the whole file.
+PAGES = "pages AS (SELECT *, source || '.txt' AS file, source || '_chunk' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS chunk_id FROM {0})"
+INGESTED = "SELECT *, replace(CASE WHEN doc_id % 3 = 1 THEN text || chr(10) || chr(10) || 'New end.' ELSE text END, chr(10), chr(10) || chr(10)) AS content FROM documents"
+
+
+def spoken(text: str, most: int) -> tuple[str, str]:
+    """What the offline model says to a message, and the words of both: its first words, delimiters left out."""
+    words = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')"
+    content = f"'#####' || {text} || '#####'"
+    said = f"list_slice({words.format(f"replace({content}, '#####', '')")}, 1, {most})"
+    return f"coalesce(array_to_string({said}, ' '), '')", f"len({words.format(content)}) + len({said})"
+
+
+SAID, TOKENS = spoken("text", 64)
+REWRITTEN = spoken(filled(QUERY_REWRITE, user_query="text"), 300)[0]
+TRIMMED = r"regexp_replace(regexp_replace(w, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}.]+$', '')"
+BARE = r"lower(regexp_replace(t, '\.$', ''))"
+TYPES = f"""types AS (SELECT type, count(*) FILTER (stopped) AS with_stop, count(*) FILTER (NOT stopped) AS without_stop FROM (
+  SELECT CASE WHEN regexp_full_match({BARE}, '[0-9][0-9.,-]*') THEN '##number##' ELSE {BARE} END AS type, ends_with(t, '.') AND NOT ends_with(t, '..') AS stopped
+  FROM (SELECT {TRIMMED} AS t FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents))) WHERE type <> '' GROUP BY type)"""
+INNER = "(length(type) - length(replace(type, '.', '')))"
+
 ORACLE_SQL = {
     "topk_l2_lookup": f"WITH {HITS} SELECT CAST(h.rank AS INT) AS rank, CAST(h.vec_id AS VARCHAR) AS chunk_id, 'label' || h.label AS source, round(h.d, 6) AS distance, d.text AS chunk_text FROM hits h JOIN documents d ON d.doc_id = h.vec_id WHERE d.text <> ''",
     "topk_left_lookup_fill": f"WITH {CONTEXT} SELECT * FROM context",
@@ -155,4 +177,27 @@ SELECT doc_id, CAST(n AS INT) AS lines_before, CAST(CASE WHEN cut < n THEN great
     "line_counts": f"SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INT) AS n_lines, CAST(length({STRIP.format('text')}) AS INT) AS n_stripped FROM documents",
     "embed_stub": "SELECT doc_id, 64 AS size, CASE WHEN regexp_matches(text, '\\w') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS norm FROM documents",
     "query_rewrite": "SELECT item_id, CASE WHEN item_id > 0 THEN text ELSE '' END AS std_query FROM benchmark",
+    "card_table": f"SELECT id, CAST(0 AS INT) AS row, c0 AS front, c1 AS back, ' note' AS extra FROM ({CARDS}) UNION ALL SELECT doc_id, 1, 'second', 'row', 'here' FROM documents",
+    "ingest_manifest": f"""SELECT 'f' || doc_id || '.txt' AS file, md5(content) AS hash, CAST(n AS INT) AS n_chunks, 'paragraph' AS chunk_method, CAST(n AS BIGINT) AS n_stored
+FROM (SELECT *, len(list_filter(string_split(content, chr(10) || chr(10)), lambda x: {STRIP.format('x')} <> '')) AS n FROM ({INGESTED}))""",
+    "ingest_report": "SELECT count(*) AS total, count(*) FILTER (doc_id % 5 = 0) AS processed, count(*) FILTER (doc_id % 5 <> 0) AS skipped, CAST(0 AS BIGINT) AS failed FROM documents",
+    "chunk_page_files": f"WITH {PAGES.format('documents')} SELECT file, source AS stem, CAST(doc_id AS INT) AS doc_ix, chunk_id, md5(text) AS md5 FROM pages",
+    "chunk_store_replace": f"""WITH fresh AS (SELECT * REPLACE ('new ' || text AS text) FROM documents WHERE lang = 'en'), {PAGES.format('fresh')},
+{PAGES.format('documents').replace('pages AS', 'before AS')}
+SELECT file, CAST(doc_id AS INT) AS doc_ix, chunk_id, md5(text) AS md5 FROM (SELECT file, doc_id, chunk_id, text FROM pages UNION ALL SELECT file, doc_id, chunk_id, text FROM before WHERE source NOT IN (SELECT source FROM fresh))""",
+    "chunk_store_empty_ids": """SELECT file, CAST(doc_id AS INT) AS pos, chunk_id FROM (SELECT source || '.txt' AS file, doc_id,
+  CASE lang WHEN 'de' THEN ' ' WHEN 'fr' THEN '' WHEN 'es' THEN NULL ELSE CAST(doc_id AS VARCHAR) END AS chunk_id, lang IN ('de', 'fr', 'es') AS blank FROM documents)
+QUALIFY NOT blank OR bool_and(blank) OVER (PARTITION BY file)""",
+    "vector_store_upsert": "SELECT CAST(vec_id AS VARCHAR) AS chunk_id, CASE WHEN label = 1 OR vec_id % 4 = 0 THEN 'new' ELSE 'old' END AS chunk_text, CAST(label AS VARCHAR) AS label, CAST(len(embedding) AS INT) AS size FROM embeddings WHERE label <> 2",
+    "only_files_semi_join": f"WITH {PAGES.format('documents')} SELECT file, CAST(doc_id AS INT) AS doc_ix, chunk_id FROM pages WHERE source IN (SELECT source FROM documents WHERE lang = 'en')",
+    "joined_pages": "SELECT source, md5(text) AS md5, CAST(length(text) AS INT) AS n_chars FROM (SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source)",
+    "query_rewrite_asked": f"SELECT item_id, CASE WHEN item_id % 7 > 0 THEN {REWRITTEN} ELSE '' END AS std_query FROM benchmark",
+    "memo_calls": f"SELECT md5(text) AS md5, {SAID} AS said, CAST(2 + {TOKENS} AS BIGINT) AS tokens, count(*) AS n_rows, (SELECT count(DISTINCT text) FROM documents) AS n_memo FROM documents GROUP BY text",
+    "boundary_type_counts": f"WITH {TYPES} SELECT * FROM types",
+    "abbreviations_learned": f"""WITH {TYPES}, total AS (SELECT sum(with_stop + without_stop) AS n, sum(with_stop) AS stops FROM types),
+scored AS (SELECT type, -2 * (with_stop * ln(stops / n) + without_stop * ln(1 - stops / n) - with_stop * ln(0.99::DOUBLE) - without_stop * ln((1 - 0.99::DOUBLE)))
+  * exp(-(length(type) - {INNER})) * ({INNER} + 1) * pow(length(type) - {INNER}, -without_stop) AS score
+  FROM types, total WHERE with_stop > 0 AND regexp_matches(type, '\\p{{L}}') AND type <> '##number##')
+SELECT type, round(score, 6) AS score FROM scored WHERE score >= 0.3""",
 }
+ORACLE_SQL["ivf_knn_all_lists"] = ORACLE_SQL["knn_join_multi_query"]

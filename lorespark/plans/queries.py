@@ -11,11 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import clean, i18n
-from lorespark.functions.text import fill, lines, stem, strip, suffix
-from lorespark.operators import cards, chunking, dashboard, dedup, manifest, retrieval, vectors
+from lorespark import schemas
+from lorespark.functions.text import collect_joined, fill, lines, stem, strip, suffix
+from lorespark.operators import boundaries, cards, chunking, dashboard, dedup, ivf, manifest, retrieval, vectors
 from lorespark.operators.chunking import Method
+from lorespark.operators.memo import ask_once, memo_table
 from lorespark.plans import study
+from lorespark.plans.ingest import process
 from lorespark.providers import embed, messages, route
+from lorespark.session import shared_folder
+from lorespark.sources import stores
+from lorespark.sources.bucketed import BucketedTable
 from lorespark.sources.loaders import html_text
 
 K = 10
@@ -386,11 +392,132 @@ def query_rewrite(spark, sf_dir):
     return study.rewrite(asked, optimize=False).select("item_id", "std_query")
 
 
+# --- stores, flows and calls, end to end ---------------------------------------
+
+
+def card_table(spark, sf_dir):
+    """Cards by the table function, in SQL."""
+    cards.register(spark)
+    return spark.sql("SELECT a.id, c.* FROM {answers} a, LATERAL cards(a.text, 3) c", answers=_card_answers(spark, sf_dir))
+
+
+def ivf_knn_all_lists(spark, sf_dir):
+    """The inverted file with all lists probed: exact, whatever its residuals lose."""
+    stored = table(spark, sf_dir, "embeddings")
+    queries = stored.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = ivf.Index(spark, shared_folder(spark), "vec_id", "embedding").build(stored)
+    return index.knn_join(stored, queries, 5).select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+def _as_files(docs: DataFrame, text: Column) -> DataFrame:
+    """Documents as text files of one page."""
+    return docs.select(F.concat(F.lit("f"), "doc_id", F.lit(".txt")).alias("file"), F.lit(".txt").alias("ext"), text.cast("binary").alias("content"))
+
+
+def ingest_manifest(spark, sf_dir):
+    """Two runs over files of which every third changes in between: the manifest beside what the chunk store holds."""
+    docs = documents(spark, sf_dir)
+    project = stores.Project(spark, shared_folder(spark), "p").create()
+    changed = F.when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("\n\nNew end."))).otherwise(F.col("text"))
+    process(project, Method.PARAGRAPH, files=_as_files(docs, F.replace("text", F.lit("\n"), F.lit("\n\n"))))
+    process(project, Method.PARAGRAPH, files=_as_files(docs, F.replace(changed, F.lit("\n"), F.lit("\n\n"))))
+    held = dashboard.chunks_per_file(stores.read_chunks(spark, project.chunks)).withColumnRenamed("n_chunks", "n_stored")
+    return project.manifest.read().join(held, "file", "left").select("file", "hash", "n_chunks", "chunk_method", F.coalesce("n_stored", F.lit(0)).alias("n_stored"))
+
+
+def ingest_report(spark, sf_dir):
+    """The counters of a second run: unsupported files and unchanged ones are passed over."""
+    docs = documents(spark, sf_dir)
+    project = stores.Project(spark, shared_folder(spark), "p").create()
+    process(project, Method.PAGE, files=_as_files(docs, F.col("text")))
+    files = _as_files(docs, F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    named = F.when(F.col("file").rlike("7[.]txt$"), ".exe").otherwise(F.col("ext"))
+    return process(project, Method.PAGE, files=files.withColumn("ext", named))
+
+
+def _page_chunks(docs: DataFrame, text: Column) -> DataFrame:
+    pages = docs.select(F.concat("source", F.lit(".txt")).alias("file"), F.col("doc_id").cast("int").alias("doc_ix"), text.alias("text"), F.create_map(F.lit("source"), F.col("source")).alias("metadata"))
+    return chunking.chunk(pages, Method.PAGE)
+
+
+def chunk_page_files(spark, sf_dir):
+    """Files of many pages: ids run over the whole file."""
+    return _page_chunks(documents(spark, sf_dir), F.col("text")).select("file", "stem", "doc_ix", "chunk_id", F.md5("chunk_text").alias("md5"))
+
+
+def chunk_store_replace(spark, sf_dir):
+    """The stored chunks after those of some files were replaced."""
+    docs, folder = documents(spark, sf_dir), shared_folder(spark)
+    every = _page_chunks(docs, F.col("text"))
+    stores.replace_chunks(every, every.select("file").distinct(), folder)
+    some = docs.filter(F.col("lang") == "en")
+    stores.replace_chunks(_page_chunks(some, F.concat(F.lit("new "), "text")), some.select(F.concat("source", F.lit(".txt")).alias("file")).distinct(), folder)
+    return stores.read_chunks(spark, folder).select("file", "doc_ix", "chunk_id", F.md5("chunk_text").alias("md5"))
+
+
+def chunk_store_empty_ids(spark, sf_dir):
+    """The store after chunks without an id were dropped for good; files without any id stay as they are."""
+    project = stores.Project(spark, shared_folder(spark), "p").create()
+    blank = F.when(F.col("lang") == "de", F.lit(" ")).when(F.col("lang") == "fr", F.lit("")).when(F.col("lang") != "es", F.col("doc_id").cast("string"))
+    rows = documents(spark, sf_dir).select(F.concat("source", F.lit(".txt")).alias("file"), F.col("source").alias("stem"), F.lit(0).alias("doc_ix"), F.col("doc_id").cast("int").alias("pos"), blank.alias("chunk_id"), F.col("text").alias("chunk_text"), F.create_map(F.lit("a"), F.col("lang")).alias("metadata"))
+    stores.replace_chunks(rows, rows.select("file").distinct(), project.chunks)
+    stores.rewrite_without_empty_ids(project)
+    return stores.read_chunks(spark, project.chunks).select("file", "pos", "chunk_id")
+
+
+def vector_store_upsert(spark, sf_dir):
+    """The stored vectors after an upsert and after those of chunks that are gone were deleted."""
+    store = BucketedTable(spark, shared_folder(spark), schemas.VECTOR, "chunk_id")
+    vector = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"), F.lit("old").alias("chunk_text"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"), "vec_id", "label")
+    store.upsert(vector)
+    store.upsert(vector.filter("label = 1 or vec_id % 4 = 0").withColumn("chunk_text", F.lit("new")))
+    store.delete(vector.filter("label = 2").select("chunk_id"))
+    return store.read().select("chunk_id", "chunk_text", F.col("metadata")["label"].alias("label"), F.size("vector").alias("size"))
+
+
+def only_files_semi_join(spark, sf_dir):
+    """Chunks of the files named by their stems."""
+    chunks = _page_chunks(documents(spark, sf_dir), F.col("text"))
+    only = documents(spark, sf_dir).filter("lang = 'en'").select(F.col("source").alias("stem")).distinct()
+    return chunks.join(only, "stem", "left_semi").select("file", "doc_ix", "chunk_id")
+
+
+def joined_pages(spark, sf_dir):
+    """Each file's pages joined in order, as before deep cleaning."""
+    return documents(spark, sf_dir).groupBy("source").agg(collect_joined("text", "doc_id", "\n").alias("text")).select("source", F.md5("text").alias("md5"), F.length("text").alias("n_chars"))
+
+
+def query_rewrite_asked(spark, sf_dir):
+    """Queries rewritten by the offline model, each distinct one asked once."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 7 > 0, F.col("text")).alias("user_query"))
+    return study.rewrite(asked, memo=shared_folder(spark)).select("item_id", "std_query")
+
+
+def memo_calls(spark, sf_dir):
+    """Two runs of calls over a memo: what it holds of each distinct text, and how many rows asked for it."""
+    folder = shared_folder(spark)
+    rows = documents(spark, sf_dir).select("doc_id", "text", messages("system text", F.col("text")).alias("asked"))
+    ask_once(rows.filter("doc_id % 2 = 0"), "asked", folder, max_tokens=64)
+    answered = ask_once(rows, "asked", folder, max_tokens=64)
+    counts = memo_table(spark, folder).read().agg(F.count(F.lit(1)).alias("n_memo"))
+    return answered.groupBy(F.md5("text").alias("md5"), F.col("answer.text").alias("said"), F.col("answer.tokens").alias("tokens")).agg(F.count(F.lit(1)).alias("n_rows")).join(F.broadcast(counts), F.lit(True))
+
+
+def boundary_type_counts(spark, sf_dir):
+    """How often each word type ends with a full stop: what sentence boundaries are learned from."""
+    return boundaries.type_counts(boundaries.words(documents(spark, sf_dir)))
+
+
+def abbreviations_learned(spark, sf_dir):
+    return boundaries.abbreviations(boundary_type_counts(spark, sf_dir)).select("type", F.round("score", 6).alias("score"))
+
+
 _NAMES = """topk_l2_lookup topk_left_lookup_fill topk_distance_stats topk_cosine topk_max_distance knn_join_multi_query hits_without_id context_block context_plain
 chunk_flatten hit_preview chunk_page chunk_sentence chunk_paragraph chunk_line chunk_fixed preclean_pdf preclean_markdown file_names manifest_diff manifest_counters
 manifest_upsert manifest_view manifest_health manifest_health_names chunks_per_file dedup_keep_first duplicate_report upload_anti_join upload_semi_join vector_upsert
 vector_prune empty_ids clean_unify_spaces clean_normalize_ws clean_strip_intro clean_strip_refs clean_footnotes clean_page_numbers clean_pipeline html_plain
 csv_cards_parse csv_cards_lines csv_cards_export dashboard_counts provider_route i18n_lookup prompt_card prompt_review prompt_messages template_column project_catalog
-line_counts embed_stub summarize_stub cards_stub query_rewrite""".split()
+line_counts embed_stub summarize_stub cards_stub query_rewrite card_table ivf_knn_all_lists ingest_manifest ingest_report chunk_page_files chunk_store_replace
+chunk_store_empty_ids vector_store_upsert only_files_semi_join joined_pages query_rewrite_asked memo_calls boundary_type_counts abbreviations_learned""".split()
 
 QUERIES = {name: globals()[name] for name in _NAMES}
