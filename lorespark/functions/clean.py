@@ -7,6 +7,8 @@ over one line end keeps its hyphen; that is part of the contract.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,23 +46,34 @@ def unify_spaces(text: Column | str) -> Column:
 
 
 def normalize_whitespace(text: Column | str) -> Column:
-    t = F.translate(col(text), "\u3000\u200b", " ")
+    wide = F.contains(col(text), F.lit("\u3000")) | F.contains(col(text), F.lit("\u200b"))
+    t = F.when(wide, F.translate(col(text), "\u3000\u200b", " ")).otherwise(col(text))
     t = F.regexp_replace(t, "\n{3,}", "\n\n")
-    t = F.regexp_replace(t, "(?<!\n)(?<![。！？.!?])\n(?!\n)", " ")
-    t = F.regexp_replace(t, r"(?U)(\w+)-\s*\n\s*(\w+)", "$1$2")
+    t = F.regexp_replace(t, "\n(?<!\n\n)(?<![。！？.!?]\n)(?!\n)", " ")  # the newline first: it is what is rare
+    t = F.when(F.contains(t, F.lit("-")), F.regexp_replace(t, r"(?U)(?<!\w)(\w++)-\s*\n\s*(\w+)", "$1$2")).otherwise(t)
     return join_lines(F.transform(lines(t), lambda x: squeeze(strip(x))))
 
 
+#: Lower-case parts of those words, one of which a line must hold to match: cheaper to look for than the patterns.
+BODY_PARTS = (("前言", "目"), ("tract", "摘要", "ntroduct"))
+
+
 def body_start(text: Column | str) -> Column:
     """Drops the lines before the first one that begins the body; text without such a line stays."""
     all_lines = lines(text)
 
-    def place(pattern: str) -> Column:
-        at = F.array_position(F.transform(all_lines, lambda x: x.rlike(pattern)), F.lit(True))
-        return F.nullif(at, F.lit(0).cast("long"))
+    def place(pattern: str, parts: tuple[str, ...]) -> Column:
+        def begins(x: Column) -> Column:
+            some = reduce(Column.__or__, [F.contains(F.lower(x), F.lit(w)) for w in parts])
+            return F.when(some, x.rlike(pattern)).otherwise(False)
+
+        return F.nullif(F.array_position(F.transform(all_lines, begins), F.lit(True)), F.lit(0).cast("long"))
+
+    def rest(at: Column) -> Column:
+        return F.when(at.isNull(), col(text)).otherwise(join_lines(F.slice(all_lines, at.cast("int"), F.size(all_lines))))
 
-    at = F.coalesce(*map(place, BODY_STARTS))
-    return F.when(at.isNull(), col(text)).otherwise(join_lines(F.slice(all_lines, at.cast("int"), F.size(all_lines))))
+    # the place is bound once, else each use of it would look for it again
+    return F.element_at(F.transform(F.array(F.coalesce(*map(place, BODY_STARTS, BODY_PARTS))), rest), 1)
 
 
 def is_reference(line: Column) -> Column:

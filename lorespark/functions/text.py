@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\x1c-\x1f]"
+#: White space: Unicode's, and the four separators that count as such beside it. Fixed values.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def col(c: Column | str) -> Column:
@@ -21,12 +22,12 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """White space off both ends."""
-    return F.regexp_replace(col(c), rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def blank(c: Column | str) -> Column:
     """True for null, empty and white-space-only text."""
-    return F.coalesce(strip(c) == "", F.lit(True))
+    return F.coalesce(~col(c).rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(True))
 
 
 def empty(c: Column | str) -> Column:
