@@ -352,8 +352,9 @@ def _by_group(links):
 
 
 def _choices(budget: int, rows: int) -> list[int]:
-    """Masks of the bits that are held equal: all choices of m out of budget + m ranges."""
-    m = 1
+    """Masks of the bits that are held equal: all choices of m out of budget + m ranges; wide budgets begin with two, so
+    that small and large tables are dealt out alike."""
+    m = 1 if budget <= BUDGET else 2
     while rows / 2 ** (BITS * m / (budget + m)) > GROUP and m < 4:
         m += 1
     edges = [round(BITS * i / (budget + m)) for i in range(budget + m + 1)]
@@ -441,13 +442,20 @@ def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return docs.select(*row_key(), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(lean(drawn), ", ".join(f"{n} long" for n in [*ROW, *longs]))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written once; what the driver held of the plans before it goes."""
+    out = materialize(df)
+    tidy(df.sparkSession)
+    return out
+
+
 def _alike(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(u, v) of the links (a, b) of nodes whose shingle sets reach the similarity: |both| / |either|, 1 for two empty sets."""
     ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = materialize(nodes.join(ids.hint("merge"), "id", "left_semi").select("id", "first.*"))
+    held = _cut(nodes.join(ids.hint("merge"), "id", "left_semi").select("id", "first.*"))
     texts = join_rows(docs, held, "left_semi").select(*row_key(), F.col("text").cast("string").cast("binary").alias("text")).dropDuplicates(ROW)
     of = held.select("id", *[F.col(c).alias(f"{c}_of") for c in ROW])
-    sets = materialize(shingle_sets(texts.join(of.hint("merge"), [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in ROW]).select("id", "text"), shingle))
+    sets = _cut(shingle_sets(texts.join(of.hint("merge"), [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in ROW]).select("id", "text"), shingle))
     left, right = (sets.select(F.col("id").alias(f"{k}_id"), F.col("shingles").alias(f"in_{k}")).hint("merge") for k in ("a", "b"))
     paired = links.join(left, links.a == F.col("a_id")).join(right, links.b == F.col("b_id"))
     both = F.size(F.array_intersect("in_a", "in_b"))
@@ -461,44 +469,42 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     Groups are the components of the links: all pairs within the budget in one
     of the fingerprints whose shingle sets reach the similarity.
     """
-    prints = materialize(sketches(docs, shingle))
+    prints = _cut(sketches(docs, shingle))
     same, drawing = [*PRINTS, "hi", "lo"], ["size", *_SKETCH]
     first = F.min(F.struct(F.col(ROW[0]).isNull().alias("none"), *ROW)).alias("first")
     nodes = prints.groupBy(*same).agg(first, *[F.first(c).alias(c) for c in drawing])
-    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()))
+    nodes = _cut(nodes.withColumn("id", F.monotonically_increasing_id()))
     each = F.posexplode(F.array(*PRINTS)).alias("which", "fp")
-    leaves = materialize(nodes.select("id", each).groupBy("which", "fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")))
-    forest = materialize(trie_self_join(leaves.select("which", "fp"), budget, len(PRINTS)))
+    leaves = _cut(nodes.select("id", each).groupBy("which", "fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")))
+    forest = _cut(trie_self_join(leaves.select("which", "fp"), budget, len(PRINTS)))
     # one kind's forest is enough to find most classes; the pairs of all kinds follow
     firsts = leaves.filter("which = 0")
     one, two = (firsts.select(F.col("fp").alias(k), F.col("first_id").alias(f"of_{k}")).hint("merge") for k in ("u", "v"))
     across = forest.filter("which = 0").join(one, "u").join(two, "v").select(F.col("of_u").alias("a"), F.col("of_v").alias("b"))
     links = across.unionByName(nodes.join(firsts.hint("merge"), nodes[PRINTS[0]] == firsts.fp).filter("id > first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b")))
-    links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
-    alike = materialize(_alike(docs, nodes, links, shingle, similarity))
+    links = _cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+    alike = _cut(_alike(docs, nodes, links, shingle, similarity))
     classes = components(alike)
-    tidy(docs.sparkSession)
     near = forest.select(F.col("which").alias("kind"), F.explode(F.array("u", "v")).alias("near")).unionByName(leaves.filter("n > 1").select(F.col("which").alias("kind"), F.col("fp").alias("near"))).distinct()
     near = nodes.select("id", *drawing, each).join(near.hint("merge"), (F.col("which") == F.col("kind")) & (F.col("fp") == F.col("near")), "left_semi")
-    near = materialize(near.select("which", "fp", "id", *drawing))
+    near = _cut(near.select("which", "fp", "id", *drawing))
 
     def untested(nearest: bool) -> DataFrame:
         known = classes.select("node", F.col("root").alias("of")).hint("merge")
-        held = materialize(near.join(known, near.id == known.node, "left").select("which", "fp", "id", F.coalesce("of", "id").alias("class"), *drawing))
+        held = _cut(near.join(known, near.id == known.node, "left").select("which", "fp", "id", F.coalesce("of", "id").alias("class"), *drawing))
         pairs = trie_pairs(held, budget, similarity, len(PRINTS), nearest).select(F.col("u").alias("a"), F.col("v").alias("b"), "apart")
         return pairs.join(links.hint("merge"), ["a", "b"], "left_anti")
 
     def joined(tested: DataFrame) -> DataFrame:
         stars = classes.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        return components(materialize(stars.unionByName(_alike(docs, nodes, tested, shingle, similarity))))
+        return components(_cut(stars.unionByName(_alike(docs, nodes, tested, shingle, similarity))))
 
     # each document's nearest first: the pairs inside what they connect are never made
     best = untested(nearest=True).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best"))
-    best = materialize(best.select("a", F.col("best.b").alias("b")))
+    best = _cut(best.select("a", F.col("best.b").alias("b")))
     classes = joined(best)
-    tidy(docs.sparkSession)
-    classes = joined(materialize(untested(nearest=False).select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti")))
-    grouped = materialize(nodes.join(classes.hint("merge"), nodes.id == classes.node, "left").select(*same, "first", F.coalesce("root", "id").alias("root")))
+    classes = joined(_cut(untested(nearest=False).select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti")))
+    grouped = _cut(nodes.join(classes.hint("merge"), nodes.id == classes.node, "left").select(*same, "first", F.coalesce("root", "id").alias("root")))
     best = grouped.groupBy("root").agg(F.min("first").alias("best")).select(F.expr("root | 0L").alias("r"), "best")
     named = grouped.join(best.hint("merge"), grouped.root == best.r).select(*same, "best")
     judged = prints.select(*ROW, *same).join(named.hint("merge"), same)
