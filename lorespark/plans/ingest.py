@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from lorespark import schemas
 from lorespark.functions.clean import clean_stages
 from lorespark.functions.text import collect_joined, suffix
 from lorespark.operators import chunking, dedup, manifest
@@ -21,26 +22,32 @@ def process(project: stores.Project, method: Method = Method.SENTENCE, size: int
 
     Hashes decide what is loaded; a file that fails to load keeps its old
     chunks and entry and is counted. Chunks of each processed file are replaced,
-    then the manifest is written as one new version.
+    then the manifest is written as one new version. Files are read once: their
+    pages are staged in the project's folder, and the counters are observed on
+    that write.
     """
     if force:
         project.truncate()
-    found = loaders.scan(project.spark, project.raw) if files is None else files
+    spark, staging = project.spark, f"staging/{uuid.uuid4().hex}"
+    where, seen = f"{project.path}/{staging}", Observation()
+    found = loaders.scan(spark, project.raw) if files is None else files
     hashed = found.withColumn("hash", manifest.content_hash("content"))
-    state = manifest.diff(hashed, project.manifest.read(), force)
-    changed = state.filter("state = 'changed'")
-    pages = loaders.load(changed).persist(StorageLevel.DISK_ONLY)
-    bad = pages.filter("error is not null").select("file").distinct()
-    cleaned = pages.filter("error is null").withColumn("text", chunking.preclean("text", suffix("file")))
-    chunks = chunking.chunk(cleaned, method, size, overlap, compat_ids).persist(StorageLevel.DISK_ONLY)
-    done = changed.join(bad, "file", "left_anti").select("file", "hash").persist(StorageLevel.DISK_ONLY)
-    stores.replace_chunks(chunks, done.select("file"), project.chunks)
-    project.manifest.replace(manifest.upsert(project.manifest.read(), manifest.entries(done, chunks, method.value, now)))
-    outcome = state.select("file", "state").join(bad.withColumn("failed", F.lit(True)), "file", "left")
-    report = manifest.counters(outcome).collect()
-    for held in (pages, chunks, done):
-        held.unpersist()
-    return project.spark.createDataFrame(report, "total long, processed long, skipped long, failed long")
+    state = manifest.diff(hashed, project.manifest.read(), force).observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(F.col("state") != "changed").alias("skipped"))
+    try:
+        loaders.load(state.filter("state = 'changed'"), keep=("hash",)).write.parquet(f"{where}/pages")
+        pages = spark.read.schema(f"{schemas.PAGE}, hash string").parquet(f"{where}/pages")
+        bad = pages.filter("error is not null").select("file").distinct()
+        cleaned = pages.filter("error is null").withColumn("text", chunking.preclean("text", suffix("file")))
+        chunking.chunk(cleaned, method, size, overlap, compat_ids).write.parquet(f"{where}/chunks")
+        chunks = spark.read.schema(schemas.CHUNK_ROW).parquet(f"{where}/chunks")
+        done = pages.join(bad, "file", "left_anti").select("file", "hash").distinct()
+        stores.replace_chunks(chunks, done.select("file"), project.chunks)
+        project.manifest.replace(manifest.upsert(project.manifest.read(), manifest.entries(done, chunks, method.value, now)))
+        failed, counted = bad.count(), seen.get
+    finally:
+        stores.Files(spark, project.path).delete(staging)
+    report = (counted["total"], counted["total"] - counted["skipped"] - failed, counted["skipped"], failed)
+    return spark.createDataFrame([report], "total long, processed long, skipped long, failed long")
 
 
 def embed_chunks(project: stores.Project, make: Callable = HashEmbedder, only: DataFrame | None = None, prune: bool = False) -> None:

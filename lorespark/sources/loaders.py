@@ -166,7 +166,7 @@ def load(files: DataFrame, loaders: dict[str, Callable[[bytes], Pages]] | None =
                 rows = []
                 for name, ext, content, *kept in zip(*(c.to_pylist() for c in batch.slice(lo, FILES_PER_BATCH).columns)):
                     try:
-                        pages = registry[ext](content or b"")
+                        pages = registry[ext](content or b"") or [None]  # a file without pages is a row, too
                     except Exception as e:  # noqa: BLE001 - one bad file is a row, not the end of the job
                         rows.append((name, 0, None, None, f"{type(e).__name__}: {e}", *kept))
                         continue

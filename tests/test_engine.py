@@ -295,6 +295,28 @@ def test_knn_join_is_exact(spark, sf_dir):
     assert blocks == got
 
 
+def test_files_are_read_once_and_counters_agree(project):
+    """One scan of the folder's contents; the observed counters are the manifest's."""
+    reads = project.spark.sparkContext.accumulator(0)
+
+    def counting(content):
+        reads.add(1)
+        return loaders.load_text(content)
+
+    files = loaders.scan(project.spark, project.raw).filter("ext = '.txt'")
+    before = dict(loaders.LOADERS)
+    try:
+        loaders.LOADERS[".txt"] = counting
+        report = ingest.process(project, Method.SENTENCE, files=files).first()
+    finally:
+        loaders.LOADERS.update(before)
+    assert tuple(report) == (2, 2, 0, 0) and reads.value == 2
+    assert project.manifest.read().count() == report.processed
+    assert not stores.Files(project.spark, f"{project.path}/staging").folders()
+    assert tuple(ingest.process(project, Method.SENTENCE, files=files).first()) == (2, 0, 2, 0)
+    assert tuple(ingest.process(project, Method.SENTENCE, files=files.limit(0)).first()) == (0, 0, 0, 0)
+
+
 def test_versioned_table(spark, tmp_path):
     t = stores.VersionedTable(spark, str(tmp_path / "t"), schemas.MANIFEST)
     assert t.read().count() == 0
