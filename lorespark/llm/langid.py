@@ -65,7 +65,9 @@ SCRIPTS = {
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F)],
 }
 NAMES = [*SCRIPTS, "other"]
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters that are numerals and no letters: fractions, superscripts, Roman and circled numbers.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 
 
 def script_of(char: str) -> int:

@@ -728,6 +728,25 @@ def test_language_held_out(spark):
     assert {s[2] for s in spans(mixed, model)} >= {"en", "de"}
 
 
+def test_words_are_letters_only():
+    """A word's characters have one of Unicode's letter categories, and all of those are words."""
+    import unicodedata
+
+    from lorespark.llm.langid import words_of
+
+    assert words_of("½ ② ² Ⅷ ٣ x² 一二 é") == ["x", "一二", "é"]
+    for c in map(chr, [*range(0x3000), *range(0x1F000, 0x1F800)]):
+        assert bool(words_of(c)) == any(unicodedata.category(x)[0] == "L" for x in c.lower()), c
+
+
+def test_numerals_have_no_language(make):
+    from lorespark.llm.langid import evaluate
+
+    data = [(i, "the cat sat on the mat and the dog", "en") for i in range(9)] + [(i, "der hund und die katze sind im haus", "de") for i in range(9, 18)] + [(20, "½ ② ²", "en"), (21, "12 345 !", "en"), (22, None, "de")]
+    out = {r.doc_id: (r.lang_pred, r.score) for r in evaluate(make(data)).collect()}
+    assert out[20] == out[21] == out[22] == ("und", 0.0) and out[0][0] == "en" and out[9][0] == "de"
+
+
 def test_language_odd(clashing, make):
     from lorespark.llm.langid import Model, evaluate, predict
 
