@@ -21,7 +21,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable
 
-from lorespark.providers import PREFIXES, DEFAULT_PROVIDER, Answer, Chat, endpoint
+from lorespark.providers import DEFAULT_PROVIDER, EMBED_MODEL, PREFIXES, Answer, Chat, endpoint
 
 RETRY = {408, 409, 429, 500, 502, 503, 504, 529}
 
@@ -59,15 +59,15 @@ class HttpChat:
         self.tries, self.pause, self.timeout = tries, pause, timeout
         self.bucket = TokenBucket(self.base, rate, burst)
 
-    def __call__(self, messages: list[dict[str, str]], model: str, max_tokens: int, temperature: float) -> Answer:
-        body = json.dumps({"model": model, "messages": messages, "max_tokens": max_tokens, "temperature": temperature}).encode()
+    def post(self, path: str, body: dict, read: Callable):
+        """(what ``read`` makes of the answer, None), or (None, the last error)."""
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        error = None
         for attempt in range(self.tries):
             self.bucket.take()
             try:
-                with urllib.request.urlopen(urllib.request.Request(f"{self.base.rstrip('/')}/chat/completions", body, headers), timeout=self.timeout) as got:
-                    said = json.load(got)
-                return Answer(True, said["choices"][0]["message"]["content"], int((said.get("usage") or {}).get("total_tokens") or 0))
+                with urllib.request.urlopen(urllib.request.Request(f"{self.base.rstrip('/')}{path}", json.dumps(body).encode(), headers), timeout=self.timeout) as got:
+                    return read(json.load(got)), None
             except urllib.error.HTTPError as e:
                 error, asked = f"HTTP {e.code}", e.headers.get("Retry-After")
                 with contextlib.closing(e):
@@ -78,7 +78,28 @@ class HttpChat:
             if attempt + 1 < self.tries:
                 own = self.pause * 2**attempt * random.uniform(0.5, 1.5)
                 time.sleep(float(asked) if asked and asked.replace(".", "", 1).isdigit() else own)
-        return Answer(False, None, 0, error)
+        return None, error
+
+    def __call__(self, messages: list[dict[str, str]], model: str, max_tokens: int, temperature: float) -> Answer:
+        body = {"model": model, "messages": messages, "max_tokens": max_tokens, "temperature": temperature}
+        read = lambda said: Answer(True, said["choices"][0]["message"]["content"], int((said.get("usage") or {}).get("total_tokens") or 0))
+        found, error = self.post("/chat/completions", body, read)
+        return found or Answer(False, None, 0, error)
+
+
+class HttpEmbedder:
+    """Embeddings of one provider over HTTP, many texts a call; a call that keeps failing raises, which ``embed`` takes for no vectors."""
+
+    def __init__(self, model: str = EMBED_MODEL, provider: str = DEFAULT_PROVIDER, api_key: str | None = None, base_url: str | None = None, **how):
+        self.model, self.calls = model, HttpChat(provider, api_key, base_url, **how)
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        if not texts:
+            return []
+        found, error = self.calls.post("/embeddings", {"model": self.model, "input": texts}, lambda said: [x["embedding"] for x in sorted(said["data"], key=lambda x: x["index"])])
+        if found is None or len(found) != len(texts):
+            raise OSError(error or "another number of vectors than of texts")
+        return found
 
 
 #: What makes a provider's client from (provider, api_key, base_url).

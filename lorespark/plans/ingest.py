@@ -65,8 +65,8 @@ def embed_chunks(project: stores.Project, make: Callable = HashEmbedder, only: D
 
 
 def extract_texts(spark, folder: str, out: str) -> DataFrame:
-    """Deep cleaning: each file's pages joined in order, cleaned, and written as one text per stem; gives (file, error) of failures."""
+    """Deep cleaning: each file's pages joined in order, cleaned, and written as one text per stem; gives (file, error) of failures, in the order of their names."""
     pages = loaders.load(loaders.scan(spark, folder).filter(loaders.supported("ext")))
     good = pages.filter("error is null").groupBy("file").agg(collect_joined("text", "doc_ix", "\n").alias("text"))
     stores.write_texts(clean_stages(good).select("file", F.col("cleaned").alias("text")), out)
-    return pages.filter("error is not null").select("file", "error")
+    return pages.filter("error is not null").select("file", "error").orderBy("file")

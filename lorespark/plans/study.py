@@ -64,7 +64,9 @@ def card_prompt(context: Column, query: Column | str, card_type: str = "qa", dif
 
 
 def make_cards(spark: SparkSession, query: str, vectors: DataFrame, chunks: DataFrame, make: Callable = EchoChat, embedder: Callable = HashEmbedder, k: int = 10, optimize: bool = True, model: str = "gpt-4o-mini", **card) -> DataFrame:
-    """One row with ``answer``: the cards' CSV text about ``query``. Raises if nothing relevant is found."""
+    """One row with ``answer``: the cards' CSV text about ``query``. Raises without a query, and if nothing relevant is found."""
+    if not (query or "").strip():
+        raise ValueError("a query is needed")
     std = study_rewrite(spark.createDataFrame([(query,)], "user_query string"), make=make, optimize=optimize).first().std_query
     found, _ = search(vectors, std, k, embedder)
     context = retrieval.context_plain(retrieval.lookup(found, chunks)).first().context

@@ -30,6 +30,7 @@ PROVIDERS = {
 }
 PREFIXES = {"gpt-": "openai", "claude-": "openai", "qwen": "qwen"}
 DEFAULT_PROVIDER = "openai"
+EMBED_MODEL = "text-embedding-3-large"
 RESULT = "struct<ok: boolean, text: string, tokens: bigint, error: string>"
 
 

@@ -25,6 +25,11 @@ def service():
     class Handler(BaseHTTPRequestHandler):
         def do_POST(self):
             asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if self.path.endswith("/embeddings"):
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(json.dumps({"data": [{"index": i, "embedding": [len(t), float(asked["model"] == "m")]} for i, t in enumerate(asked["input"])][::-1]}).encode())
+                return
             said = asked["messages"][-1]["content"].strip("#")
             with lock:
                 seen.append((said, asked["model"], self.headers.get("Authorization"), time.monotonic()))
@@ -111,3 +116,15 @@ def test_registry(monkeypatch):
     http_chat.register("qwen", lambda provider, api_key, base_url: lambda *_: Answer(True, provider, 1))
     assert http_chat.routed()()(one("x"), "qwen-max", 1, 0.0).text == "qwen"
     assert isinstance(http_chat.client("openai", "k", "http://own"), http_chat.HttpChat) and http_chat.client("openai", "k", "http://own").base == "http://own"
+
+
+def test_embeddings_over_http(spark, service):
+    from lorespark.providers import embed
+
+    url, _, _ = service
+    assert http_chat.HttpEmbedder("m", base_url=url)(["a", "bcd"]) == [[1, 1.0], [3, 1.0]] and http_chat.HttpEmbedder(base_url=url)([]) == []
+    rows = spark.createDataFrame([("ab",), (None,), ("abcd",)], "t string")
+    got = embed(rows, "t", lambda: http_chat.HttpEmbedder("m", base_url=url)).collect()
+    assert [r.vector for r in got] == [[2.0, 1.0], None, [4.0, 1.0]]
+    down = embed(rows, "t", lambda: http_chat.HttpEmbedder("m", base_url="http://127.0.0.1:9", tries=1)).collect()
+    assert [r.vector for r in down] == [None] * 3
