@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.text import suffix
 from lorespark.schemas import PAGE
+from lorespark.sources.compound import load_doc, load_xls
 from lorespark.sources.pdf import load_pdf
 
 Pages = list[str]
@@ -119,12 +120,8 @@ def load_xlsx(content: bytes) -> Pages:
     return ["\n".join(rows)]
 
 
-def unsupported(content: bytes) -> Pages:
-    raise RuntimeError("binary Office files from before 2007 cannot be read; convert them")
-
-
 LOADERS: dict[str, Callable[[bytes], Pages]] = {
-    ".pdf": load_pdf, ".txt": load_text, ".text": load_text, ".docx": load_docx, ".doc": unsupported, ".xlsx": load_xlsx, ".xls": unsupported,
+    ".pdf": load_pdf, ".txt": load_text, ".text": load_text, ".docx": load_docx, ".doc": load_doc, ".xlsx": load_xlsx, ".xls": load_xls,
     ".html": load_html, ".htm": load_html, ".md": load_markdown, ".markdown": load_markdown,
 }
 SPREADSHEETS = [".xls", ".xlsx"]

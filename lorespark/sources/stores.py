@@ -23,7 +23,7 @@ from lorespark.sources.files import Files
 CHUNK_FILES = "*_chunks.json"
 #: The columns of a chunk store.
 CHUNK_COLUMNS = [c.split(" ", 1)[0] for c in schemas.CHUNK_ROW.split(", ")]
-#: What the upload form accepts, fewer than the loaders.
+# What the upload form accepts, fewer than the loaders.
 UPLOADS = [".pdf", ".md", ".markdown", ".text", ".txt", ".docx", ".xlsx", ".html"]
 
 

@@ -328,4 +328,4 @@ def test_versioned_table(spark, tmp_path):
 def test_run_report_adds_up(spark):
     outcome = spark.createDataFrame([("changed", None), ("changed", True), ("unchanged", None), ("unsupported", None)], "state string, failed boolean")
     assert tuple(manifest.counters(outcome).first()) == (4, 1, 2, 1)
-    assert loaders.load(spark.createDataFrame([("x.doc", ".doc", bytearray(b"x"))], "file string, ext string, content binary")).first().error.startswith("RuntimeError")
+    assert loaders.load(spark.createDataFrame([("x.doc", ".doc", bytearray(b"x"))], "file string, ext string, content binary")).first().error.startswith("BadFile")
