@@ -5,7 +5,7 @@ space where the hash's top bits are zero, so cuts depend on the 16 bytes before
 them alone and an insertion moves no cut beyond the chunk or two it touches.
 Scripts written without white space (Chinese, Japanese, Thai and others) are
 cut between code points, as often as words are; other text without white space
-where a rarer pattern comes. A chunk is known by its 128-bit digest; its first occurrence, that of
+where a rarer pattern comes. A chunk is known by 80 bits of its digest; its first occurrence, that of
 the smallest doc_id and there the earliest, stays, all later ones are repeats.
 Neighbouring repeats join to spans, and spans of at least ``MIN_WORDS`` words
 count: chunks lose a few words at either end of a repeated passage, so a
