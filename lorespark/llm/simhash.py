@@ -351,10 +351,8 @@ def _by_group(links):
     return join
 
 
-def _choices(budget: int, rows: int) -> list[int]:
-    """Masks of the bits that are held equal: all choices of m out of budget + m ranges; wide budgets begin with two, so
-    that small and large tables are dealt out alike."""
-    m = 1 if budget <= BUDGET else 2
+def _choices(budget: int, rows: int, m: int = 1) -> list[int]:
+    """Masks of the bits that are held equal: all choices of m or more out of budget + m ranges."""
     while rows / 2 ** (BITS * m / (budget + m)) > GROUP and m < 4:
         m += 1
     edges = [round(BITS * i / (budget + m)) for i in range(budget + m + 1)]
@@ -377,7 +375,8 @@ def trie_self_join(distinct: DataFrame, budget: int = BUDGET, kinds: int = 1) ->
 
     ``distinct``: which (0 to ``kinds`` - 1) and fp, materialised beforehand.
     """
-    masks = _choices(budget, distinct.count() // kinds)
+    # wide budgets begin with two held ranges, so that small and large tables are dealt out alike; the rows are narrow
+    masks = _choices(budget, distinct.count() // kinds, 1 if budget <= BUDGET else 2)
     return _deal(distinct, masks, _forest_links(budget, len(masks)), "which long, u long, v long")
 
 
