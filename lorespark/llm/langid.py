@@ -66,8 +66,8 @@ SCRIPTS = {
 }
 NAMES = [*SCRIPTS, "other"]
 #: Word characters that are numerals and no letters: fractions, superscripts, Roman and circled numbers.
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+NUMERALS = frozenset(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def script_of(char: str) -> int:
@@ -81,9 +81,18 @@ def script_of(char: str) -> int:
 _script = lru_cache(maxsize=65536)(script_of)
 
 
+def lettered(text: str | None) -> str:
+    """The text in lower case, with a mark for each numeral; a pattern would go through the ranges of them all at every character."""
+    lower = (text or "").lower()
+    if not lower.isascii():
+        for numeral in NUMERALS.intersection(lower):
+            lower = lower.replace(numeral, "_")
+    return lower
+
+
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, lower-cased."""
-    return _LETTERS.findall((text or "").lower())
+    return _LETTERS.findall(lettered(text))
 
 
 def grams(word: str) -> list[str]:
@@ -208,7 +217,7 @@ def spans(text: str | None, model: Model) -> list[tuple[int, int, str]]:
     """(start, end, language) of the spans of one text, in code points from first to last letter."""
     _, _, labels = label_words([text], WordScores(model))
     out: list[tuple[int, int, str]] = []
-    for m, k in zip(_LETTERS.finditer((text or "").lower()), labels.tolist()):
+    for m, k in zip(_LETTERS.finditer(lettered(text)), labels.tolist()):
         if out and out[-1][2] == model.langs[k]:
             out[-1] = (out[-1][0], m.end(), out[-1][2])
         else:

@@ -962,3 +962,15 @@ def test_encoder_equals_tokenizer(spark):
     texts += ["don't I'LL ''re we've", "naïve façade ÀÉÎ ß ÿ ª º µ ² ½ ×÷", "a\r\nb\tc\x0bd\x85e", "<|startoftext|> <| |>", "Σίσυφος ΣΑΣ ǅ İ", "é ́x"]
     want = [np.array(e.ids, "<u4").tobytes() for e in encode._tok.encode_batch(texts, add_special_tokens=False)]
     assert encode.encode(texts) == want
+
+
+def test_words_are_split_in_time(make):
+    """Numerals cost no pass over all their ranges at every character."""
+    import time
+
+    from lorespark.llm.langid import words_of
+
+    text = "où été 12 x² " * 40_000
+    began = time.process_time()
+    assert len(words_of(text)) == 120_000
+    assert time.process_time() - began < 0.35
