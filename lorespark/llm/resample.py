@@ -42,8 +42,10 @@ SEED = 2024
 MIN_WORDS = 20
 #: Of the documents with ``MIN_WORDS`` words, so many in a hundred are drawn.
 PERCENT = 10
-#: Documents of a block of the matrix, and features after which a block closes.
-BLOCK_DOCS, BLOCK_FEATURES = 2_048, 1 << 20
+#: Documents of a block of the matrix, and its entries after which a block closes.
+BLOCK_DOCS, BLOCK_FEATURES = 2_048, 1 << 16
+#: Bytes of a row group of the written matrix; a reader unpacks a whole one, to several times that.
+ROW_GROUP = 4 << 20
 #: Features whose buckets a worker keeps.
 CACHE = 400_000
 #: Gains and noise are in thousandths.
@@ -87,7 +89,7 @@ def write_counts(docs: DataFrame, where: str, key: str = "doc_id", buckets: int
                 starts.append(starts[-1] + len(found))
                 cols.append(found)
                 times.append(n)
-                size += len(runs)
+                size += len(found)
                 if len(ids) >= BLOCK_DOCS or size >= BLOCK_FEATURES:
                     yield out()
                     block += 1
@@ -96,7 +98,9 @@ def write_counts(docs: DataFrame, where: str, key: str = "doc_id", buckets: int
             yield out()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(lean(counted), CSR)
-    rows.write.option("compression", "zstd").parquet(where)
+    # the writer looks at a group's size after so many rows, and a row is a whole block
+    sizes = {"parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 4, "parquet.block.size.row.check.max": 32, "parquet.page.size.row.check.min": 4}
+    rows.write.options(compression="zstd", **sizes).parquet(where)
     return docs.sparkSession.read.schema(CSR).parquet(where)
 
 

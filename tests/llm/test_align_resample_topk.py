@@ -207,3 +207,19 @@ def test_grid_covers_every_pair():
     for n, q, tasks in ((1, 1, 1), (0, 0, 4), (10_000, 200, 8), (10**9, 2 * 10**7, 1000)):
         down, across = topk.grid(n, q, tasks)
         assert down >= 1 and across >= 1 and down * across >= tasks
+
+
+def test_blocks_of_the_count_matrix_are_small(spark, tmp_path):
+    """A reader unpacks a row group at once, so its numbers must be few, however large a task's texts are."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from lorespark.llm import resample
+
+    docs = spark.range(300).repartition(1).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 3000), x -> concat('w', x * 7919 + id * 104729))) as text")
+    matrix = resample.write_counts(docs, str(tmp_path / "m"))
+    assert matrix.selectExpr("max(size(buckets))").first()[0] < 2 * (1 << 16)
+    assert matrix.selectExpr("sum(aggregate(words, 0L, (s, x) -> s + x))").first()[0] == 900_000
+    groups = [pq.ParquetFile(f).metadata.row_group(i).total_byte_size for f in glob.glob(str(tmp_path / "m/*.parquet")) for i in range(pq.ParquetFile(f).num_row_groups)]
+    assert max(groups) < 2 * resample.ROW_GROUP
