@@ -83,17 +83,36 @@ class EchoChat:
 
 
 class HashEmbedder:
-    """Offline: a unit vector of signed hashed words."""
+    """Offline: a unit vector of signed hashed words; where they cancel out, that of the first word. Without words it is zero.
 
-    def __init__(self, size: int = 64):
-        self.size = size
+    A word's place and sign are kept, up to ``KNOWN`` words. With ``ascii`` only ASCII letters, digits and _ make words.
+    """
+
+    KNOWN = 200_000
+
+    def __init__(self, size: int = 64, ascii: bool = False):
+        self.size, self.ascii, self.known = size, ascii, {}
+        self.words = re.compile(r"\w+", re.ASCII if ascii else 0)
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Each word's component, those of negative sign after all others."""
+        if len(self.known) > self.KNOWN:
+            self.known.clear()
+        for word in set(words).difference(self.known):
+            h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
+            self.known[word] = h % self.size + (0 if h >> 63 else self.size)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.size))
         for row, text in zip(out, texts):
-            for word in re.findall(r"\w+", text.lower()):
-                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
-                row[h % self.size] += 1 if h >> 63 else -1
+            # words are found before letters are lowered, which may turn others into ASCII ones
+            words = [w.lower() for w in self.words.findall(text)] if self.ascii else self.words.findall(text.lower())
+            for counted in (words, words[:1]):
+                found = np.bincount(self._places(counted), minlength=2 * self.size)
+                row[:] = found[: self.size] - found[self.size :]
+                if row.any():
+                    break
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm == 0, 1, norm)).astype(np.float32).tolist()
 

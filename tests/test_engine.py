@@ -7,6 +7,7 @@ import json
 import time
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,3 +330,28 @@ def test_run_report_adds_up(spark):
     outcome = spark.createDataFrame([("changed", None), ("changed", True), ("unchanged", None), ("unsupported", None)], "state string, failed boolean")
     assert tuple(manifest.counters(outcome).first()) == (4, 1, 2, 1)
     assert loaders.load(spark.createDataFrame([("x.doc", ".doc", bytearray(b"x"))], "file string, ext string, content binary")).first().error.startswith("BadFile")
+
+
+def test_embedding_of_words_that_cancel_out(spark, tmp_path):
+    """As the query's SQL says: a text with an ASCII word has length 1, all others, null ones too, 0."""
+    import duckdb
+
+    from lorespark.plans.oracle import ORACLE_SQL
+    from lorespark.plans.queries import QUERIES
+
+    opposite = next(f"w{i}" for i in range(10_000) if np.allclose(HashEmbedder()([f"w{i}"])[0], -np.array(HashEmbedder()(["word"])[0])))
+    texts = [f"word {opposite}", None, "", " ... ", "été", "é", "漢字", "İ", "K", "a_1", "_", "two words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = duckdb.sql(ORACLE_SQL["embed_stub"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, QUERIES["embed_stub"](spark, str(tmp_path)).collect())) == sorted(want)
+    assert abs(np.linalg.norm(HashEmbedder()([texts[0]])[0]) - 1) < 1e-6 and any(HashEmbedder()(["é"])[0])
+
+
+def test_embedder_keeps_words():
+    """Each word is hashed once."""
+    import hashlib
+    from unittest import mock
+
+    with mock.patch("lorespark.providers.hashlib.md5", wraps=hashlib.md5) as hashed:
+        HashEmbedder()(["a b a", "b a c"] * 100)
+    assert hashed.call_count == 3
