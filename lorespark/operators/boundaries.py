@@ -30,6 +30,8 @@ SURE = 0.99
 #: Types of each kind that a splitter holds; the surest are taken.
 HELD = 5_000
 MARK = "\x01"
+#: Runs of Unicode's white space, by name: faster than ``(?U)\\s+``.
+SPACES = r"[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 NUMBER = "##number##"
 LEARNED = "kind string, first string, second string, score double"
 
@@ -52,9 +54,10 @@ def _stopped(word: Column) -> Column:
 
 def words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(type, stopped, next, upper) of every word: its type, whether a full stop ends it, the next word's type in the same text and whether that begins with a capital."""
-    parts = F.filter(F.split(text, r"(?U)\s+", -1), lambda w: _type(w) != "")
-    following = lambda p, i: F.get(p, i + 1)
-    seen = F.transform(F.col("parts"), lambda w, i: F.struct(_type(w).alias("type"), _stopped(w).alias("stopped"), _type(following(F.col("parts"), i)).alias("next"), _trimmed(following(F.col("parts"), i)).rlike(r"^\p{Lu}").alias("upper")))
+    told = F.transform(F.split(text, SPACES, -1), lambda w: F.struct(_type(w).alias("type"), _stopped(w).alias("stopped"), _trimmed(w).rlike(r"^\p{Lu}").alias("upper")))
+    parts = F.filter(told, lambda w: w["type"] != "")
+    following = lambda i: F.get(F.col("parts"), i + 1)
+    seen = F.transform(F.col("parts"), lambda w, i: F.struct(w["type"].alias("type"), w["stopped"].alias("stopped"), following(i)["type"].alias("next"), following(i)["upper"].alias("upper")))
     return docs.filter(F.col(text).isNotNull()).select(parts.alias("parts")).select(F.explode(seen).alias("w")).select("w.*")
 
 
@@ -63,6 +66,13 @@ def type_counts(seen: DataFrame) -> DataFrame:
     return seen.groupBy("type").agg(F.count_if("stopped").alias("with_stop"), F.count_if(~F.col("stopped")).alias("without_stop"))
 
 
+def count_types(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``type_counts`` of all words of the texts: equal words are counted first, so that each is looked at once."""
+    each = docs.filter(F.col(text).isNotNull()).select(F.explode(F.split(text, SPACES, -1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    typed = each.select(_type(F.col("word")).alias("type"), _stopped(F.col("word")).alias("stopped"), "n").filter("type <> ''")
+    return typed.groupBy("type").agg(F.sum(F.when(F.col("stopped"), F.col("n")).otherwise(0)).alias("with_stop"), F.sum(F.when(F.col("stopped"), 0).otherwise(F.col("n"))).alias("without_stop"))
+
+
 def abbreviations(counts: DataFrame) -> DataFrame:
     """(type, score) of every type that is an abbreviation by its counts."""
     total = counts.agg(F.sum(F.col("with_stop") + F.col("without_stop")).alias("n"), F.sum("with_stop").alias("stops"))
@@ -86,7 +96,7 @@ def _ratio(ab: Column, a: Column, b: Column, n: Column) -> Column:
 def learn(docs: DataFrame, text: str = "text") -> DataFrame:
     """The table of what was learned (``LEARNED``): abbreviations, starters and collocations with their scores."""
     seen = words(docs, text)
-    counts = type_counts(seen)
+    counts = count_types(docs, text)
     short = abbreviations(counts)
     total = F.broadcast(counts.agg(F.sum(F.col("with_stop") + F.col("without_stop")).cast("double").alias("n")))
     single = F.col("type").rlike(r"^\p{L}$")

@@ -76,3 +76,13 @@ def test_numbers_initials_and_white_space(spark):
 def test_empty_corpus(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert boundaries.learn(none).count() == 0 and Boundaries.of(boundaries.learn(none)) == Boundaries()
+
+
+def test_types_are_counted_by_distinct_words(spark, docs):
+    """The same counts as word by word, white space of all kinds included."""
+    odd = spark.createDataFrame([(1, "Dr. Who came.　 12. 3,4 ... x.y. DR dr. (dr.) \u0085end.. ᠎a​b"), (2, None), (3, ""), (4, " \t\n")], "doc_id long, text string")
+    for some in (odd, docs):
+        by_word = {tuple(r) for r in boundaries.type_counts(boundaries.words(some)).collect()}
+        assert {tuple(r) for r in boundaries.count_types(some).collect()} == by_word and by_word
+    spaces = spark.range(0x10000).filter("id < 55296 or id > 57343").selectExpr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE') as c")
+    assert spaces.filter(F.col("c").rlike(r"(?U)\s") != F.col("c").rlike(boundaries.SPACES)).count() == 0 and spaces.filter(F.col("c").rlike(boundaries.SPACES)).count() == 25
