@@ -34,11 +34,11 @@ def process(project: stores.Project, method: Method = Method.SENTENCE, size: int
     hashed = found.withColumn("hash", manifest.content_hash("content"))
     state = manifest.diff(hashed, project.manifest.read(), force).observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(F.col("state") != "changed").alias("skipped"))
     try:
-        loaders.load(state.filter("state = 'changed'"), keep=("hash",)).write.parquet(f"{where}/pages")
+        loaders.load(state.filter("state = 'changed'"), keep=("hash",)).write.option("compression", "zstd").parquet(f"{where}/pages")
         pages = spark.read.schema(f"{schemas.PAGE}, hash string").parquet(f"{where}/pages")
         bad = pages.filter("error is not null").select("file").distinct()
         cleaned = pages.filter("error is null").withColumn("text", chunking.preclean("text", suffix("file")))
-        chunking.chunk(cleaned, method, size, overlap, compat_ids).write.parquet(f"{where}/chunks")
+        chunking.chunk(cleaned, method, size, overlap, compat_ids).write.option("compression", "zstd").parquet(f"{where}/chunks")
         chunks = spark.read.schema(schemas.CHUNK_ROW).parquet(f"{where}/chunks")
         done = pages.join(bad, "file", "left_anti").select("file", "hash").distinct()
         stores.replace_chunks(chunks, done.select("file"), project.chunks)

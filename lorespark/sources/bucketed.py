@@ -96,7 +96,7 @@ class BucketedTable:
         """Writes bucket files into a folder of the table's; gives their names."""
         name = f"lorespark_stage_{uuid.uuid4().hex}"
         columns = self.spark.createDataFrame([], self.schema).columns
-        rows.select(*columns).write.format("parquet").bucketBy(buckets, self.key).sortBy(self.key).option("path", f"{self.files.path}/{where}").saveAsTable(name)
+        rows.select(*columns).write.format("parquet").option("compression", "zstd").bucketBy(buckets, self.key).sortBy(self.key).option("path", f"{self.files.path}/{where}").saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")  # its files stay
         return [n for n in self.files.names(where) if _FILE.search(n)]
 

@@ -129,3 +129,15 @@ def test_a_commit_that_was_cut_off_is_carried_out(spark, table, monkeypatch, don
     again = BucketedTable(spark, table.files.path, SCHEMA, "k")
     assert dict(held(again)) == {f"k{i}": i for i in range(40)} | {"k3": -3, "new": 1}
     assert len(held(again)) == 41 and not again.files.exists("JOURNAL")
+
+
+def test_files_are_written_small(spark, tmp_path):
+    """Texts take less room with zstd than by the session's codec."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    table = BucketedTable(spark, str(tmp_path / "t"), "k string, v string", "k")
+    table.upsert(spark.range(100).selectExpr("cast(id as string) as k", "repeat('text ', 50) as v"))
+    found = glob.glob(str(tmp_path / "t/**/*.parquet"), recursive=True)
+    assert found and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in found} == {"ZSTD"}
