@@ -69,6 +69,7 @@ def make_cards(spark: SparkSession, query: str, vectors: DataFrame, chunks: Data
         raise ValueError("a query is needed")
     std = study_rewrite(spark.createDataFrame([(query,)], "user_query string"), make=make, optimize=optimize).first().std_query
     found, _ = search(vectors, std, k, embedder)
+    found = spark.createDataFrame(found.collect(), found.schema)  # k rows, searched for once
     context = retrieval.context_plain(retrieval.lookup(found, chunks)).first().context
     if not context:
         raise ValueError("no relevant text was found")

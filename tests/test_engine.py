@@ -355,3 +355,21 @@ def test_embedder_keeps_words():
     with mock.patch("lorespark.providers.hashlib.md5", wraps=hashlib.md5) as hashed:
         HashEmbedder()(["a b a", "b a c"] * 100)
     assert hashed.call_count == 3
+
+
+def test_cards_search_once(spark):
+    """The vectors are gone through once, though both lookup and context use the hits."""
+    from lorespark.plans.study import make_cards
+    from lorespark.providers import embed
+
+    chunks = spark.createDataFrame([("a", 0, str(i), f"word {i}", {"source": "a"}) for i in range(30)], "file string, pos int, chunk_id string, chunk_text string, metadata map<string,string>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    stored = embed(chunks.select("chunk_id", "chunk_text", "metadata"), "chunk_text")
+    stored = stored.mapInArrow(counted, stored.schema)
+    assert make_cards(spark, "word 3", stored, chunks).first().answer.ok and seen.value == 30
