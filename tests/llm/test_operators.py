@@ -974,3 +974,25 @@ def test_words_are_split_in_time(make):
     began = time.process_time()
     assert len(words_of(text)) == 120_000
     assert time.process_time() - began < 0.35
+
+
+@pytest.mark.parametrize("piece", [1_000_000, 7])
+def test_links_are_contracted_before_rounds(spark, monkeypatch, piece):
+    import random
+
+    from lorespark.llm import graph
+    from lorespark.llm.common import materialize
+
+    monkeypatch.setattr(graph, "PIECE", piece)
+    rounds = []
+    own = graph._round
+    monkeypatch.setattr(graph, "_round", lambda edges: rounds.append(1) or own(edges))
+    rng = random.Random(3)
+    pairs = [(rng.randrange(-40, 40), rng.randrange(-40, 40)) for _ in range(45)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    least = {x: x for p in pairs for x in p}
+    while (fresh := {x: min([least[x]] + [least[b if a == x else a] for a, b in pairs if x in (a, b)]) for x in least}) != least:
+        least = fresh
+    got = graph.components(materialize(spark.createDataFrame(pairs, "u long, v long").repartition(3)))
+    assert rows(got, "node", "root") == sorted([(x, r) for x, r in least.items() if x != r], key=repr)
+    assert bool(rounds) == (piece == 7)
