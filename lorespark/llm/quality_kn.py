@@ -15,7 +15,7 @@ between these sharded count tables, order by order.
 
 Scoring. A task turns its documents into blocks: the block's distinct units,
 and of each document which of them it has how often. The block's distinct
-n-grams go, compressed, to the shards of the count tables. Each distinct n-gram
+n-grams go, sorted and compressed, to the shards of the count tables. Each distinct n-gram
 that any block asked for is looked up once, by joins from the highest order
 down: an unseen one takes its context's back-off and goes on with its suffix.
 Shards answer each block with a byte per n-gram, and the block adds up its
@@ -51,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import ROW, drop_rows, join_ids, lean, lean_groups, materialize, row_key, shuffle_partitions
+from lorespark.llm.common import ROW, drop_rows, join_ids, lean, lean_groups, materialize, row_key, shuffle_partitions, tidy
 
 ORDER, PIECE = 5, 32
 PRIOR, LEAST, HELD = 48, 30, 3
@@ -62,6 +62,8 @@ STEPS = 12
 START, END, AGAIN = "\0", " ", "\x01"
 #: Code points of text in a block, distinct units that a counting task holds, n-grams in a shard on average.
 BLOCK_CHARS, HELD_UNITS, SHARD_GRAMS = 4_000_000, 120_000, 100_000
+#: How thoroughly blocks are packed: they are written once and shuffled once, their n-grams twice.
+ZSTD = 6
 #: Count tables of at most so many n-grams are broadcast when they are looked up.
 BROADCAST_GRAMS = 200_000
 
@@ -181,7 +183,7 @@ def look_up(asked: DataFrame, model: tuple[list[tuple[DataFrame, DataFrame]], fl
         seen, contexts = levels[k - 1]
         found = left.join(_few(seen.select(F.col("gram").alias("seen"), "p")), F.col("at") == F.col("seen"), "left")
         found = found.select("gram", "at", "bits", "p", F.expr(f"substring(at, 1, {k - 1})").alias("context"))
-        found = materialize(found.join(_few(contexts), F.col("context") == F.col("h"), "left"))
+        found = materialize(found.join(_few(contexts), F.col("context") == F.col("h"), "left").select("gram", "at", "bits", "p", "backoff"))
         done.append(found.filter("p is not null").select("gram", (F.col("bits") - F.log2("p")).alias("bits")))
         left = found.filter("p is null").select("gram", _suffix("at").alias("at"), (F.col("bits") - F.log2(F.coalesce("backoff", F.lit(1.0)))).alias("bits"))
     out = left.select("gram", (F.col("bits") - float(np.log2(uniform))).alias("bits"))
@@ -194,10 +196,26 @@ _BLOCKS = "block long, shard int, units binary, docs binary"
 _INFO = pa.schema([*[(c, pa.int64()) for c in ROW], ("lang", pa.string()), ("n_units", pa.int64())])
 
 
+def _pack(data: bytes) -> bytes:
+    """Compressed, behind its length."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", ZSTD).compress(data, asbytes=True)
+
+
+def _unpack(packed: bytes) -> bytes:
+    size = int.from_bytes(packed[:8], "little")
+    return pa.decompress(packed[8:], size, "zstd", asbytes=True) if size else b""
+
+
+def _points(joined: str, ends: np.ndarray) -> list[np.ndarray]:
+    """The first code points of the n-grams, their second ones, and so on."""
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return [points[ends - k] for k in range(ORDER - 1, -1, -1)]
+
+
 def _sharded(joined: str, ends: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
-    """(shard, where its n-grams end), in the order of shard and n-gram."""
+    """(shard, which n-grams are its own), in the order of shard and n-gram."""
     of = np.array([zlib.crc32(g.encode()) % shards for g in grams(joined, ends)], np.int64)
-    order = np.argsort(of, kind="stable")
+    order = np.lexsort([*reversed(_points(joined, ends)), of])
     cuts = np.flatnonzero(np.diff(of[order])) + 1
     return [(int(of[part[0]]), part) for part in np.split(order, cuts) if len(part)]
 
@@ -219,6 +237,17 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _joint(joined: str, ends: np.ndarray) -> bytes:
+    """N-grams in their order: all their first code points, then the second ones, and so on, which compress well."""
+    return _pack(np.concatenate(_points(joined, ends)).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"))
+
+
+def _split(packed: bytes) -> list[str]:
+    text = _unpack(packed).decode("utf-8", "surrogatepass")
+    n = len(text) // ORDER
+    return list(map("".join, zip(*(text[k * n : k * n + n] for k in range(ORDER)))))
+
+
 def _blocks(shards: int):
     """Rows of a block: one of shard -1 with its units and documents, and one per shard with the n-grams asked of it."""
 
@@ -232,9 +261,9 @@ def _blocks(shards: int):
             out.write_table(info)
         body = sink.getvalue().to_pybytes()
         docs = len(body).to_bytes(8, "little") + body + _planes(flat[:, 0].copy()) + _planes(flat[:, 1].copy())
-        packed = [(block, -1, zlib.compress(END.join(distinct).encode("utf-8", "surrogatepass"), 1), zlib.compress(docs, 1))]
+        packed = [(block, -1, _pack(END.join(distinct).encode("utf-8", "surrogatepass")), _pack(docs))]
         if distinct:
-            packed += [(block, s, zlib.compress("".join(grams(joined, ends[part])).encode("utf-8", "surrogatepass"), 1), None) for s, part in _sharded(joined, ends, shards)]
+            packed += [(block, s, _joint(joined, ends[part]), None) for s, part in _sharded(joined, ends, shards)]
         columns = list(zip(*packed))
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["block", "shard", "units", "docs"])
 
@@ -261,11 +290,6 @@ def _blocks(shards: int):
     return blocks
 
 
-def _split(packed: bytes) -> list[str]:
-    text = zlib.decompress(packed).decode("utf-8", "surrogatepass")
-    return [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
-
-
 def _distinct(pdf: pd.DataFrame) -> pd.DataFrame:
     found: set[str] = set()
     for x in pdf.units:
@@ -275,20 +299,20 @@ def _distinct(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _answer(asks: pd.DataFrame, scored: pd.DataFrame) -> pd.DataFrame:
     steps = dict(zip(scored.gram, np.clip(np.rint(scored.bits.to_numpy() * STEPS), 0, 255).astype(np.uint8).tolist()))
-    return pd.DataFrame({"block": asks.block, "shard": asks.shard, "steps": [zlib.compress(bytes(map(steps.__getitem__, _split(x))), 1) for x in asks.units]})
+    return pd.DataFrame({"block": asks.block, "shard": asks.shard, "steps": [_pack(bytes(map(steps.__getitem__, _split(x)))) for x in asks.units]})
 
 
 def _summed(shards: int):
     def summed(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for packed, docs in zip(blocks.units, blocks.docs):
-            docs = zlib.decompress(docs)
+            docs = _unpack(docs)
             size = int.from_bytes(docs[:8], "little")
             with pa.ipc.open_stream(docs[8 : 8 + size]) as stream:
                 info = stream.read_all()
             half = (len(docs) - 8 - size) // 2
             at, times = _unplaned(docs[8 + size : 8 + size + half]), _unplaned(docs[8 + size + half :])
-            text = zlib.decompress(packed).decode("utf-8", "surrogatepass")
+            text = _unpack(packed).decode("utf-8", "surrogatepass")
             distinct = text.split(END) if text else []
             n_units = info.column("n_units").to_numpy()
             bits, symbols = np.zeros(len(n_units)), np.zeros(len(n_units), np.int64)
@@ -296,7 +320,7 @@ def _summed(shards: int):
                 joined, ends, which, sizes = windows(distinct)
                 steps, given = np.zeros(len(ends), np.int64), dict(zip(answers.shard, answers.steps))
                 for s, part in _sharded(joined, ends, shards):
-                    steps[part] = np.frombuffer(zlib.decompress(given[s]), np.uint8)
+                    steps[part] = np.frombuffer(_unpack(given[s]), np.uint8)
                 per_unit = np.add.reduceat(steps[which], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
                 sizes = sizes - np.fromiter((u == AGAIN for u in distinct), np.int64, len(distinct))  # one symbol, no end
                 of = np.repeat(np.arange(len(n_units)), n_units)
@@ -320,6 +344,7 @@ def bits(docs: DataFrame, model: tuple[list[tuple[DataFrame, DataFrame]], float]
     blocks = materialize(rows.mapInArrow(lean(_blocks(shards)), _BLOCKS))
     asks = blocks.filter("shard >= 0").select("block", "shard", "units")
     scored = look_up(materialize(asks.groupBy("shard").applyInPandas(lean_groups(_distinct), "gram string")), model)
+    tidy(docs.sparkSession)  # what the look-up shuffled goes before the blocks are shuffled
     by_shard = scored.withColumn("shard", (F.crc32(F.col("gram").cast("binary")) % shards).cast("int")).groupBy("shard")
     answers = asks.groupBy("shard").cogroup(by_shard).applyInPandas(lean_groups(_answer), "block long, shard int, steps binary")
     waiting = blocks.filter("shard < 0").select("block", "units", "docs").groupBy("block")
@@ -329,7 +354,9 @@ def bits(docs: DataFrame, model: tuple[list[tuple[DataFrame, DataFrame]], float]
 
 def train(trusted: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], float]:
     """The model of all ``text`` in ``trusted``."""
-    return probabilities(materialize(count_ngrams(trusted)))
+    model = probabilities(materialize(count_ngrams(trusted)))
+    tidy(trusted.sparkSession)
+    return model
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
